@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +28,22 @@ def op6_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.token_blocks import token_blocks
 
     return token_blocks(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), end_id=2)
+
+
+@query
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of at most 1024 ids, in as few sequences as the linear grouping plan finds."""
+    from quire.llm.packing import pack_documents
+
+    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary(), end_id=2, capacity=1024)
+
+
+@query
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from documents whose key is not held out."""
+    from quire.llm.langid import fit, predict
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = fit(docs, ~held)
+    return predict(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
