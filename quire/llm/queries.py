@@ -47,3 +47,15 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     model = fit(docs, ~held)
     return predict(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every whole text, learned from labels whose key is not held out."""
+    from quire.llm.toxicity import fit, score
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    model = fit(docs, labels, ~held)
+    return score(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
