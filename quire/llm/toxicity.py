@@ -139,10 +139,10 @@ def labelled(docs: DataFrame, labels: DataFrame, learn: F.Column, per_class: int
     return found.where("text IS NOT NULL").dropDuplicates(["toxic", "text"])
 
 
-def learn_insults(rows: DataFrame, limit: int = 400, least: int = 8, sure: float = 4.0) -> dict[str, float]:
+def learn_insults(rows: DataFrame, limit: int = 400, least: int = 8, ratio: float = 25.0) -> dict[str, float]:
     """Words of toxic texts that hardly occur elsewhere, in ``least`` or more different contexts.
 
-    The log odds of a word must be ``sure`` or more times their standard error.
+    The odds of a word must be ``ratio`` or more, even two standard errors of their logarithm lower.
 
     Contexts (the words beside) keep out the words of one text that was copied often.
     """
@@ -159,7 +159,7 @@ def learn_insults(rows: DataFrame, limit: int = 400, least: int = 8, sure: float
     counts = rows.select("text", "toxic").mapInPandas(words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     odds = ((F.col("a") + 0.5) / (n1 + 1)) / ((F.col("b") + 0.5) / (n0 + 1))
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    top = counts.where((F.col("a") >= least) & (F.log(odds) >= sure * error)).orderBy(F.desc(F.col("a") * F.log(odds)), "word").limit(2 * limit).toPandas()
+    top = counts.where((F.col("a") >= least) & (F.log(odds) - 2 * error >= math.log(ratio))).orderBy(F.desc(F.col("a") * F.log(odds)), "word").limit(2 * limit).toPandas()
     known = set(top["word"])
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
