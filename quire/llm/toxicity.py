@@ -6,7 +6,7 @@ scope of a negation, one those that are reported speech, one those with a target
 They are composed into a single deterministic machine, run over each clause that holds an insult
 or threat. The weights it gives out are gathered by kind of match, and a logistic layer over
 the kinds, trained on a bounded sample of labels, gives the score. Insults beyond the seed words
-are learned from the same sample as words that occur in many different contexts of toxic texts
+are learned from the same sample, as words and stems that occur in many different contexts of toxic texts
 and in hardly any others.
 """
 
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,6 +33,8 @@ INSULTS = {"idiot": 2.0, "moron": 2.0, "imbecile": 2.0, "stupid": 1.5, "scum": 2
 
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 CLAUSE = re.compile(r"[.!?;:,\n\r\t|]+")
+#: Lengths of the stems that are tried.
+STEMS = range(4, 9)
 OTHER, TARGET, NEGATION, REPORT, INSULT, THREAT = range(6)
 
 
@@ -102,24 +105,37 @@ class Model:
     def __post_init__(self) -> None:
         self.symbols = dict.fromkeys(NEGATIONS, NEGATION) | dict.fromkeys(TARGETS, TARGET) | dict.fromkeys(REPORTS, REPORT)
         self.symbols |= dict.fromkeys(self.threats, THREAT) | dict.fromkeys(self.insults, INSULT)
-        self.hits = frozenset(self.insults) | frozenset(self.threats)
+        self.memo: dict[str, tuple[int, float]] = {}
+
+    def read(self, word: str) -> tuple[int, float]:
+        """Symbol and weight of a word; recent ones are kept."""
+        if word not in self.memo:
+            if len(self.memo) > 300_000:
+                self.memo.clear()
+            symbol = self.symbols.get(word, OTHER)
+            weight = self.insults.get(word, 0.0) if symbol == INSULT else self.threats.get(word, 0.0)
+            if symbol == OTHER and (w := max((self.insults.get(p, 0.0) for p in patterns(word)), default=0.0)):
+                symbol, weight = INSULT, w
+            self.memo[word] = symbol, weight
+        return self.memo[word]
 
     def features(self, text: str | None) -> np.ndarray:
         """Saturated weight of each kind of match over the clauses of the whole text."""
         out = np.zeros(KINDS + 1)
         text = (text or "").lower()
-        if self.hits.isdisjoint(WORD.findall(text)):
+        hits = {w for w in set(WORD.findall(text)) if self.read(w)[0] >= INSULT}
+        if not hits:
             return out
         for clause in CLAUSE.split(text):
             words = WORD.findall(clause)
-            if self.hits.isdisjoint(words):
+            if hits.isdisjoint(words):
                 continue
-            symbols = [self.symbols.get(w, OTHER) for w in words]
-            for w, s, marks in zip(words, symbols, GRAMMAR.run(symbols), strict=True):
+            read = [self.read(w) for w in words]
+            for (s, weight), marks in zip(read, GRAMMAR.run([s for s, _ in read]), strict=True):
                 if s >= INSULT:
                     # reordered so that the marks of aim come first in a kind
                     kind = (marks & AIMED) // 4 + 2 * (marks & (NEGATED | REPORTED))
-                    out[8 * (s - INSULT) + kind] += self.insults[w] if s == INSULT else self.threats[w]
+                    out[8 * (s - INSULT) + kind] += weight
             out[KINDS] += 1
         return np.log1p(out)
 
@@ -139,35 +155,53 @@ def labelled(docs: DataFrame, labels: DataFrame, learn: F.Column, per_class: int
     return found.where("text IS NOT NULL").dropDuplicates(["toxic", "text"])
 
 
-def learn_insults(rows: DataFrame, limit: int = 400, least: int = 8, ratio: float = 25.0) -> dict[str, float]:
-    """Words of toxic texts that hardly occur elsewhere, in ``least`` or more different contexts.
+def patterns(word: str) -> list[str]:
+    """The word, and its beginnings with a star: forms that differ in their endings share one."""
+    return [word, *(f"{word[:n]}*" for n in STEMS if n < len(word))]
 
-    The odds of a word must be ``ratio`` or more, even two standard errors of their logarithm lower.
 
-    Contexts (the words beside) keep out the words of one text that was copied often.
+def learn_insults(rows: DataFrame, limit: int = 400, least: int = 8, ratio: float = 12.0) -> dict[str, float]:
+    """Patterns of toxic texts that hardly occur elsewhere, in ``least`` or more different contexts.
+
+    The odds of a pattern must be ``ratio`` or more, even two standard errors of their logarithm
+    lower. Contexts (the words beside) keep out the words of one text that was copied often. Of
+    patterns that cover one another the one in most toxic texts stays, or the whole word if it
+    alone makes up four fifths of a stem.
     """
 
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(w, int(t)) for text, t in zip(pdf["text"], pdf["toxic"], strict=True) for w in set(WORD.findall(text.lower()))]
-            yield pd.DataFrame(out, columns=["word", "toxic"])
+            toxic: Counter[str] = Counter()
+            clean: Counter[str] = Counter()
+            for text, t in zip(pdf["text"], pdf["toxic"], strict=True):
+                (toxic if t else clean).update({p for w in set(WORD.findall(text.lower())) for p in patterns(w)})
+            keys = list(toxic.keys() | clean.keys())
+            yield pd.DataFrame({"word": keys, "a": [toxic[k] for k in keys], "b": [clean[k] for k in keys]})
 
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return {}
-    counts = rows.select("text", "toxic").mapInPandas(words, "word string, toxic int").groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
+    counts = rows.select("text", "toxic").mapInPandas(count, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     odds = ((F.col("a") + 0.5) / (n1 + 1)) / ((F.col("b") + 0.5) / (n0 + 1))
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    top = counts.where((F.col("a") >= least) & (F.log(odds) - 2 * error >= math.log(ratio))).orderBy(F.desc(F.col("a") * F.log(odds)), "word").limit(2 * limit).toPandas()
-    known = set(top["word"])
+    top = counts.where((F.col("a") >= least) & (F.log(odds) - 2 * error >= math.log(ratio))).orderBy(F.desc("a"), F.length("word"), "word").limit(4 * limit).toPandas()
+    times = dict(zip(top["word"], top["a"], strict=True))
+    for w in [w for w in times if not w.endswith("*")]:
+        for p in patterns(w)[1:]:
+            if times[w] >= 0.8 * times.get(p, math.inf):
+                del times[p]
+    known: set[str] = set()
+    for w in times:  # most frequent first
+        if known.isdisjoint(patterns(w.rstrip("*"))):
+            known.add(w)
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = set()
             for text in pdf["text"]:
                 w = WORD.findall(text.lower())
-                out.update((x, " ".join(w[max(0, i - 1) : i + 2])) for i, x in enumerate(w) if x in known)
+                out.update((p, " ".join(w[max(0, i - 1) : i + 2])) for i, x in enumerate(w) for p in patterns(x) if p in known)
             yield pd.DataFrame(sorted(out), columns=["word", "context"])
 
     varied = rows.where("toxic = 1").select("text").mapInPandas(contexts, "word string, context string").groupBy("word").agg(F.countDistinct("context").alias("c")).toPandas()
