@@ -59,3 +59,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     model = fit(docs, labels, ~held)
     return score(docs.select("doc_id", held.alias("held_out"), "text"), model).drop("text")
+
+
+@query
+def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document, by exact block quotas of its source."""
+    from quire.llm.mixing import mixture, taken
+
+    return taken(*mixture(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")))
