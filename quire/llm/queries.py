@@ -67,3 +67,11 @@ def op8_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.mixing import mixture, taken
 
     return taken(*mixture(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")))
+
+
+@query
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document, linked at 4 or fewer differing bits."""
+    from quire.llm.simhash import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
