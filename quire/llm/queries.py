@@ -75,3 +75,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.simhash import near_duplicates
 
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+@query
+def op3_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector among those of its label, at cosine 0.98 or more."""
+    from quire.llm.caps import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
