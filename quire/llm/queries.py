@@ -123,3 +123,52 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sum(length('<|im_start|>' || role || chr(10) || sent || '<|im_end|>' || chr(10)))::BIGINT AS formatted_chars
 FROM s GROUP BY conv_id
 """
+
+
+@query
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines whose template recurs in three or more documents."""
+    from quire.llm.line_templates import drop_templates
+
+    return drop_templates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+ORACLES["op4_line_templates"] = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM documents WHERE text IS NOT NULL),
+toks AS (
+  SELECT doc_id, pos, list_transform(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda t: t <> ''),
+    lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t
+  FROM lines),
+long_ AS (
+  SELECT doc_id, pos, t, len(t) AS n, array_to_string(t, ' ') AS lh, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf
+  FROM toks WHERE len(t) >= 4),
+counts AS (SELECT lh, leaf, n, any_value(t) AS t, count(DISTINCT doc_id) AS docs FROM long_ GROUP BY lh, leaf, n),
+leaves AS (
+  SELECT leaf FROM counts WHERE n > 5 GROUP BY leaf
+  HAVING sum(CASE WHEN docs < 3 THEN docs ELSE 0 END) >= 3 AND count(*) > 1),
+cells AS (
+  SELECT lh, leaf, n, docs, unnest(t) AS token, generate_subscripts(t, 1) AS p
+  FROM counts WHERE n > 5 AND leaf IN (SELECT leaf FROM leaves)),
+marked AS (SELECT *, sum(docs) OVER (PARTITION BY leaf, p, token) >= 3 AS constant FROM cells),
+shaped AS (
+  SELECT lh, leaf, n, docs, count(*) FILTER (constant AND token <> '<*>') AS held,
+    string_agg(CASE WHEN constant THEN token ELSE '<*>' END, ' ' ORDER BY p) AS shape
+  FROM marked GROUP BY lh, leaf, n, docs),
+wide AS (SELECT lh, docs, leaf || '|' || shape AS template FROM shaped WHERE held >= 5 AND held >= 0.75 * n),
+often AS (SELECT template FROM wide GROUP BY template HAVING sum(docs) >= 3 AND count(*) > 1),
+fine AS (SELECT lh, template FROM wide WHERE template IN (SELECT template FROM often)),
+known AS (
+  SELECT * FROM fine
+  UNION ALL SELECT lh, 'line|' || lh FROM counts WHERE docs >= 3 AND lh NOT IN (SELECT lh FROM fine)),
+hits AS (SELECT doc_id, pos, template FROM long_ JOIN known USING (lh)),
+recurring AS (SELECT template, min(doc_id) AS keeper FROM hits GROUP BY template HAVING count(DISTINCT doc_id) >= 3),
+gone AS (SELECT DISTINCT doc_id, pos FROM hits JOIN recurring USING (template) WHERE doc_id <> keeper),
+rest AS (
+  SELECT l.doc_id, coalesce(string_agg(line, chr(10) ORDER BY l.pos) FILTER (g.pos IS NULL), '') AS text,
+    count(*)::BIGINT AS n_lines, count(g.pos)::BIGINT AS n_dropped
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT d.doc_id, r.text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped
+FROM documents d LEFT JOIN rest r USING (doc_id)
+"""
