@@ -1,10 +1,62 @@
-"""Corpus pipeline: language, lines, near copies, mixture, packed sequences."""
+"""Corpus pipeline: language, recurring lines, near copies, mixture of sources, packed sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the
+last return the columns of ``docs``. Stages are written as Parquet and read again, so a lost
+executor costs at most the stage that runs.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.llm import langid, line_templates, mixing, packing, queries, simhash
+from quire.llm.common import scratch
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model accepts; learned from their own labels."""
+    model = langid.fit(docs.select("text", "lang"), F.lit(True))
+    return langid.predict(docs, model).where("NOT rejected").select(docs.columns)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without recurring lines; documents of which no line is left go."""
+    found = line_templates.drop_templates(docs).where("n_dropped = 0 OR n_dropped < n_lines")
+    return found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.without_copies(docs)
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, once for each pass, the last of a source cut to its quota."""
+    return mixing.mixed_documents(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the mix in sequences of at most 1024 ids; repeated documents are pieces each."""
+    return packing.pack_documents(docs, queries.vocabulary(), end_id=2, capacity=1024)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("source_mixture", source_mixture),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: Models, fingerprints and draws are beyond SQL; stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = scratch(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -24,14 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.blocks import block_pairs, compare_groups, shifted_pairs
-from quire.llm.common import materialize
+from quire.llm.common import BROADCAST_ROWS, materialize
 from quire.llm.components import components, contract
 
 SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """SimHash of the lower-cased words' shingles, repeats included; 0 without a word.
+def fingerprint(text: str | None, shingle: int = 4, distinct: bool = False) -> int:
+    """SimHash of the lower-cased words' shingles, repeats included unless ``distinct``; 0 without a word.
 
     A bit is 1 if it is set in over half of the shingles' XXH64. Fewer words than a shingle make
     one sequence.
@@ -39,6 +39,8 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return 0
+    if distinct and shingle == 1:
+        words = list(dict.fromkeys(words))
     joined = memoryview(b" ".join(words))
     length = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(length + 1) - 1
@@ -47,6 +49,9 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+    if distinct:
+        h = np.unique(h)
+        n = len(h)
     count = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         part = h[at : at + (1 << 16)]
@@ -91,25 +96,28 @@ class Pivots:
         return out
 
 
-def link_fingerprints(distinct: DataFrame, radius: int = 4, stripes: int = 6, block: int = 1024) -> DataFrame:
+def link_fingerprints(distinct: DataFrame, radius: int = 4, stripes: int = 6, block: int = 1024, check: int | None = None) -> DataFrame:
     """Links (a, b) that connect all fingerprints within ``radius`` bits; a spanning set of them.
 
-    ``distinct`` has each fingerprint once, in column fp.
+    ``distinct`` has each fingerprint once, in column fp. With ``check`` it has a second
+    fingerprint, too, in column second; pairs count only within ``check`` bits of that, and links
+    are between the values of a column node.
     """
     pivots = Pivots(radius, stripes)
+    node = "fp" if check is None else "node"
+    payload = ["fp"] if check is None else ["fp", "second", "node"]
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            fp = pdf["fp"].to_numpy(np.int64)
-            keys = pivots.keys(pivots.table(fp.view(np.uint64)))
+            keys = pivots.keys(pivots.table(pdf["fp"].to_numpy(np.int64).view(np.uint64)))
             n, c = keys.shape
-            yield pd.DataFrame({"choice": np.tile(np.arange(c, dtype=np.int32), n), "key": keys.ravel(), "fp": np.repeat(fp, c)})
+            yield pd.DataFrame({"choice": np.tile(np.arange(c, dtype=np.int32), n), "key": keys.ravel()} | {p: np.repeat(pdf[p].to_numpy(), c) for p in payload})
 
     def compare(pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
-        fp = pdf["fp"].to_numpy(np.int64)
-        bits = fp.view(np.uint64)
+        bits = pdf["fp"].to_numpy(np.int64).view(np.uint64)
+        second = None if check is None else pdf["second"].to_numpy(np.int64).view(np.uint64)
         table = pivots.table(bits)[:, [0, *range(65, 65 + len(pivots.random))]].astype(np.int8)
-        label = np.arange(len(fp))
+        label = np.arange(len(pdf))
         pairs: list[np.ndarray] = []
         waiting = 0
         apart = (pdf["bi"] != pdf["bj"]).to_numpy()
@@ -119,20 +127,22 @@ def link_fingerprints(distinct: DataFrame, radius: int = 4, stripes: int = 6, bl
             near = np.abs(table[i] - table[j]).max(1, initial=0) <= radius
             i, j = i[near], j[near]
             near = np.bitwise_count(bits[i] ^ bits[j]) <= radius
+            if second is not None:
+                near &= np.bitwise_count(second[i] ^ second[j]) <= check
             pairs.append(np.stack([i[near], j[near]]))
             waiting += int(near.sum())
             if waiting > 500_000:
-                a, b = np.concatenate(pairs, 1)
-                label = _merge(label, a, b)
+                label = _merge(label, *np.concatenate(pairs, 1))
                 pairs, waiting = [], 0
         if pairs:
-            a, b = np.concatenate(pairs, 1)
-            label = _merge(label, a, b)
+            label = _merge(label, *np.concatenate(pairs, 1))
         moved = np.flatnonzero(label != np.arange(len(label)))
-        yield pd.DataFrame({"a": fp[label[moved]], "b": fp[moved]})
+        names = pdf[node].to_numpy()
+        yield pd.DataFrame({"a": names[label[moved]], "b": names[moved]})
 
-    indexed = materialize(distinct.select("fp").mapInPandas(index, "choice int, key long, fp long"), "index")
-    dealt = block_pairs(indexed, ["choice", "key"], "fp", block)
+    kinds = "".join(f", {p} long" for p in payload)
+    indexed = materialize(distinct.select(*payload).mapInPandas(index, f"choice int, key long{kinds}"), "index")
+    dealt = block_pairs(indexed, ["choice", "key"], node, block)
     return compare_groups(dealt, ["choice", "key"], compare, "a long, b long")
 
 
@@ -157,3 +167,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = materialize(grouped.join(least, "component").select("fp", "component_id"), "named")
     return prints.join(named.hint("shuffle_merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, stripes: int = 8, check: int = 14) -> DataFrame:
+    """doc_id and component_id of every row, for near copies of similarity 0.8 or so on five-word shingles.
+
+    Copies with a few words changed share most words but far fewer five-word shingles, whose
+    fingerprints then differ by about ten bits, too many to search for. So pairs are sought among
+    fingerprints of the sets of words, at ``radius`` bits, and verified by the fingerprints of
+    five-word shingles, at ``check`` bits (a Jaccard similarity of 0.8 makes about ten, unrelated
+    texts 32). Null and empty texts are alike; otherwise as ``near_duplicates``.
+    """
+
+    @F.pandas_udf("fp long, second long")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"fp": np.array([fingerprint(t, 1, True) for t in texts], np.uint64).view(np.int64), "second": np.array([fingerprint(t, 5) for t in texts], np.uint64).view(np.int64)})
+
+    prints = docs.select(F.col(id_col).cast("long").alias("doc_id"), of(F.col(text_col)).alias("p"))
+    prints = materialize(prints.select("doc_id", "p.fp", "p.second", F.xxhash64("p.fp", "p.second").alias("node")), "fingerprints")
+    distinct = materialize(prints.groupBy("fp", "second", "node").agg(F.min("doc_id").alias("least")), "distinct")
+    found = components(link_fingerprints(distinct, radius, stripes, check=check))
+    grouped = distinct.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = materialize(grouped.join(least, "component").select("node", "component_id"), "named")
+    return prints.select("doc_id", "node").join(named.hint("shuffle_merge"), "node").select("doc_id", "component_id")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """``docs`` with the document of least id of each group of near copies, and all without copies.
+
+    Of repeated rows of one id, one stays. Rows with a null id stay unless copies of a document
+    with an id.
+    """
+    found = materialize(similar_documents(docs, id_col, **options), "components")
+    gone = materialize(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    rows = gone.count()
+    twice = found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").head(1)
+    right = F.broadcast(gone) if rows <= BROADCAST_ROWS else gone.hint("shuffle_merge")
+    kept = docs.join(right, F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    return kept.dropDuplicates([id_col]) if twice else kept
