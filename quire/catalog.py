@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quire.plans import retrieval  # noqa: F401
+from quire.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
