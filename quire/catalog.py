@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import people, retrieval  # noqa: F401
+from quire.plans import curating, people, retrieval  # noqa: F401
 from quire.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
