@@ -24,7 +24,7 @@ def trimmed(text: Column) -> Column:
 def cleaned(text: Column) -> Column:
     """Line ends unified, words joined across line breaks, paragraphs kept, white space collapsed."""
     t = F.regexp_replace(text, "\r\n?", "\n")
-    t = F.replace(t, F.lit(" "), F.lit(" "))
+    t = F.replace(t, F.lit("\u00a0"), F.lit(" "))
     t = F.regexp_replace(t, r"(?U)(\w)-\n(\w)", "$1$2")
     t = F.regexp_replace(t, r"(?<!\n)\n(?!\n)", " ")
     t = F.regexp_replace(t, r"[ \t]{2,}", " ")
