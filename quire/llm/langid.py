@@ -21,7 +21,7 @@ UNKNOWN = "und"
 BUCKETS = 1 << 12
 ORDERS = (1, 2, 3, 4)
 #: Characters taken at a time; n-grams that cross a cut are taken with the later part.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 _LETTER: np.ndarray | None = None
 
 

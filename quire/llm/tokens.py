@@ -13,15 +13,21 @@ _PIECES = re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s0-9
 _OTHER = re.compile(rf"[^\t\n\r\x20-\x7e{_LETTERS}]")
 
 
+#: Byte-level alphabet: printable bytes stand for themselves, the others for the characters from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set(_PRINTABLE))}
+
+
 class Encoder:
     """``ids(text)``: the ids as little-endian unsigned 32-bit integers.
 
-    The library splits a text into pieces and encodes each on its own, so the ids of a piece
-    can be kept. Texts with other characters than those above, or with a special token's
-    string, go to the library whole. ``memo`` bounds the pieces kept; a full memo is emptied.
+    The library splits a text into pieces and has its model encode each on its own, so the ids of
+    a piece can be kept, and a new piece goes to the library's model alone. Texts with other
+    characters than those above, or with a special token's string, go to the library whole.
+    ``memo`` bounds the pieces kept; when it is full, new pieces are encoded each time.
     """
 
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -39,13 +45,19 @@ class Encoder:
         if not self._by_piece or _OTHER.search(text) or any(s in text for s in self._special):
             return self._whole(text)
         pieces, memo = _PIECES.findall(text), self._memo
-        if fresh := [p for p in set(pieces) if p not in memo]:
-            if len(memo) + len(fresh) > self._limit:
-                memo.clear()
-                fresh = list(set(pieces))
-            for piece, e in zip(fresh, self._tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                memo[piece] = array("I", e.ids).tobytes()
-        return b"".join(map(memo.__getitem__, pieces))
+        try:
+            return b"".join(map(memo.__getitem__, pieces))
+        except KeyError:
+            pass
+        tokenize, fresh = self._tokenizer.model.tokenize, {}
+        for piece in set(pieces):
+            if piece not in memo:
+                letters = piece.encode().decode("latin-1").translate(_ALPHABET)
+                fresh[piece] = array("I", [t.id for t in tokenize(letters)]).tobytes()
+        if len(memo) < self._limit:
+            memo.update(fresh)
+            return b"".join(map(memo.__getitem__, pieces))
+        return b"".join([memo[p] if p in memo else fresh[p] for p in pieces])
 
 
 _ENCODERS: dict[str, Encoder] = {}
