@@ -103,7 +103,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     listed = F.when(F.schema_of_variant(whole).startswith("ARRAY"), whole).otherwise(F.coalesce(F.try_variant_get(whole, "$.chapters", "variant"), F.try_variant_get(whole, "$.items", "variant")))
     items = F.coalesce(F.try_variant_get(listed, "$", "array<variant>"), F.array().cast("array<variant>"))
     split = F.transform(F.filter(F.split("raw", "\n"), lambda x: F.trim(x) != ""), lambda x: F.try_parse_json(x))
-    one_doc = whole.isNotNull()
+    one_doc = F.try_parse_json(F.concat(F.lit("["), "raw", F.lit("]"))).isNotNull()  # in a list, as what follows a value would pass
     rows = raw.withColumn("items", F.when(one_doc, items).otherwise(F.filter(split, lambda v: v.isNotNull()))).select("file", F.posexplode("items").alias("i", "v"))
     rows = rows.where(F.schema_of_variant("v").startswith("OBJECT"))
     pick = lambda *keys: F.coalesce(*(F.nullif(F.trim(F.when(F.schema_of_variant(F.try_variant_get("v", f"$.{k}", "variant")) == "STRING", F.try_variant_get("v", f"$.{k}", "string"))), F.lit("")) for k in keys), F.lit(""))
