@@ -22,11 +22,16 @@ FIELD = "<*>"
 
 
 def tokens(line: Column) -> Column:
-    """Tokens between ASCII white space, those with a digit as ``<*>``; none for a blank line."""
-    split = F.filter(F.split(line, SPACE), lambda t: t != "")
+    """Tokens between ASCII white space, those with a digit as ``<*>``; one empty token for a blank line."""
+    split = F.split(F.btrim(line, F.lit(" \t\n\x0b\f\r")), SPACE)
     return F.when(F.rlike(line, F.lit("[0-9]")), F.transform(split, lambda t: F.when(F.rlike(t, F.lit("[0-9]")), F.lit(FIELD)).otherwise(t))).otherwise(split)
 
 
+def marked(split: Column, depth: int) -> Column:
+    """Number of tokens, hash and leaf of each line of an array of lines."""
+    return F.transform(F.transform(split, tokens), lambda t: F.struct(F.size(t).alias("n"), F.xxhash64(t).alias("lh"), F.xxhash64(F.size(t), F.slice(t, 1, depth)).alias("leaf")))
+
+
 def drop_templates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     min_docs: int = 3, min_tokens: int = 4, depth: int = 3, min_constant: int = 5, constant_share: float = 0.75,
@@ -42,10 +47,9 @@ def drop_templates(
     named n_lines or n_dropped are replaced. An empty table gives no rows.
     """
     key = F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
-    lines = docs.where(F.col(text_col).isNotNull()).select(key.alias("row"), F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
-    lines = lines.withColumn("t", tokens(F.col("line"))).withColumn("n", F.size("t")).where(F.col("n") >= min_tokens)
-    hashed = [F.xxhash64("t").alias("lh"), F.xxhash64("n", F.slice("t", 1, depth)).alias("leaf")]
-    short = materialize(lines.select("row", "id", "pos", *hashed, "n"), "lines")
+    # Lines are read inside their documents, once; only figures leave them.
+    found = docs.where(F.col(text_col).isNotNull()).select(key.alias("row"), F.col(id_col).cast("long").alias("id"), F.posexplode(marked(F.split(text_col, "\n"), depth)).alias("pos", "line"))
+    short = materialize(found.select("row", "id", "pos", "line.n", "line.lh", "line.leaf").where(F.col("n") >= min_tokens), "lines")
 
     # Documents of each line; lines in enough of them recur as they stand.
     seen = short.groupBy("lh", "leaf", "n", "row").agg(F.lit(1).alias("one"))
@@ -54,9 +58,12 @@ def drop_templates(
     leaves = counts.where(F.col("n") > min_constant).groupBy("leaf").agg(F.sum(rare).alias("rare"), F.count("*").alias("kinds"))
     leaves = materialize(leaves.where((F.col("rare") >= min_docs) & (F.col("kinds") > 1)).select("leaf"), "leaves")
 
-    # Tokens of the distinct lines of those leaves, and which of them are constant.
-    told = join_small(lines.where(F.col("n") > min_constant).select(*hashed, "t"), leaves, ["leaf"], "left_semi")
-    told = told.groupBy("lh", "leaf").agg(F.first("t").alias("t"))
+    # Tokens of the distinct lines of those leaves, each read in one document, and which are constant.
+    samples = join_small(short.where(F.col("n") > min_constant), leaves, ["leaf"], "left_semi").groupBy("lh", "leaf").agg(F.min(F.struct("row", "pos")).alias("at"))
+    samples = materialize(samples.select("lh", "leaf", "at.row", "at.pos"), "samples")
+    lines = docs.where(F.col(text_col).isNotNull()).select(key.alias("row"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
+    read = join_small(lines, samples, ["row", "pos"]).select("lh", "leaf", tokens(F.col("line")).alias("t"))
+    told = read.groupBy("lh", "leaf").agg(F.first("t").alias("t"))  # equal rows would bring a line twice
     told = materialize(told.join(counts.select("lh", "docs", "n"), "lh"), "told")
     cells = told.select("lh", "leaf", "n", "docs", F.posexplode("t").alias("at", "token"))
     constant = cells.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs)
