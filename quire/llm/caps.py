@@ -32,17 +32,20 @@ def usable(vector: str | F.Column) -> F.Column:
 
 
 class ProductCode:
-    """``parts`` books of ``words`` random unit vectors each: words ** parts directions."""
+    """``parts`` books of ``words`` random unit vectors each: words ** parts directions.
+
+    Parts have eight or more dimensions; fewer dimensions make one part, one dimension two words.
+    """
 
     def __init__(self, dims: int, parts: int = 2, words: int = 256, seed: int = 5):
         rng = np.random.default_rng([seed, dims])
-        self.parts = min(parts, dims)
-        self.words = words
+        self.parts = max(1, min(parts, dims // 8))
         self.cuts = np.array_split(np.arange(dims), self.parts)
         self.books = []
         for cut in self.cuts:
             book = rng.normal(size=(words, len(cut)))
-            self.books.append(book / np.linalg.norm(book, axis=1, keepdims=True))
+            self.books.append(np.unique(np.round(book / np.linalg.norm(book, axis=1, keepdims=True), 12), axis=0))
+        self.directions = int(np.prod([len(b) for b in self.books]))
 
     def _half(self, x: np.ndarray, chosen: range) -> np.ndarray:
         """Scores of all joint words of some parts: (rows, words ** len(chosen))."""
@@ -109,7 +112,7 @@ def near_vectors(
             for d in np.unique(dims):
                 part = pdf[dims == d]
                 code = codes.setdefault(int(d), ProductCode(int(d), words=words))
-                height = NormalDist().inv_cdf(1 - min(0.5, mean / words**code.parts))
+                height = NormalDist().inv_cdf(1 - min(0.5, mean / code.directions))
                 for at in range(0, len(part), 1024):
                     some = part.iloc[at : at + 1024]
                     x = np.stack(some["vector"].to_numpy()).astype(np.float64)

@@ -7,7 +7,7 @@ and parsed; turns that do not come back identical (they hold a mark, or somethin
 an escape) are escaped, and the conversation is rendered and parsed again until it is.
 
 An escape puts one more backslash between ``<`` and ``|`` wherever these stand together or with
-backslashes between; parsing takes one away. In a role, newlines become ``<\\n|``.
+backslashes between; parsing takes one away. In a role, newlines become ``<|n|>``.
 """
 
 from __future__ import annotations
@@ -28,12 +28,12 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    """Marks as in texts; then newlines, which would end the role."""
-    return F.replace(escape(F.replace(role, F.lit("<n|"), F.lit("<nn|"))), F.lit("\n"), F.lit("<n|"))
+    """As in texts; then newlines, which would end the role, as a mark that no escaped role holds."""
+    return F.replace(escape(role), F.lit("\n"), F.lit("<|n|>"))
 
 
 def unescape_role(role: Column) -> Column:
-    return F.replace(unescape(F.replace(role, F.lit("<n|"), F.lit("\n"))), F.lit("<nn|"), F.lit("<n|"))
+    return unescape(F.replace(role, F.lit("<|n|>"), F.lit("\n")))
 
 
 def render(turns: Column) -> Column:
