@@ -88,8 +88,8 @@ class Model:
         return e / e.sum(1, keepdims=True)
 
 
-def train(x: np.ndarray, y: list[str], width: int = 16, epochs: int = 30, rate: float = 20.0, seed: int = 7, keep: float = 0.999) -> Model:
-    """Fit on rows of counts ``x`` with labels ``y``; a fifth of them calibrates.
+def train(x: np.ndarray, y: list[str], width: int = 16, steps: int = 1500, rate: float = 20.0, seed: int = 7, keep: float = 0.999) -> Model:
+    """Fit on rows of counts ``x`` with labels ``y`` in at least ``steps`` batches; a fifth of them calibrates.
 
     ``keep``: the share of rightly labelled calibration rows that the threshold must accept.
     """
@@ -104,9 +104,11 @@ def train(x: np.ndarray, y: list[str], width: int = 16, epochs: int = 30, rate:
     k = len(languages)
     embedding = rng.normal(0, 0.1, (x.shape[1], width))
     weights, bias = rng.normal(0, 0.1, (width, k)), np.zeros(k)
+    parts = max(1, len(fit) // 32)
+    epochs = -(-steps // parts)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
-        for batch in np.array_split(rng.permutation(fit), max(1, len(fit) // 32)):
+        for batch in np.array_split(rng.permutation(fit), parts):
             h = x[batch] @ embedding
             z = h @ weights + bias
             p = np.exp(z - z.max(1, keepdims=True))
