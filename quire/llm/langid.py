@@ -96,7 +96,7 @@ def train(x: np.ndarray, y: list[str], width: int = 16, steps: int = 1500, rate:
     rng = np.random.default_rng(seed)
     languages = sorted(set(y))
     target = np.array([languages.index(v) for v in y], np.int64)
-    x = x / np.maximum(x.sum(1, keepdims=True), 1)
+    x = x / np.maximum(x.sum(1, keepdims=True), np.float32(1))
     order = rng.permutation(len(x))
     held, fit = order[: len(x) // 5], order[len(x) // 5 :]
     if not len(held):
@@ -146,32 +146,31 @@ def sample(docs: DataFrame, learn: F.Column, per_language: int, max_languages: i
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [(lang, f) for lang, text in zip(pdf["lang"], pdf["text"], strict=True) if (f := features(text)) is not None]
-            cells = [np.flatnonzero(f) for _, f in found]
-            yield pd.DataFrame({"lang": [v for v, _ in found], "cell": cells, "n": [f[c] for (_, f), c in zip(found, cells, strict=True)]})
+            found = [(lang, h, f) for lang, h, text in zip(pdf["lang"], pdf["h"], pdf["text"], strict=True) if (f := features(text)) is not None]
+            cells = [np.flatnonzero(f).astype(np.int32) for _, _, f in found]
+            yield pd.DataFrame({"lang": [v for v, _, _ in found], "h": [h for _, h, _ in found], "cell": cells, "n": [f[c].astype(np.float32) for (_, _, f), c in zip(found, cells, strict=True)]})
 
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("text").alias("h"))
     # the hash is uniform, so these shares bring a little more than enough rows past the filter
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
     shares = {r["lang"]: 2.0 * per_language / r["count"] for r in sizes.collect()}
     if not shares:
-        return pd.DataFrame({"lang": [], "cell": [], "n": []})
+        return pd.DataFrame({"lang": [], "h": [], "cell": [], "n": []})
     cut = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(1.0, v))) for k, v in shares.items()))
     rows = rows.where(F.pmod("h", F.lit(1_000_003)) < cut * 1_000_003).dropDuplicates(["lang", "h"])
     ranked = rows.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("i") <= per_language)
-    return ranked.select("lang", "text").mapInPandas(count, "lang string, cell array<long>, n array<double>").toPandas()
+    return ranked.select("lang", "h", "text").mapInPandas(count, "lang string, h long, cell array<int>, n array<float>").toPandas()
 
 
 def fit(docs: DataFrame, learn: F.Column, per_language: int = 400) -> Model | None:
     """Train on at most ``per_language`` labelled documents of each language; None without any."""
-    rows = sample(docs, learn, per_language).sort_values("lang", kind="stable")
+    rows = sample(docs, learn, per_language).sort_values(["lang", "h"]).reset_index(drop=True)
     if not len(rows):
         return None
-    x = np.zeros((len(rows), BUCKETS))
-    order = sorted(range(len(rows)), key=lambda i: (rows["lang"].iloc[i], bytes(np.asarray(rows["cell"].iloc[i]).tobytes()), bytes(np.asarray(rows["n"].iloc[i]).tobytes())))
-    for i, j in enumerate(order):
-        x[i, np.asarray(rows["cell"].iloc[j], np.int64)] = rows["n"].iloc[j]
-    return train(x, [rows["lang"].iloc[j] for j in order])
+    x = np.zeros((len(rows), BUCKETS), np.float32)
+    for i, (cell, n) in enumerate(zip(rows["cell"], rows["n"], strict=True)):
+        x[i, cell] = n
+    return train(x, rows["lang"].tolist())
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
