@@ -18,11 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import materialize
 
+#: Texts that a task holds as Python strings at a time.
+TEXTS = 256
 #: Rows of a plan: length, first rank, pieces, first sequence, offset.
 Plan = list[tuple[int, int, int, int, int]]
 
@@ -206,22 +209,24 @@ def best_plan(counts: dict[int, int], capacity: int, variants: tuple[tuple[int,
 def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each document's pieces; the first may be shorter."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quire.llm.tokens import encoder
 
         enc, end = encoder(vocabulary), int(end_id).to_bytes(4, "little")
-        for pdf in batches:
-            rows = []
-            for null, doc_id, text in zip(pdf["none"], pdf["id"], pdf["text"], strict=True):
-                raw = enc.ids(text or "") + end
-                n = len(raw) // 4
-                edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                rows += [(None if null else int(doc_id), p, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):  # few texts at a time as Python strings
+                rows = []
+                for row in batch.slice(at, TEXTS).to_pylist():
+                    raw = enc.ids(row["text"] or "") + end
+                    n = len(raw) // 4
+                    edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
+                    rows += [(row["id"], p, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
-    rows = docs.select(F.col(id_col).isNull().alias("none"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, end_id: int = 2, capacity: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

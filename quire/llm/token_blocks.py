@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ from quire.llm.common import join_small, materialize, scratch
 
 MAGIC, HEAD = b"QPF1", struct.Struct("<4sIIIQQQ")
 BLOCK = 512
+#: Texts that a task holds as Python strings at a time.
+TEXTS = 256
 NULL_ID = -(2**63)
 _BLOCK_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("n", "<u2")])
 
@@ -183,32 +186,32 @@ def write_token_blocks(docs: DataFrame, folder: str, vocabulary: str, end_id: in
     tokens.
     """
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from quire.llm.tokens import encoder
 
         enc, end = encoder(vocabulary), np.array([end_id], "<u4").tobytes()
         partition, sequence = TaskContext.get().partitionId(), 0
         writer = SegmentWriter(partition, 0)
 
-        def close() -> pd.DataFrame:
+        def close() -> pa.RecordBatch:
             name = f"segment-{writer.partition:06d}-{writer.sequence:06d}.qpf"
             _store(folder, name, writer.bytes())
-            return pd.DataFrame({"partition": [writer.partition], "sequence": [writer.sequence], "name": [name], "docs": [len(writer.ids)], "tokens": [writer.tokens]})
-
-        for pdf in batches:
-            for null, doc_id, text in zip(pdf["none"], pdf["id"], pdf["text"], strict=True):
-                writer.add(None if null else int(doc_id), enc.ids(text or "") + end)
-                if writer.packed >= segment_bytes:
-                    yield close()
-                    sequence += 1
-                    writer = SegmentWriter(partition, sequence)
+            return pa.RecordBatch.from_pydict({"partition": [writer.partition], "sequence": [writer.sequence], "name": [name], "docs": [len(writer.ids)], "tokens": [writer.tokens]})
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):  # few texts at a time as Python strings
+                for row in batch.slice(at, TEXTS).to_pylist():
+                    writer.add(row["key"], enc.ids(row["text"] or "") + end)
+                    if writer.packed >= segment_bytes:
+                        yield close()
+                        sequence += 1
+                        writer = SegmentWriter(partition, sequence)
         if writer.ids:
             yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
-    rows = rows.select(F.col("key").isNull().alias("none"), F.coalesce("key", F.lit(0)).alias("id"), "text")
-    return materialize(rows.mapInPandas(encode, "partition long, sequence long, name string, docs long, tokens long"), "manifest")
+    return materialize(rows.mapInArrow(encode, "partition long, sequence long, name string, docs long, tokens long"), "manifest")
 
 
 def read_token_blocks(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
