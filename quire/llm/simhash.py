@@ -20,11 +20,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.blocks import block_pairs, compare_groups, shifted_pairs
-from quire.llm.common import BROADCAST_ROWS, materialize
+from quire.llm.common import BROADCAST_ROWS, join_small, materialize
 from quire.llm.components import components, contract
 
 SEED = 42
@@ -36,10 +36,16 @@ def fingerprint(text: str | None, shingle: int = 4, distinct: bool = False) -> i
     A bit is 1 if it is set in over half of the shingles' XXH64. Fewer words than a shingle make
     one sequence.
     """
+    h = _hashes(text, shingle, distinct and shingle == 1)
+    return _bits(np.unique(h) if distinct else h)
+
+
+def _hashes(text: str | None, shingle: int, once: bool = False) -> np.ndarray:
+    """XXH64 of each shingle of the lower-cased words, in order; each word only ``once`` if asked."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
-    if distinct and shingle == 1:
+        return np.zeros(0, np.uint64)
+    if once:
         words = list(dict.fromkeys(words))
     joined = memoryview(b" ".join(words))
     length = np.fromiter(map(len, words), np.int64, len(words))
@@ -48,10 +54,12 @@ def fingerprint(text: str | None, shingle: int = 4, distinct: bool = False) -> i
     n = max(1, len(words) - shingle + 1)
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
-    if distinct:
-        h = np.unique(h)
-        n = len(h)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), last.tolist(), strict=True)), np.uint64, n)
+
+
+def _bits(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes."""
+    n = len(h)
     count = np.zeros(64, np.int64)
     for at in range(0, n, 1 << 16):
         part = h[at : at + (1 << 16)]
@@ -169,30 +177,121 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named.hint("shuffle_merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 6, stripes: int = 8, check: int = 14) -> DataFrame:
-    """doc_id and component_id of every row, for near copies of similarity 0.8 or so on five-word shingles.
-
-    Copies with a few words changed share most words but far fewer five-word shingles, whose
-    fingerprints then differ by about ten bits, too many to search for. So pairs are sought among
-    fingerprints of the sets of words, at ``radius`` bits, and verified by the fingerprints of
-    five-word shingles, at ``check`` bits (a Jaccard similarity of 0.8 makes about ten, unrelated
-    texts 32). Null and empty texts are alike; otherwise as ``near_duplicates``.
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+    radius: int = 6, stripes: int = 8, check: int = 14, share: int = 80, shingle: int = 5, block: int = 1024,
+) -> DataFrame:
+    """doc_id and component_id of every row; texts are linked at a Jaccard similarity of ``share`` percent or more.
+
+    The similarity is that of the sets of hashed shingles, and every link is verified by it. Pairs
+    are sought in three ways. SimHash pivot tables (words within ``radius`` bits, shingles within
+    ``check``) and the least text of each shared key link most groups in work linear in their size.
+    Then all texts that share a key and are not linked yet are compared, so no pair is lost: in
+    any one order of shingles, two sets that similar share one of their first
+    n - ceil(n * ``share`` / 100) + 1, which are the keys. Shingles common in a sample come last in
+    the order, so that passages found everywhere are seldom keys. Before sets are read, pairs whose
+    parities (1,024 bits, each turned by the shingles hashed to it) differ in more bits than sets
+    that similar differ in shingles are left out. Texts without a word are alike; otherwise as
+    ``near_duplicates``.
     """
+    texts = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
+    common = _common_shingles(texts, shingle)
 
-    @F.pandas_udf("fp long, second long")
+    @F.pandas_udf("fp long, second long, n int, parity array<long>, keys array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"fp": np.array([fingerprint(t, 1, True) for t in texts], np.uint64).view(np.int64), "second": np.array([fingerprint(t, 5) for t in texts], np.uint64).view(np.int64)})
+        out = []
+        for t in texts:
+            h = _hashes(t, shingle)
+            kept = _set(h)
+            last = common[np.searchsorted(common[:-1], kept)] == kept
+            keys = np.concatenate([kept[~last], kept[last]])[: len(kept) + len(kept) * -share // 100 + 1]
+            parity = np.packbits(np.bincount((kept & np.uint64(1023)).astype(np.int64), minlength=1024) & 1 == 1)
+            out.append((fingerprint(t, 1, True), _bits(h), len(kept), parity.view(np.int64), keys.view(np.int64)))
+        fp, second, n, parity, keys = zip(*out, strict=True) if out else ((),) * 5
+        return pd.DataFrame({"fp": np.array(fp, np.uint64).view(np.int64), "second": np.array(second, np.uint64).view(np.int64), "n": np.array(n, np.int32), "parity": list(parity), "keys": list(keys)})
+
+    prints = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("node"), of(F.col(text_col)).alias("p"))
+    prints = materialize(prints.select("doc_id", "node", "p.*"), "fingerprints")
+    nodes = materialize(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "distinct")
+    twice = materialize(nodes.where("rows > 1").select("node"), "twice")
+    figures = prints.drop("doc_id")
+    distinct = join_small(figures, twice, ["node"], "left_anti").unionByName(join_small(figures, twice, ["node"], "left_semi").dropDuplicates(["node"]))
+
+    # Texts that share a key, and the least of them.
+    of_key = Window.partitionBy("key")
+    keyed = distinct.select("node", F.explode("keys").alias("key")).withColumns({"low": F.min("node").over(of_key), "high": F.max("node").over(of_key)})
+    shared = materialize(keyed.where("low < high").select("key", "node", "low"), "shared").where("low < node")
+    sought = link_fingerprints(distinct, radius, stripes, check=check).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    first = materialize(sought.unionByName(shared.select(F.col("low").alias("a"), F.col("node").alias("b"))).where("a < b").distinct(), "first-pairs")
+    side = lambda name: distinct.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("parity").alias(f"p_{name}")).hint("shuffle_merge")
+    bits = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    likely = first.join(side("a"), "a").join(side("b"), "b").where(bits * (100 + share) <= (F.col("n_a") + F.col("n_b")) * (100 - share))
+    links = _verified(materialize(likely.select("a", "b"), "likely"), texts, share, shingle)
+
+    # All others that share a key, but for those linked already.
+    label = materialize(components(links), "first-components").select("node", "component")
+    rest = materialize(join_small(shared.drop("low"), label, ["node"], "left").withColumn("component", F.coalesce("component", "node")), "rest")
+    mixed = materialize(rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key"), "mixed")
+    rest = join_small(rest, mixed, ["key"], "left_semi").join(distinct.select("node", "n", "parity").hint("shuffle_merge"), "node")
 
-    prints = docs.select(F.col(id_col).cast("long").alias("doc_id"), of(F.col(text_col)).alias("p"))
-    prints = materialize(prints.select("doc_id", "p.fp", "p.second", F.xxhash64("p.fp", "p.second").alias("node")), "fingerprints")
-    distinct = materialize(prints.groupBy("fp", "second", "node").agg(F.min("doc_id").alias("least")), "distinct")
-    found = components(link_fingerprints(distinct, radius, stripes, check=check))
-    grouped = distinct.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    def compare(pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
+        node, label, n = pdf["node"].to_numpy(), pdf["component"].to_numpy(), pdf["n"].to_numpy(np.int64)
+        parity = np.stack(pdf["parity"]).view(np.uint64)
+        apart = (pdf["bi"] != pdf["bj"]).to_numpy()
+        for i, j in shifted_pairs(starts, pdf["own"].to_numpy(), apart):
+            near = (label[i] != label[j]) & (np.minimum(n[i], n[j]) * 100 >= np.maximum(n[i], n[j]) * share)
+            i, j = i[near], j[near]
+            near = np.bitwise_count(parity[i] ^ parity[j]).sum(1, dtype=np.int64) * (100 + share) <= (n[i] + n[j]) * (100 - share)
+            if near.any():
+                a, b = node[i[near]], node[j[near]]
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    dealt = block_pairs(materialize(rest, "unlinked"), ["key"], "node", block)
+    others = compare_groups(dealt, ["key"], compare, "a long, b long").distinct().join(first.hint("shuffle_merge"), ["a", "b"], "left_anti")
+    found = components(links.unionByName(_verified(materialize(others, "other-pairs"), texts, share, shingle)))
+    grouped = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = materialize(grouped.join(least, "component").select("node", "component_id"), "named")
     return prints.select("doc_id", "node").join(named.hint("shuffle_merge"), "node").select("doc_id", "component_id")
 
 
+def _set(h: np.ndarray) -> np.ndarray:
+    """The distinct hashes in order; without any, zero alone, so that all such texts are alike."""
+    return np.unique(h) if len(h) else np.zeros(1, np.uint64)
+
+
+def _common_shingles(texts: DataFrame, shingle: int, sample: int = 8192, most: int = 100_000) -> np.ndarray:
+    """Hashes, in order and closed by the largest, of shingles in three or more of about ``sample`` texts.
+
+    They only put keys in order; no pair hangs on them.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for t in pdf["text"]:
+                yield pd.DataFrame({"h": _set(_hashes(t, shingle)).view(np.int64)})
+
+    rows = texts.count()
+    some = texts.select("text").sample(min(1.0, sample / max(1, rows)), SEED).mapInPandas(run, "h long")
+    found = some.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(most).select("h").toPandas()
+    return np.append(np.sort(found["h"].to_numpy(np.int64).view(np.uint64)), np.uint64(2**64 - 1))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, share: int, shingle: int) -> DataFrame:
+    """The ``pairs`` (a, b: nodes of ``texts``) whose sets of hashed shingles are ``share`` percent alike or more."""
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([_set(_hashes(t, shingle)).view(np.int64) for t in texts], dtype=object)
+
+    needed = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "needed")
+    read = join_small(texts, needed, ["node"], "left_semi").dropDuplicates(["node"])
+    sets = materialize(read.select("node", shingles("text").alias("set")), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")).hint("shuffle_merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")).hint("shuffle_merge"), "b")
+    both = both.select("a", "b", (F.size("x") + F.size("y")).alias("all"), F.size(F.array_intersect("x", "y")).alias("held"))
+    return materialize(both.where(F.col("held") * 100 >= share * (F.col("all") - F.col("held"))).select("a", "b"), "links")
+
+
 def without_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """``docs`` with the document of least id of each group of near copies, and all without copies.
 

@@ -131,6 +131,32 @@ def test_fingerprints(t):
     assert simhash.fingerprint(t) == plain_fingerprint(t)
 
 
+def shingle_set(text, n=5):
+    w = (text or "").encode().lower().split()
+    return {b" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def test_similar_documents_against_brute_force(spark, texts):
+    rng = np.random.default_rng(5)
+    rows = list(texts["text"][:120])
+    for k in range(40):
+        base = [f"w{v}" for v in rng.integers(0, 5000, rng.integers(20, 300))]
+        for changed in rng.integers(1, 1 + len(base) // 20 + k % 3, 3):
+            copy = list(base)
+            for at in rng.choice(len(base), changed, replace=False):
+                copy[at] = f"x{rng.integers(0, 5000)}"
+            rows.append(" ".join(copy))
+        rows.append(" ".join(base))
+    exact = [f"e{v}" for v in range(49)]  # 45 shingles; five more words add five: 45 of 50, then 45 of 56, 45 of 57
+    rows += [" ".join(exact + [f"{c}{v}" for v in range(n)]) for c, n in (("f", 0), ("g", 11), ("h", 12))]
+    sets = [shingle_set(t) for t in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) * 100 >= 80 * len(sets[i] | sets[j])]
+    want = contract(np.array([a for a, _ in links]), np.array([b for _, b in links]), len(rows))
+    got = simhash.similar_documents(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), block=8).toPandas().sort_values("doc_id")
+    assert got["component_id"].tolist() == want.tolist()
+    assert len(links) > 20 and want[-2] == len(rows) - 3 and want[-1] != want[-3]
+
+
 def test_links_lose_no_pair(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
