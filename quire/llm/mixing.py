@@ -4,18 +4,21 @@ Each source is a stream of words: its documents in hashed order, once for each p
 The stream is cut into blocks of equal length, and the target of a source is a quota of blocks.
 The tree splits the quotas of all sources among output shards, halving the shards at each node
 and drawing how many blocks of each source go left, so every shard gets its exact number of
-blocks and the sources mix at random. A shard then takes the next blocks of each stream, which no
-other shard takes, and orders them by hash.
+blocks and the sources mix at random. The blocks of a source's quota are permuted by a seeded
+bijection, each shard draws its number of them in that order, so no block is drawn twice, and
+puts what it drew in hashed order. A block that no shard draws is not in the mix.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import join_small, materialize
+from quire.llm.common import BROADCAST_ROWS, join_small, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Times a source may be repeated.
@@ -72,6 +75,15 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
+def bijection(n: int, seed: list[int]) -> tuple[int, int]:
+    """Factor and shift for which (factor * i + shift) % n takes every number below n once."""
+    rng = np.random.default_rng(seed)
+    factor = int(rng.integers(1, max(2, n)))
+    while math.gcd(factor, n) > 1:
+        factor += 1
+    return factor, int(rng.integers(0, max(1, n)))
+
+
 def row_key(id_col: str, text_col: str, source_col: str) -> F.Column:
     return F.xxhash64(F.col(id_col).cast("long"), F.col(source_col).cast("string"), F.col(text_col))
 
@@ -83,8 +95,8 @@ def mixture(
     """The draw and the documents' figures.
 
     The draw has a row for each run of words that a shard takes from one pass over a document:
-    row_key, copy, doc_id, source, size, pass, shard, slot (order within the shard), block,
-    from_word, n_words. The figures have a row for each row of ``docs``: row_key, copy, doc_id,
+    row_key, copy, doc_id, source, size, pass, shard, slot (order within the shard), index (the
+    block, counted over all passes of the source), from_word, n_words. The figures have a row for each row of ``docs``: row_key, copy, doc_id,
     source, size, source_size, target. ``row_key`` hashes id, source and text; repeated rows
     share it and differ in ``copy``. Null ids and sources are kept, null being one source.
     Documents without a word are in no run, and an empty table gives two empty ones. Small
@@ -102,12 +114,13 @@ def mixture(
     blocks = -(-size // block)
     quota = np.minimum(np.rint(target / block), repeats * blocks).astype(np.int64)
     ends = np.cumsum(split_quotas(quota, shards, seed), 0).T  # of each source, its blocks up to and with each shard
+    turns = [bijection(int(q), [seed, i]) for i, q in enumerate(quota)]
     names = [None if v is None or v != v else v for v in plan["source"]]
     table = spark.createDataFrame(
-        [(names[i], i, int(size[i]), float(target[i]), int(block[i]), int(blocks[i]), int(quota[i]), [int(v) for v in ends[i]]) for i in range(len(plan))],
-        "name string, ordinal int, source_size long, target double, words long, blocks long, quota long, ends array<long>",
+        [(names[i], i, int(size[i]), float(target[i]), int(block[i]), int(blocks[i]), int(quota[i]), *turns[i], [int(v) for v in ends[i]]) for i in range(len(plan))],
+        "name string, ordinal int, source_size long, target double, words long, blocks long, quota long, factor long, shift long, ends array<long>",
     )
-    figures = rows.join(F.broadcast(table) if len(plan) <= 10_000 else table, F.col("source").eqNullSafe(F.col("name"))).drop("name")
+    figures = rows.join(F.broadcast(table) if len(plan) <= BROADCAST_ROWS else table, F.col("source").eqNullSafe(F.col("name"))).drop("name")
 
     # The documents of each pass in hashed order. Buckets of the hash keep the running sums apart.
     passes = F.sequence(F.lit(0), F.ceil(F.col("quota") / F.col("blocks")).cast("int") - 1)
@@ -121,37 +134,45 @@ def mixture(
     base = filled.select("ordinal", "pass", "bucket", F.coalesce(F.sum("filled").over(order), F.lit(0)).alias("base"))
     placed = join_small(streams, base, ["ordinal", "pass", "bucket"], rows=filled.count()).withColumn("at", F.col("base") + F.col("before"))
     covered = F.sequence(F.floor(F.col("at") / F.col("words")), F.floor((F.col("at") + F.col("size") - 1) / F.col("words")))
+    # the blocks of the quota, permuted; each shard draws its number of them
     runs = placed.withColumn("block", F.explode(covered)).withColumn("index", F.col("pass") * F.col("blocks") + F.col("block")).where("index < quota")
+    drawn = F.size(F.filter("ends", lambda e: e <= F.expr("(factor * index + shift) % quota")))
+    runs = runs.withColumn("shard", drawn).where(F.col("shard") < shards)
     begin = F.greatest(F.col("at"), F.col("block") * F.col("words"))
     end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * F.col("words"))
     runs = runs.select(
-        "row_key", "copy", "doc_id", "source", "size", "pass", F.size(F.filter("ends", lambda e: e <= F.col("index"))).alias("shard"),
-        F.xxhash64("ordinal", "index", F.lit(seed)).alias("slot"), "block", (begin - F.col("at")).alias("from_word"), (end - begin).alias("n_words"),
+        "row_key", "copy", "doc_id", "source", "size", "pass", "shard", F.xxhash64("ordinal", "index", F.lit(seed)).alias("slot"), "index",
+        (begin - F.col("at")).alias("from_word"), (end - begin).alias("n_words"),
     )
     return runs, figures.select("row_key", "copy", "doc_id", "source", "size", "source_size", "target")
 
 
 def taken(runs: DataFrame, figures: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target and the words the mix takes, for every row."""
-    words = runs.groupBy("row_key", "copy").agg(F.sum("n_words").alias("taken"))
-    return figures.join(words, ["row_key", "copy"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    """doc_id, size, source_size, target and the words that the shards hold, for every row."""
+    held = runs.where("shard IS NOT NULL").groupBy("row_key", "copy").agg(F.sum("n_words").alias("taken"))
+    return figures.join(held, ["row_key", "copy"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mixed corpus with the columns of ``docs``: each document once for each pass that takes
-    words of it, its text cut to the words taken there, with their spacing.
+    """The mixed corpus with the columns of ``docs``, by shard and in each by slot.
 
-    Only the document at the end of a source's quota is cut. ``n_chars``, if there is such a
-    column, follows the text.
+    A document comes once for each pass that takes words of it, in the shard and at the slot of
+    the first block that takes them, its text cut to the words taken there, with their spacing;
+    only the document at the end of a source's quota is cut. ``n_chars``, if there is such a
+    column, follows the text. Rows are ranged by (shard, slot), so partitions and written files
+    are in that order.
     """
     runs, figures = mixture(docs, id_col, text_col, source_col, **options)
-    spans = runs.groupBy("row_key", "copy", "pass").agg(F.sum("n_words").alias("__n"), F.first("size").alias("__size"))
-    keyed = docs.withColumn("row_key", row_key(id_col, text_col, source_col))
+    first = F.min_by(F.struct("shard", "slot"), "from_word")
+    spans = runs.groupBy("row_key", "copy", "pass").agg(F.sum("n_words").alias("__n"), F.first("size").alias("__size"), first.alias("__at"))
+    spans = spans.select(F.col("row_key").alias("__row"), "__n", "__size", F.col("__at.shard").alias("__shard"), F.col("__at.slot").alias("__slot"))
+    keyed = docs.withColumn("__row", row_key(id_col, text_col, source_col))
     if figures.where("copy > 1").head(1):
-        keyed = keyed.dropDuplicates(["row_key"])
+        keyed = keyed.dropDuplicates(["__row"])
     words = F.regexp_extract_all(F.col(text_col), F.lit(rf"({WORD}[\x20\x09-\x0D]*)"), F.lit(1))
     part = F.regexp_replace(F.array_join(F.slice(words, F.lit(1), F.col("__n").cast("int")), ""), r"[\x20\x09-\x0D]+$", "")
-    out = keyed.join(spans, "row_key").withColumn(text_col, F.when(F.col("__n") >= F.col("__size"), F.col(text_col)).otherwise(part))
+    out = keyed.join(spans, "__row").withColumn(text_col, F.when(F.col("__n") >= F.col("__size"), F.col(text_col)).otherwise(part))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(text_col).cast(docs.schema["n_chars"].dataType))
+    out = out.repartitionByRange("__shard", "__slot", "__row").sortWithinPartitions("__shard", "__slot", "__row")
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -118,6 +118,9 @@ def test_mixture(docs, none):
     assert mixed.columns == docs.columns
     words = sum(len(r.text.split()) for r in mixed.collect())
     assert words == got["taken"].sum()
+    clash = docs.withColumns({c: F.lit(i) for i, c in enumerate(("row_key", "copy", "pass", "shard", "slot", "index", "ordinal"))})
+    again = mixing.mixed_documents(clash)
+    assert again.columns == clash.columns and {(r.row_key, r["copy"], r["index"]) for r in again.collect()} == {(0, 1, 5)}
     assert mixing.taken(*mixing.mixture(none)).count() == 0 and mixing.mixed_documents(none).count() == 0
 
 

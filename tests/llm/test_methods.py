@@ -313,12 +313,60 @@ def test_mixture_meets_targets_with_disjoint_blocks(spark):
     got = mixing.taken(runs, figures).join(docs.select("doc_id", "source"), "doc_id").toPandas()
     by = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"))
     assert (abs(by["taken"] - by["target"]) <= 0.01 * by["size"] + 2).all()
-    block = runs.groupBy("source", "pass", "block").agg(F.countDistinct("shard").alias("shards")).where("shards > 1")
+    block = runs.groupBy("source", "index").agg(F.countDistinct("shard").alias("shards")).where("shards > 1")
     assert block.count() == 0
     over = runs.groupBy("row_key", "pass").agg(F.sum("n_words").alias("n"), F.max("size").alias("size")).where("n > size")
     assert over.count() == 0
 
 
+def plan_of(docs, seed=42):
+    """Sources in order, their block lengths and quotas, in plain Python."""
+    docs = docs.assign(size=[len(t.split()) for t in docs["text"]])
+    plan = mixing.targets(docs.groupby("source", as_index=False)["size"].sum())
+    block = [min(max(n // 1024, 1), 256) for n in plan["size"]]
+    quota = [min(round(t / b), 3 * -(-n // b)) for t, b, n in zip(plan["target"], block, plan["size"])]
+    return plan["source"].tolist(), block, quota
+
+
+def test_mixture_against_plain_python(spark, texts):
+    df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source")
+    runs, figures = mixing.mixture(df)
+    got = mixing.taken(runs, figures).toPandas().set_index("doc_id")["taken"]
+    key = df.select("doc_id", "source", mixing.row_key("doc_id", "text", "source").alias("k"), *(F.xxhash64(mixing.row_key("doc_id", "text", "source"), F.lit(1).cast("long"), F.lit(p), F.lit(42)).alias(f"h{p}") for p in range(3))).toPandas()
+    size = {i: len(t.split()) for i, t in zip(texts["doc_id"], texts["text"])}
+    want = dict.fromkeys(size, 0)
+    for source, block, quota in zip(*plan_of(texts)):
+        own = key[(key["source"] == source) & (key["doc_id"].map(size) > 0)]
+        per_pass = -(-sum(size[i] for i in own["doc_id"]) // block)
+        for p in range(3):
+            left = max(0, min(quota - p * per_pass, per_pass)) * block
+            for _, _, _, i in sorted((int(h) >> 20 & 63, int(h), int(k), i) for h, k, i in zip(own[f"h{p}"], own["k"], own["doc_id"])):
+                want[i] += min(left, size[i])
+                left -= min(left, size[i])
+    assert got.to_dict() == want
+
+
+def test_shards_hold_what_the_tree_gives_them(spark, texts, monkeypatch):
+    df = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source")
+    names, _, quota = plan_of(texts)
+    split = mixing.split_quotas(np.array(quota), 4, 42)
+    held = mixing.mixture(df, shards=4)[0].groupBy("source", "shard").agg(F.countDistinct("index").alias("n")).collect()
+    assert {(r.source, r.shard): r.n for r in held} == {(names[j], i): int(split[i, j]) for i in range(4) for j in range(len(names)) if split[i, j]}
+    places = mixing.mixture(df, shards=4)[0].where("source = 'src_00'" if "src_00" in names else F.lit(True)).orderBy("source", "index").select("shard").toPandas()["shard"]
+    assert (np.diff(places) < 0).any()  # a shard's blocks are not one slice of the stream
+    before = [r.doc_id for r in mixing.mixed_documents(df, shards=4).collect()]
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, n, seed: np.array([q // 2, q * 0, q * 0, q * 0]))
+    after = [r.doc_id for r in mixing.mixed_documents(df, shards=4).collect()]
+    assert len(after) < len(before) and mixing.mixture(df, shards=4)[0].where("shard > 0").count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 3000), st.integers(0, 50))
+def test_blocks_are_permuted(n, seed):
+    factor, shift = mixing.bijection(n, [seed])
+    assert sorted((factor * i + shift) % n for i in range(n)) == list(range(n))
+
+
 @pytest.mark.parametrize("name", ["op4_line_templates", "op9_chat_round_trip"])
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()
