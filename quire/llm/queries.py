@@ -137,14 +137,19 @@ ORACLES["op4_line_templates"] = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
   FROM documents WHERE text IS NOT NULL),
+raw AS (SELECT doc_id, pos, list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda t: t <> '') AS t FROM lines),
 toks AS (
-  SELECT doc_id, pos, list_transform(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda t: t <> ''),
-    lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS t
-  FROM lines),
+  SELECT doc_id, pos, CASE
+    WHEN len(t) >= 4 AND len(list_filter(t, lambda w: regexp_matches(w, '\pL') AND NOT regexp_matches(w, '[0-9]'))) >= greatest(3, 0.5 * len(t))
+    THEN list_transform(t, lambda w: CASE WHEN regexp_matches(w, '[0-9]') THEN '<*>' ELSE w END) ELSE t END AS t
+  FROM raw),
 long_ AS (
   SELECT doc_id, pos, t, len(t) AS n, array_to_string(t, ' ') AS lh, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf
-  FROM toks WHERE len(t) >= 4),
-counts AS (SELECT lh, leaf, n, any_value(t) AS t, count(DISTINCT doc_id) AS docs FROM long_ GROUP BY lh, leaf, n),
+  FROM toks WHERE len(t) > 0),
+counts AS (
+  SELECT lh, leaf, n, any_value(t) AS t, count(DISTINCT doc_id) AS docs,
+    CASE WHEN n < 4 AND length(lh) < 20 THEN greatest(3, (SELECT (count(*) + 99) // 100 FROM documents WHERE text IS NOT NULL)) ELSE 3 END AS need
+  FROM long_ GROUP BY lh, leaf, n),
 leaves AS (
   SELECT leaf FROM counts WHERE n > 5 GROUP BY leaf
   HAVING sum(CASE WHEN docs < 3 THEN docs ELSE 0 END) >= 3 AND count(*) > 1),
@@ -153,7 +158,7 @@ cells AS (
   FROM counts WHERE n > 5 AND leaf IN (SELECT leaf FROM leaves)),
 marked AS (SELECT *, sum(docs) OVER (PARTITION BY leaf, p, token) >= 3 AS constant FROM cells),
 shaped AS (
-  SELECT lh, leaf, n, docs, count(*) FILTER (constant AND token <> '<*>') AS held,
+  SELECT lh, leaf, n, docs, count(*) FILTER (constant AND token <> '<*>' AND regexp_matches(token, '\pL')) AS held,
     string_agg(CASE WHEN constant THEN token ELSE '<*>' END, ' ' ORDER BY p) AS shape
   FROM marked GROUP BY lh, leaf, n, docs),
 wide AS (SELECT lh, docs, leaf || '|' || shape AS template FROM shaped WHERE held >= 5 AND held >= 0.75 * n),
@@ -161,7 +166,7 @@ often AS (SELECT template FROM wide GROUP BY template HAVING sum(docs) >= 3 AND
 fine AS (SELECT lh, template FROM wide WHERE template IN (SELECT template FROM often)),
 known AS (
   SELECT * FROM fine
-  UNION ALL SELECT lh, 'line|' || lh FROM counts WHERE docs >= 3 AND lh NOT IN (SELECT lh FROM fine)),
+  UNION ALL SELECT lh, 'line|' || lh FROM counts WHERE docs >= need AND lh NOT IN (SELECT lh FROM fine)),
 hits AS (SELECT doc_id, pos, template FROM long_ JOIN known USING (lh)),
 recurring AS (SELECT template, min(doc_id) AS keeper FROM hits GROUP BY template HAVING count(DISTINCT doc_id) >= 3),
 gone AS (SELECT DISTINCT doc_id, pos FROM hits JOIN recurring USING (template) WHERE doc_id <> keeper),

@@ -81,6 +81,15 @@ def test_lines(spark, docs, none):
     rows = [(i, f"{'alpha beta gamma delta omega'.split()[i]} stands here alone\n" + line.format("public", i)) for i in range(5)] + [(9, line.format("secret", 4)), (8, "All\nAll\nAll"), (7, "All")]
     got = {r.doc_id: r for r in line_templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[0].n_dropped == 0 and [got[i].n_dropped for i in (1, 2, 3, 4)] == [1, 1, 1, 1]
+    figures = ["{} {} {} {}", "{} = {} + {} x", "| {} | {} | a |", "{}, {}: {} b c"]  # mostly numbers: alike only if equal
+    rows = [(i, "\n".join(f.format(i, i + 1, i + 2, i * 7) for f in figures)) for i in range(9)] + [(9, figures[0].format(*range(4))), (10, figures[0].format(*range(4)))]
+    told = {r.doc_id: r for r in line_templates.drop_templates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(r.n_dropped for r in told.values()) == 0
+    short = [(i, f"All rights reserved, friends\nword{i}\nMenu\n日本語の文がここに二十文字以上ありますのでね") for i in range(5)] + [(i, f"w{i} x{i}") for i in range(5, 400)]
+    told = {r.doc_id: r for r in line_templates.drop_templates(spark.createDataFrame(short, "doc_id long, text string")).collect()}
+    assert [told[i].n_dropped for i in range(5)] == [0, 3, 3, 3, 3] and told[1].text == "word1" and told[7].n_dropped == 0
+    told = line_templates.drop_templates(spark.createDataFrame(short, "doc_id long, text string"), short_every=50).where("doc_id = 1").first()
+    assert told.text == "word1\nMenu"
     assert got[1].text == "beta stands here alone" and got[9].n_dropped == 0 and got[8].n_dropped == got[7].n_dropped == 0
 
 
