@@ -7,8 +7,8 @@ A segment file holds whole documents in order:
     doc_id i64 for each document (the least i64 stands for null)
     end offset u64 of each document, in tokens
     byte start u64 of each block, and the end of the last
-    blocks: minimum u32, width u8, exceptions u16, the low ``width`` bits of value - minimum,
-    positions u16 and high bits u32 of the exceptions
+    blocks: minimum u32, width u8, exceptions u16, the low ``width`` bits of value - minimum in
+    32-bit words from the lowest bit on, positions u16 and high bits u32 of the exceptions
 
 The width of a block is the bit length of a percentile of its offsets, so a few large ids do
 not widen the rest; they go to the exception list.
@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import join_small, materialize, scratch
 
 MAGIC, HEAD = b"QPF1", struct.Struct("<4sIIIQQQ")
+#: Tokens of a block, a multiple of 32.
 BLOCK = 512
 #: Texts that a task holds as Python strings at a time.
 TEXTS = 256
@@ -38,6 +39,34 @@ NULL_ID = -(2**63)
 _BLOCK_HEAD = np.dtype([("low", "<u4"), ("width", "u1"), ("n", "<u2")])
 
 
+def _squeeze(values: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of each row's values, put together in 32-bit words; 32 values make ``width`` words."""
+    n, block = values.shape
+    out = np.zeros((width, n, block // 32), np.uint32)
+    if width:
+        turned = np.ascontiguousarray(values.reshape(n, -1, 32).transpose(2, 0, 1)) & np.uint32(2**width - 1)
+        for i in range(32):
+            word, shift = divmod(i * width, 32)
+            out[word] |= turned[i] << np.uint32(shift)
+            if shift + width > 32:
+                out[word + 1] |= turned[i] >> np.uint32(32 - shift)
+    return np.ascontiguousarray(out.transpose(1, 2, 0)).reshape(n, -1)
+
+
+def _spread(words: np.ndarray, width: int, block: int) -> np.ndarray:
+    """The values that ``_squeeze`` put into rows of words."""
+    out = np.zeros((32, len(words), block // 32), np.uint32)
+    if width:
+        turned = np.ascontiguousarray(words.reshape(len(words), -1, width).transpose(2, 0, 1))
+        for i in range(32):
+            word, shift = divmod(i * width, 32)
+            out[i] = turned[word] >> np.uint32(shift)
+            if shift + width > 32:
+                out[i] |= turned[word + 1] << np.uint32(32 - shift)
+        out &= np.uint32(2**width - 1)
+    return np.ascontiguousarray(out.transpose(1, 2, 0)).reshape(len(words), block)
+
+
 def pack(values: np.ndarray, block: int = BLOCK, percentile: float = 90.0) -> tuple[list[bytes], np.ndarray]:
     """Blocks of unsigned 32-bit ``values`` as bytes, and the byte length of each.
 
@@ -57,19 +86,19 @@ def pack(values: np.ndarray, block: int = BLOCK, percentile: float = 90.0) -> tu
     at = np.partition(delta, k, axis=1)[:, k]
     width = np.ceil(np.log2(at.astype(np.float64) + 1)).astype(np.uint8)
     out: list[bytes] = [b""] * nb
-    for w in np.unique(width):
+    for w in np.unique(width).tolist():
         rows = np.flatnonzero(width == w)
         d = delta[rows]
-        high = (d.astype(np.uint64) >> np.uint64(w)).astype(np.uint32)
-        if w:
-            bits = np.unpackbits(d.astype(">u4").view(np.uint8).reshape(len(rows), block, 4), axis=2)[:, :, 32 - int(w) :]
-            packed = np.packbits(bits.reshape(len(rows), -1), axis=1)
-        else:
-            packed = np.zeros((len(rows), 0), np.uint8)
-        for i, r in enumerate(rows):
-            at_ = np.flatnonzero(high[i])
-            head = np.array((low[r], w, len(at_)), _BLOCK_HEAD).tobytes()
-            out[r] = b"".join((head, packed[i].tobytes(), at_.astype("<u2").tobytes(), high[i][at_].astype("<u4").tobytes()))
+        high = d >> np.uint32(w) if w < 32 else np.zeros_like(d)
+        packed = _squeeze(d, w)
+        found, places = np.nonzero(high)
+        ends = np.searchsorted(found, np.arange(1, len(rows) + 1)).tolist()
+        places, rest = places.astype("<u2"), high[found, places].astype("<u4")
+        first = 0
+        for i, (r, last) in enumerate(zip(rows.tolist(), ends, strict=True)):
+            head = np.array((low[r], w, last - first), _BLOCK_HEAD).tobytes()
+            out[r] = b"".join((head, packed[i].tobytes(), places[first:last].tobytes(), rest[first:last].tobytes()))
+            first = last
     return out, np.array([len(b) for b in out], np.int64)
 
 
@@ -81,15 +110,9 @@ def unpack(data: memoryview, starts: np.ndarray, n: int, block: int = BLOCK) ->
     grid = out.reshape(-1, block)
     for w in np.unique(widths):
         rows = np.flatnonzero(widths == w)
-        size = (block * int(w) + 7) // 8
-        if w:
-            raw = np.stack([np.frombuffer(data, np.uint8, size, int(starts[r]) + _BLOCK_HEAD.itemsize) for r in rows])
-            bits = np.unpackbits(raw, axis=1)[:, : block * int(w)].reshape(len(rows), block, int(w))
-            full = np.zeros((len(rows), block, 32), np.uint8)
-            full[:, :, 32 - int(w) :] = bits
-            values = np.packbits(full.reshape(len(rows), -1), axis=1).view(">u4").astype(np.uint32)
-        else:
-            values = np.zeros((len(rows), block), np.uint32)
+        size = block * int(w) // 8
+        raw = np.stack([np.frombuffer(data, np.uint8, size, int(starts[r]) + _BLOCK_HEAD.itemsize) for r in rows])
+        values = _spread(raw.view("<u4"), int(w), block)
         for i, r in enumerate(rows):
             m = int(heads[r]["n"])
             if m:
@@ -181,9 +204,9 @@ def write_token_blocks(docs: DataFrame, folder: str, vocabulary: str, end_id: in
 
     Documents are dealt out by ranges of ``id_col``, so file order is id order; each task keeps
     one segment of about ``segment_bytes`` in memory. Null texts count as empty and give the end
-    id alone; null ids come first; repeated ids are all written, ties in order of text; an empty
-    table writes no file. Returns the manifest, one row a file: partition, sequence, name, docs,
-    tokens.
+    id alone; null ids come first; repeated ids are all written, ties in order of the text's hash,
+    and ranges cut through them; an empty table writes no file. Returns the manifest, one row a
+    file: partition, sequence, name, docs, tokens.
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,8 +223,9 @@ def write_token_blocks(docs: DataFrame, folder: str, vocabulary: str, end_id: in
 
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):  # few texts at a time as Python strings
-                for row in batch.slice(at, TEXTS).to_pylist():
-                    writer.add(row["key"], enc.ids(row["text"] or "") + end)
+                some = batch.slice(at, TEXTS)
+                for key, text in zip(some.column("key").to_pylist(), some.column("text").to_pylist(), strict=True):
+                    writer.add(key, enc.ids(text or "") + end)
                     if writer.packed >= segment_bytes:
                         yield close()
                         sequence += 1
@@ -209,8 +233,10 @@ def write_token_blocks(docs: DataFrame, folder: str, vocabulary: str, end_id: in
         if writer.ids:
             yield close()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).alias("text"))
-    rows = rows.repartitionByRange("key").sortWithinPartitions("key", "text")
+    # rows equal in id and text may stand in any order, so their numbers may cut a range too
+    order = ["key", "hash", "number"]
+    rows = docs.select(F.col(id_col).cast("long").alias("key"), F.xxhash64(text_col).alias("hash"), F.monotonically_increasing_id().alias("number"), F.col(text_col).alias("text"))
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("key", "text")
     return materialize(rows.mapInArrow(encode, "partition long, sequence long, name string, docs long, tokens long"), "manifest")
 
 
