@@ -218,11 +218,12 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, i
         for batch in batches:
             for at in range(0, batch.num_rows, TEXTS):  # few texts at a time as Python strings
                 rows = []
-                for row in batch.slice(at, TEXTS).to_pylist():
-                    raw = enc.ids(row["text"] or "") + end
+                some = batch.slice(at, TEXTS)
+                for key, text in zip(some.column("id").to_pylist(), some.column("text").to_pylist(), strict=True):
+                    raw = enc.ids(text or "") + end
                     n = len(raw) // 4
                     edges = [0, *range(n % capacity or capacity, n + 1, capacity)]
-                    rows += [(row["id"], p, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
+                    rows += [(key, p, a, b - a, zlib.crc32(raw[4 * a : 4 * b])) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
