@@ -45,21 +45,17 @@ def speakers(text: Column) -> Column:
     return F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in SPEECH))
 
 
-def stop_words() -> Column:
-    return F.array(*(F.lit(w) for w in STOP))
-
-
 def normal(name: Column) -> Column:
     """Without title, possessive, edge marks, and leading stop words while words follow."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(name), TITLE, ""), r"['’]s\b", "")
     bare = F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r"^[ '’\-]+|[ '’\-]+$", "")
     parts = F.split(bare, " ")
-    at = F.array_position(F.transform(parts, lambda w: ~F.array_contains(stop_words(), F.lower(w))), F.lit(True)).cast("int")
+    at = F.array_position(F.transform(parts, lambda w: ~F.lower(w).isin(*STOP)), F.lit(True)).cast("int")
     return F.array_join(F.slice(parts, F.when(at == 0, F.size(parts)).otherwise(at), F.size(parts)), " ")
 
 
 def plausible(name: Column) -> Column:
-    known = F.forall(F.split(name, " "), lambda w: F.array_contains(stop_words(), F.lower(w)))
+    known = F.forall(F.split(name, " "), lambda w: F.lower(w).isin(*STOP))
     return (F.length(name) >= 2) & ~F.rlike(name, F.lit(CONTRACTION)) & ~known
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import names, text
@@ -16,9 +16,9 @@ def harvest(sections: DataFrame, group: str = "source", section: str = "doc_id",
     """
 
     def per_section(column, label: str) -> DataFrame:
-        rows = sections.select(group, section, F.explode(column).alias("raw"))
-        rows = rows.select(group, section, names.normal(F.col("raw")).alias("name"))
-        return rows.groupBy(group, section, "name").agg(F.count("*").alias(label))
+        rows = sections.select(group, section, F.explode(column).alias("raw")).groupBy(group, section, "raw").count()
+        rows = rows.select(group, section, names.normal(F.col("raw")).alias("name"), "count")
+        return rows.groupBy(group, section, "name").agg(F.sum("count").alias(label))
 
     seen = per_section(names.found(F.col(text_col)), "hits").where(names.plausible(F.col("name")))
     spoke = per_section(names.speakers(F.col(text_col)), "spoken").groupBy(group, "name").agg(F.sum("spoken").alias("speech"))
@@ -58,21 +58,28 @@ def containment(found: DataFrame, group: str = "source") -> DataFrame:
     return longer.join(found.select(group, F.col("name").alias("shorter")), [group, "shorter"]).select(group, "shorter", "longer")
 
 
+def whole_words(form: Column) -> Column:
+    """Pattern of the form as it stands, with no letter or digit right before or after it."""
+    quoted = F.replace(form, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+    return F.concat(F.lit(r"(?U)(?<!\w)\Q"), quoted, F.lit(r"\E(?!\w)"))
+
+
 def mentions(texts: DataFrame, forms: DataFrame, id_cols: list[str], text_col: str = "text") -> DataFrame:
     """Texts x forms by whole words: id columns, form, hits, text.
 
-    The first word of a form is joined with the words of the texts; only those pairs are matched.
+    The first word inside a form is joined with the words of the texts; only those pairs are
+    matched. Letters of all scripts are words; forms without any letter or digit are in no text.
     """
-    first = F.regexp_extract("form", r"^\w+", 0)
-    words = texts.select(*id_cols, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(r"\b(\w+)"), F.lit(1)))).alias("__w"))
+    first = F.regexp_extract("form", r"(?U)\w+", 0)
+    words = texts.select(*id_cols, F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(r"(?U)(\w+)"), F.lit(1)))).alias("__w"))
     pairs = words.join(forms.select("form", first.alias("__w")).where("__w <> ''"), "__w").select(*id_cols, "form")
-    whole = F.concat(F.lit(r"\b\Q"), F.col("form"), F.lit(r"\E\b"))
+    whole = whole_words(F.col("form"))
     return texts.select(*id_cols, text_col).join(pairs, id_cols).withColumn("hits", F.regexp_count(F.col(text_col), whole)).where("hits > 0")
 
 
 def mention_windows(found: DataFrame, order: list[str], limit: int, width: int, text_col: str = "text") -> DataFrame:
     """The first ``limit`` windows around each form in the order of the id columns, then place."""
-    pieces = F.split(F.col(text_col), F.concat(F.lit(r"\b\Q"), F.col("form"), F.lit(r"\E\b")), -1)
+    pieces = F.split(F.col(text_col), whole_words(F.col("form")), -1)
     heads = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
     seen = F.aggregate(
         heads, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quire.functions import text
 from quire.operators import codex
 from quire.plans.registry import query, table
+from quire.plans.retrieval import WINDOWS
+from quire.shared import shared_dir
 from quire.sources import sections
 from quire.streaming import increments
 
@@ -21,10 +23,10 @@ def _sql(pattern: str) -> str:
 # Entities are parts, quests are orders, rules are nations, characters are customers.
 ENTRIES = r"""
 WITH raw AS (
-  SELECT 'entity' AS section, p_partkey AS ord, CASE WHEN p_size > 25 THEN 'location' ELSE 'term' END AS kind, p_name AS name, [p_brand, upper(p_name), p_name || ','] AS aliases, p_type AS content, '' AS note FROM part WHERE p_partkey % 4 = 0
-  UNION ALL SELECT 'quest', o_orderkey, 'quest', 'Order ' || o_orderkey, [], concat_ws(chr(10), o_orderpriority, CASE WHEN trim(o_orderstatus) <> '' THEN 'Reward: ' || trim(o_orderstatus) END, CASE WHEN o_orderkey % 2 = 0 THEN 'Outcome: completed' END), 'main' FROM orders WHERE o_orderkey % 50 = 0
+  SELECT 'entity' AS section, p_partkey AS ord, CASE WHEN p_size > 25 THEN 'location' ELSE 'term' END AS kind, p_name AS name, [p_brand, upper(p_name), p_name || ','] AS aliases, p_type AS content, '' AS note FROM part
+  UNION ALL SELECT 'quest', o_orderkey, 'quest', 'Order ' || o_orderkey, [], concat_ws(chr(10), o_orderpriority, CASE WHEN trim(o_orderstatus) <> '' THEN 'Reward: ' || trim(o_orderstatus) END, CASE WHEN o_orderkey % 2 = 0 THEN 'Outcome: completed' END), 'main' FROM orders
   UNION ALL SELECT 'rule', n_nationkey, 'system', n_name, [regexp_replace(n_name, '([a-z])([A-Z])', '\1 \2', 'g')], concat_ws(chr(10), n_name || ' rules', CASE WHEN n_regionkey = 1 THEN 'Formula: ' || n_nationkey END), 'cap, stated' FROM nation
-  UNION ALL SELECT 'character', c_custkey, 'character', c_name, [c_mktsegment], CASE WHEN c_custkey % 3 = 0 THEN '' ELSE repeat(c_name || ' ', 90) END, 'filler' FROM customer WHERE c_custkey % 10 = 0),
+  UNION ALL SELECT 'character', c_custkey, 'character', c_name, [c_mktsegment], CASE WHEN c_custkey % 3 = 0 THEN '' ELSE repeat(c_name || ' ', 90) END, 'filler' FROM customer),
 k AS (SELECT *, list_transform(list_prepend(name, aliases), lambda x: regexp_replace(trim(regexp_replace(x, '\s+', ' ', 'g')), '^[,;]+|[,;]+$', '', 'g')) AS ks FROM raw),
 e AS (SELECT *, list_filter(ks, lambda x, i: x <> '' AND list_position(list_transform(ks, lambda y: lower(y)), lower(x)) = i) AS keys FROM k),
 s AS (SELECT *, row_number() OVER (ORDER BY list_position(['entity', 'quest', 'rule', 'character'], section), ord) - 1 AS uid FROM e WHERE len(keys) > 0 AND (section <> 'character' OR content <> '')),
@@ -37,11 +39,11 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, orders, nation, customer = (table(spark, sf_dir, t) for t in ("part", "orders", "nation", "customer"))
     none = F.array().cast("array<string>")
     rows = [
-        part.where("p_partkey % 4 = 0").select(
+        part.select(
             F.lit("entity").alias("section"), F.col("p_partkey").alias("ord"),
             *codex.entry(F.when(F.col("p_size") > 25, "location").otherwise("term"), F.col("p_name"), F.array("p_brand", F.upper("p_name"), F.concat("p_name", F.lit(","))), F.col("p_type"), F.lit(""))
         ),
-        orders.where("o_orderkey % 50 = 0").select(
+        orders.select(
             F.lit("quest").alias("section"), F.col("o_orderkey").alias("ord"),
             *codex.entry(F.lit("quest"), F.concat(F.lit("Order "), "o_orderkey"), none, codex.quest_content(F.col("o_orderpriority"), {"Reward": F.col("o_orderstatus")}, F.when(F.col("o_orderkey") % 2 == 0, "completed").otherwise("unknown")), F.lit("main"))
         ),
@@ -49,7 +51,7 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.lit("rule").alias("section"), F.col("n_nationkey").cast("long").alias("ord"),
             *codex.entry(F.lit("system"), F.col("n_name"), F.array(text.camel_spaced(F.col("n_name"))), codex.rule_content(F.concat("n_name", F.lit(" rules")), F.when(F.col("n_regionkey") == 1, F.col("n_nationkey").cast("string")).otherwise("")), F.lit("cap, stated"))
         ),
-        customer.where("c_custkey % 10 = 0").select(
+        customer.select(
             F.lit("character").alias("section"), F.col("c_custkey").alias("ord"),
             *codex.entry(F.lit("character"), F.col("c_name"), F.array("c_mktsegment"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.repeat(F.concat("c_name", F.lit(" ")), F.lit(90))), F.lit("filler"))
         ),
@@ -130,25 +132,28 @@ def heading_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-WITH RECURSIVE w AS (SELECT source, doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))::BIGINT AS n FROM documents),
+WITH RECURSIVE w AS (SELECT source, doc_id, text, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> ''))::BIGINT AS n FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY source) AS total FROM w),
 f AS (SELECT source, i, total, n AS words, 'd' || doc_id AS title, 'pages ' || i || '-' || i AS ref, i AS lo, 0 AS done FROM r WHERE i = 1
   UNION ALL SELECT f.source, r.i, f.total, CASE WHEN f.words < 120 THEN f.words + r.n ELSE r.n END,
     CASE WHEN f.words < 120 AND f.words >= r.n THEN f.title ELSE 'd' || r.doc_id END, '', CASE WHEN f.words < 120 THEN f.lo ELSE r.i END, 0
   FROM f JOIN r ON f.source = r.source AND r.i = f.i + 1),
 o AS (SELECT source, i AS hi, lo, words, title, total, words < 120 AS short FROM f WHERE words >= 120 OR i = total),
-g AS (SELECT *, lead(short) OVER (PARTITION BY source ORDER BY hi) AS next_short, lead(words) OVER (PARTITION BY source ORDER BY hi) AS next_words, lead(hi) OVER (PARTITION BY source ORDER BY hi) AS next_hi, count(*) OVER (PARTITION BY source) AS kinds FROM o)
-SELECT source, (row_number() OVER (PARTITION BY source ORDER BY hi))::INT AS number, title, 'pages ' || lo || '-' || CASE WHEN next_short THEN next_hi ELSE hi END AS ref,
-  words + CASE WHEN next_short THEN next_words ELSE 0 END AS words FROM g WHERE NOT short OR kinds = 1""")
+g AS (SELECT *, lead(short) OVER (PARTITION BY source ORDER BY hi) AS next_short, lead(words) OVER (PARTITION BY source ORDER BY hi) AS next_words, lead(hi) OVER (PARTITION BY source ORDER BY hi) AS next_hi, count(*) OVER (PARTITION BY source) AS kinds FROM o),
+e AS (SELECT source, (row_number() OVER (PARTITION BY source ORDER BY hi))::INT AS number, title, lo, CASE WHEN next_short THEN next_hi ELSE hi END AS hi,
+  words + CASE WHEN next_short THEN next_words ELSE 0 END AS words FROM g WHERE NOT short OR kinds = 1)
+SELECT e.source, number, any_value(title) AS title, 'pages ' || any_value(lo) || '-' || any_value(hi) AS ref, any_value(words) AS words,
+  md5(coalesce(string_agg(text, chr(10) || chr(10) ORDER BY i) FILTER (text <> ''), '')) AS digest
+FROM e JOIN r ON e.source = r.source AND r.i BETWEEN lo AND hi GROUP BY e.source, number""")
 def fold_short(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Short sections joined to their neighbours; books are the sources, texts are left out."""
+    """Short sections joined to their neighbours, with a digest of the joined text; books are the sources."""
     from quire.operators.numbering import numbered
 
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", text.words(F.col("text")).alias("words"))
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text", text.words(F.col("text")).alias("words"))
     rows = numbered(docs, "source", "doc_id", "ord").select(
-        "source", "ord", F.concat(F.lit("d"), "doc_id").alias("title"), F.lit("x").alias("text"), F.concat(F.lit("pages "), "ord", F.lit("-"), "ord").alias("ref"), "words"
+        "source", "ord", F.concat(F.lit("d"), "doc_id").alias("title"), "text", F.concat(F.lit("pages "), "ord", F.lit("-"), "ord").alias("ref"), "words"
     )
-    return sections.fold_short(rows, "source").select("source", "number", "title", "ref", "words")
+    return sections.fold_short(rows, "source").select("source", "number", "title", "ref", "words", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query(r"""
@@ -208,21 +213,18 @@ def ranked_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("rank", rank).where("rank <= 10").select("event_type", "user_id", "event_id", "value", "rank")
 
 
-@query("SELECT d.doc_id, t.toxic::INT AS toxic FROM documents d JOIN labels t ON d.doc_id = t.doc_id WHERE t.quality = 1 AND d.lang = 'en' AND d.doc_id NOT IN (SELECT item_id FROM benchmark)")
+@query("SELECT d.doc_id, t.toxic::INT AS toxic FROM documents d JOIN labels t ON d.doc_id = t.doc_id WHERE t.quality = 1 AND d.doc_id NOT IN (SELECT item_id FROM benchmark)")
 def pending_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Curated English sections that are not done yet (anti join with what is)."""
+    """Curated sections that are not done yet (anti join with what is)."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1")
     done = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))
-    return docs.where("lang = 'en'").select("doc_id").join(labels, "doc_id").join(done, "doc_id", "left_anti").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    return docs.select("doc_id").join(labels, "doc_id").join(done, "doc_id", "left_anti").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
 
 
-@query()
+@query(WINDOWS + "SELECT doc_id, number, char_start, char_end FROM cut")
 def stream_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages by the streaming form, one file at a time, from its checkpoint."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='quire-stream-')}"
-    from uuid import uuid4
-
-    base = f"{root.rstrip('/')}/stream-{uuid4().hex}"
+    base = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}"
     path = f"{sf_dir}/documents.parque[t]"  # a pattern, as a stream's folder may be one file here
     increments.stream_passages(spark, path, f"{base}/passages", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/passages").select("doc_id", "number", "char_start", "char_end")

@@ -107,11 +107,12 @@ def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.conflicts(rows).select("key", F.array_join("kinds", ",").alias("kinds"))
 
 
-# -- upserts: events of the first 15 days are stored, later ones come in ------------------------
+# -- upserts: events of the first 15 days are stored, later ones come in, by user and hour --------
 RULES = """
-WITH s AS (SELECT user_id AS key, arg_max(props, event_id) AS statement, CASE WHEN max(value) > 400 THEN 'stated' ELSE 'implied' END AS confidence, user_id % 7 = 0 AS edited, CASE WHEN user_id % 5 = 0 THEN 'discarded' ELSE 'proposed' END AS status
-  FROM events WHERE day(ts) <= 15 AND user_id % 3 <> 0 GROUP BY user_id),
-i AS (SELECT user_id AS key, arg_max(props || event_type, event_id) AS statement, CASE WHEN max(value) > 450 THEN 'stated' ELSE 'implied' END AS confidence FROM events WHERE day(ts) > 15 AND user_id % 4 <> 0 GROUP BY user_id)
+WITH e AS (SELECT *, user_id * 100 + hour(ts) AS key FROM events),
+s AS (SELECT key, arg_max(props, event_id) AS statement, CASE WHEN max(value) > 400 THEN 'stated' ELSE 'implied' END AS confidence, key % 7 = 0 AS edited, CASE WHEN key % 5 = 0 THEN 'discarded' ELSE 'proposed' END AS status
+  FROM e WHERE day(ts) <= 15 GROUP BY key),
+i AS (SELECT key, arg_max(props || event_type, event_id) AS statement, CASE WHEN max(value) > 450 THEN 'stated' ELSE 'implied' END AS confidence FROM e WHERE day(ts) > 15 GROUP BY key)
 """
 
 
@@ -121,11 +122,11 @@ i AS (SELECT user_id AS key, arg_max(props || event_type, event_id) AS statement
 SELECT key, CASE WHEN take THEN ist ELSE ss END AS statement, CASE WHEN take THEN ic ELSE sc END AS confidence, status, CASE WHEN fresh THEN 'inserted' WHEN idle THEN 'untouched' ELSE 'updated' END AS action FROM j""")
 def upsert_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incoming rules over stored ones; edits and curation stay."""
-    events = table(spark, sf_dir, "events").withColumn("key", F.col("user_id"))
+    events = table(spark, sf_dir, "events").withColumn("key", F.col("user_id") * 100 + F.hour("ts"))
     state = lambda limit: F.when(F.max("value") > limit, "stated").otherwise("implied").alias("confidence")
-    stored = events.where((F.dayofmonth("ts") <= 15) & (F.col("user_id") % 3 != 0)).groupBy("key").agg(F.max_by("props", "event_id").alias("statement"), state(400))
+    stored = events.where(F.dayofmonth("ts") <= 15).groupBy("key").agg(F.max_by("props", "event_id").alias("statement"), state(400))
     stored = stored.withColumns({"edited": F.col("key") % 7 == 0, "status": F.when(F.col("key") % 5 == 0, "discarded").otherwise("proposed")})
-    incoming = events.where((F.dayofmonth("ts") > 15) & (F.col("user_id") % 4 != 0)).groupBy("key").agg(F.max_by(F.concat("props", "event_type"), "event_id").alias("statement"), state(450))
+    incoming = events.where(F.dayofmonth("ts") > 15).groupBy("key").agg(F.max_by(F.concat("props", "event_type"), "event_id").alias("statement"), state(450))
     return merging.upsert_rules(stored, incoming)
 
 
@@ -278,10 +279,10 @@ def fact_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT source, lang, doc_id, n_chars, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS i FROM documents WHERE source IN ('src0', 'src1', 'src2'))
+WITH r AS (SELECT source, lang, doc_id, n_chars, row_number() OVER (PARTITION BY source, lang ORDER BY n_chars DESC, doc_id) AS i FROM documents)
 SELECT source, lang, doc_id, n_chars FROM r WHERE i <= 5""")
 def multi_book_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of several books together; the 5 longest sections of each language."""
-    docs = table(spark, sf_dir, "documents").where(F.col("source").isin("src0", "src1", "src2")).select("source", "lang", "doc_id", "n_chars")
+    docs = table(spark, sf_dir, "documents").select("source", "lang", "doc_id", "n_chars")
     rank = F.row_number().over(Window.partitionBy("source", "lang").orderBy(F.desc("n_chars"), "doc_id"))
     return docs.withColumn("i", rank).where("i <= 5").drop("i")

@@ -27,7 +27,7 @@ def _normal(c: str) -> str:
 
 # name parts w, and the place of the first that is no stop word
 HARVEST = rf"""
-WITH m AS (SELECT source, doc_id, {MASK} AS t FROM documents WHERE lang = 'en'),
+WITH m AS (SELECT source, doc_id, {MASK} AS t FROM documents),
 raw AS (SELECT source, doc_id, 0 AS spoke, unnest(regexp_extract_all(t, {_sql(rf"\b({names.NAME})\b")}, 1)) AS name FROM m
   UNION ALL SELECT source, doc_id, 1, unnest(regexp_extract_all(t, {_sql(names.SPEECH[0])}, 1)) FROM m
   UNION ALL SELECT source, doc_id, 1, unnest(regexp_extract_all(t, {_sql(names.SPEECH[1])}, 1)) FROM m),
@@ -43,7 +43,7 @@ harvest AS (SELECT k.*, coalesce(s.speech, 0)::BIGINT AS speech FROM kept k LEFT
 
 
 def _harvest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return harvesting.harvest(table(spark, sf_dir, "documents").where("lang = 'en'").select("source", "doc_id", "text"))
+    return harvesting.harvest(table(spark, sf_dir, "documents").select("source", "doc_id", "text"))
 
 
 @query(HARVEST + "SELECT source, name, mentions, sections, first_section, last_section, speech FROM harvest")
@@ -61,7 +61,7 @@ def evidence_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return harvesting.evidence(found, people)
 
 
-TIERS = HARVEST + """, totals AS (SELECT source, count(*) AS total FROM documents WHERE lang = 'en' GROUP BY source),
+TIERS = HARVEST + """, totals AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
 tiers AS (SELECT h.source, name, mentions, sections, speech, CASE WHEN sections / total >= 0.25 AND speech >= 3 THEN 'primary' WHEN speech >= 15 THEN 'primary'
     WHEN speech >= 3 THEN 'secondary' WHEN sections / total >= 0.15 AND mentions >= 15 THEN 'secondary' ELSE 'filler' END AS tier,
   'in ' || round_even(sections / total * 100, 0)::BIGINT || '% of sections, ' || speech || ' spoken, ' || mentions || ' mentions' AS reason
@@ -70,7 +70,7 @@ tiers AS (SELECT h.source, name, mentions, sections, speech, CASE WHEN sections
 
 
 def _tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = table(spark, sf_dir, "documents")
     totals = docs.groupBy("source").agg(F.count("*").alias("total_sections"))
     return harvesting.tiered(_harvest(spark, sf_dir), totals)
 

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
+from quire.operators.numbering import numbered, running_before
 
 SHORT = 120
 
@@ -64,31 +65,41 @@ def heading_ranges(rows: DataFrame, found: DataFrame, id_col: str, least: int =
 def fold_short(sections: DataFrame, id_col: str, least: int = SHORT) -> DataFrame:
     """Sections under ``least`` words joined to the next, the trailing ones to the one before.
 
-    ``sections``: id, ord, title, text, ref, words. The fold runs over the sections of one
-    document in order and keeps titles, references and word counts; a joined section has the
-    longer part's title (the first's on ties) and a reference to both.
+    ``sections``: id, ord, title, text, ref, words. A joined section has the longer part's title
+    (the first's on ties), a reference to both, and the texts with an empty line between. A
+    section of ``least`` words always ends what is carried, so documents are cut behind these and
+    each run is folded by itself, from figures alone; texts join afterwards.
     """
-    item = "struct<title:string,text:string,ref:string,words:bigint>"
-    ordered = F.array_sort(F.collect_list(F.struct("ord", "title", "text", "ref", "words")))
+    item = "struct<title:string,ref:string,words:bigint,ords:array<bigint>>"
+    figures = sections.select(id_col, F.col("ord").cast("long").alias("ord"), "title", "ref", F.col("words").cast("long").alias("words"))
+    runs = running_before(figures, id_col, "ord", (F.col("words") >= least).cast("long"), "run")
+    ordered = F.array_sort(F.collect_list(F.struct("ord", "title", "ref", "words")))
     start = F.struct(F.array().cast(f"array<{item}>").alias("out"), F.lit(None).cast(item).alias("carry"))
 
     def joined(a: Column, b: Column, title: Column) -> Column:
-        return F.struct(title.alias("title"), F.concat_ws("\n\n", F.nullif(a["text"], F.lit("")), F.nullif(b["text"], F.lit(""))).alias("text"), tx.merged_refs(a["ref"], b["ref"]).alias("ref"), (a["words"] + b["words"]).alias("words"))
+        return F.struct(title.alias("title"), tx.merged_refs(a["ref"], b["ref"]).alias("ref"), (a["words"] + b["words"]).alias("words"), F.concat(a["ords"], b["ords"]).alias("ords"))
 
     def step(s: Column, x: Column) -> Column:
-        now = F.struct(x["title"].alias("title"), x["text"].alias("text"), x["ref"].alias("ref"), x["words"].alias("words"))
+        now = F.struct(x["title"].alias("title"), x["ref"].alias("ref"), x["words"].alias("words"), F.array(x["ord"]).alias("ords"))
         c = s["carry"]
         now = F.when(c.isNull(), now).otherwise(joined(c, now, F.when(c["words"] >= x["words"], c["title"]).otherwise(x["title"])))
         short = now["words"] < least
         return F.struct(F.when(short, s["out"]).otherwise(F.concat(s["out"], F.array(now))).alias("out"), F.when(short, now).alias("carry"))
 
-    def finish(s: Column) -> Column:
-        last = F.element_at(s["out"], -1)
-        tail = F.concat(F.slice(s["out"], F.lit(1), F.size(s["out"]) - 1), F.array(joined(last, s["carry"], last["title"])))
-        return F.when(s["carry"].isNull(), s["out"]).when(F.size(s["out"]) > 0, tail).when(s["carry"]["text"] != "", F.array(s["carry"])).otherwise(s["out"])
-
-    folded = sections.groupBy(id_col).agg(ordered.alias("rows")).select(id_col, F.aggregate("rows", start, step, finish).alias("out"))
-    return folded.select(id_col, F.posexplode("out").alias("number", "s")).select(id_col, (F.col("number") + 1).alias("number"), "s.title", "s.text", "s.ref", "s.words")
+    folded = runs.groupBy(id_col, "run").agg(F.aggregate(ordered, start, step).alias("s"))
+    made = folded.select(id_col, F.explode(F.concat(F.transform("s.out", lambda x: F.struct(x.alias("item"), F.lit(False).alias("rest"))), F.when(F.col("s.carry").isNull(), F.array().cast(f"array<struct<item:{item},rest:boolean>>")).otherwise(F.array(F.struct(F.col("s.carry").alias("item"), F.lit(True).alias("rest")))))).alias("x"))
+    made = made.select(id_col, F.col("x.item").alias("item"), F.col("x.rest").alias("rest"))
+    # what is left at the end of a document goes to its last section
+    ends = made.groupBy(F.col(id_col).alias("__id")).agg(F.max(F.when(~F.col("rest"), F.col("item.ords")[0])).alias("__last"), F.max_by(F.when(F.col("rest"), F.col("item")), "rest").alias("__carry"))
+    placed = made.join(ends, F.col(id_col).eqNullSafe(F.col("__id"))).where(~F.col("rest") | F.col("__last").isNull())
+    takes = F.col("__carry").isNotNull() & ~F.col("rest") & (F.col("item.ords")[0] == F.col("__last"))
+    item_ = F.when(takes, joined(F.col("item"), F.col("__carry"), F.col("item.title"))).otherwise(F.col("item"))
+    placed = placed.select(F.col(id_col).alias("__id"), item_.alias("item"), "rest").select("__id", "item.title", "item.ref", "item.words", "rest", F.col("item.ords")[0].alias("__at"), F.explode("item.ords").alias("__ord"))
+    texts = placed.join(sections.select(id_col, F.col("ord").cast("long").alias("ord"), "text"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("ord") == F.col("__ord")))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.nullif("text", F.lit("")).alias("text")))), lambda p: p["text"])
+    out = texts.groupBy(id_col, "__at").agg(F.first("title").alias("title"), F.concat_ws("\n\n", parts).alias("text"), F.first("ref").alias("ref"), F.first("words").alias("words"), F.first("rest").alias("rest"))
+    out = numbered(out.where("NOT rest OR text <> ''"), id_col, "__at", "number")
+    return out.select(id_col, F.col("number").cast("int").alias("number"), "title", "text", "ref", "words")
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
