@@ -1,28 +1,38 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 Vectors become binary codes: signs after rotations learned by iterative quantization on a bounded
-sample. Codes are cut into substrings, each with an index from value to rows. A code within
-``radius`` bits of a query's agrees with it up to ``radius // substrings`` bits in one substring at
-least, so probing all values that near in every index retrieves every code within the radius;
-these are checked by their full distance and reranked by the cosine of the original vectors.
-
-The radius is learned too: it holds ``recall`` of the true neighbours within the sample, whose
-neighbours are farther than those among all rows. A query with fewer than k codes within the
-radius takes its k nearest codes. Queries and rows meet in blocks: each task holds one block of
-rows, its index and one block of queries.
+sample. Codes are cut into substrings of 16 bits, each with an index from value to rows. All values
+within ``reach`` bits of a query's substring are probed in every index, so by the pigeonhole
+principle every code within ``substrings * (reach + 1) - 1`` bits is retrieved, and most of the
+farther ones that matter. Codes within ``radius`` bits stay, the ``pool`` nearest of them are
+reranked by the cosine of the original vectors.
+
+Reach and radius are learned from the true neighbours, among all rows, of a few sampled vectors: a
+share ``recall`` of these agrees with its vector up to ``reach`` bits in some substring and up to
+``radius`` bits in all. A query that finds too few rows is asked again with larger ones, in the end
+with all values, so no query gets fewer rows than there are.
+
+The indexes are dealt out by substring, leading bits of the value and, where that is still many
+rows, parts of them; a query goes only to values that its reach leaves. Equal vectors are one
+entry, which holds as many of their ids as any answer can take.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.caps import usable
+from quire.llm.common import join_small, materialize
+
+#: Bits of a substring.
+PART = 16
 
 
 @dataclass
@@ -31,15 +41,15 @@ class Codes:
 
     center: np.ndarray
     rotate: np.ndarray
-    radius: int
+    reach: int = 0
+    radius: int = 0
 
     def of(self, x: np.ndarray) -> np.ndarray:
         """Codes of unit rows as 64-bit words."""
-        bits = (x - self.center) @ self.rotate > 0
-        return np.packbits(bits, axis=1).view(np.uint64)
+        return np.packbits((x - self.center) @ self.rotate > 0, axis=1).view(np.uint64)
 
 
-def learn_codes(x: np.ndarray, bits: int, k: int, recall: float, seed: int, rounds: int = 12) -> Codes:
+def learn_codes(x: np.ndarray, bits: int, seed: int, rounds: int = 12) -> Codes:
     """Iterative quantization of unit rows ``x``, once for each rotation that ``bits`` need."""
     rng = np.random.default_rng(seed)
     d = x.shape[1]
@@ -52,107 +62,213 @@ def learn_codes(x: np.ndarray, bits: int, k: int, recall: float, seed: int, roun
             u, _, v = np.linalg.svd(np.where(y @ r > 0, 1.0, -1.0).T @ y)
             r = (u @ v).T
         parts.append(r)
-    codes = Codes(center, np.concatenate(parts, 1)[:, :bits], bits)
-    words = codes.of(x)
-    ask = rng.permutation(len(x))[:400]
-    near = []
-    for i in ask:
-        cosine = x @ x[i]
-        cosine[i] = -2
-        top = np.argsort(-cosine)[: min(k, len(x) - 1)]
-        near.append(np.bitwise_count(words[top] ^ words[i]).sum(1))
-    if near and len(found := np.concatenate(near)):
-        codes.radius = int(np.quantile(found, recall))
-    return codes
+    return Codes(center, np.concatenate(parts, 1)[:, :bits])
+
+
+def apart(words: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Differing bits of codes: in all, and in each substring."""
+    parts = np.bitwise_count(words.view(np.uint16) ^ other.view(np.uint16))
+    return parts.sum(-1, dtype=np.int64), parts
+
+
+_MASKS: dict[int, np.ndarray] = {}
+
+
+def masks(width: int, reach: int) -> np.ndarray:
+    """All numbers of ``width`` bits of which ``reach`` at most are set."""
+    if width not in _MASKS:
+        every = np.arange(1 << width)
+        _MASKS[width] = every[np.argsort(np.bitwise_count(every), kind="stable")]
+    return _MASKS[width][: sum(math.comb(width, i) for i in range(min(reach, width) + 1))]
 
 
 class SubstringIndex:
-    """Rows of a block of codes by the value of each 16-bit substring."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-        self.parts = words.view(np.uint16)
-        self.order = np.argsort(self.parts, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.parts, self.order, 0)
-
-    def within(self, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows whose code is within ``radius`` bits of ``code``, and their distances."""
-        m = self.parts.shape[1]
-        reach = radius // m
-        ball = sum(math.comb(16, i) for i in range(reach + 1))
-        if ball * m >= 1 << 13:
-            rows = np.arange(len(self.words))  # the probes would visit about every row
-        else:
-            own, found = code.view(np.uint16), []
-            masks = _MASKS[: sum(math.comb(16, i) for i in range(reach + 1))]
-            for j in range(m):
-                values = own[j] ^ masks
-                lo, hi = np.searchsorted(self.sorted[:, j], values, "left"), np.searchsorted(self.sorted[:, j], values, "right")
-                found += [self.order[a:b, j] for a, b in zip(lo, hi, strict=True) if b > a]
-            rows = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-        distance = np.bitwise_count(self.words[rows] ^ code).sum(1, dtype=np.int64)
-        ok = distance <= radius
-        return rows[ok], distance[ok]
-
-
-_ALL = np.arange(1 << 16, dtype=np.uint16)
-#: All 16-bit masks in order of their number of bits.
-_MASKS = _ALL[np.argsort(np.bitwise_count(_ALL), kind="stable")]
-
-
-def fit(rows: DataFrame, vector_col: str, k: int, bits: int = 256, sample: int = 8192, recall: float = 0.98, seed: int = 3) -> dict[int, Codes]:
-    """Codes for each dimension in a sample of at most ``sample`` usable rows, of least hash."""
-    some = rows.where(usable(vector_col)).select(F.col(vector_col).alias("v"), F.xxhash64(vector_col).alias("h")).orderBy("h").limit(sample).toPandas()
-    out = {}
+    """Rows by the value of the low ``width`` bits of one substring."""
+
+    def __init__(self, low: np.ndarray, width: int):
+        self.order = np.argsort(low, kind="stable")
+        self.starts = np.searchsorted(low[self.order], np.arange((1 << width) + 1))
+        self.width = width
+        self.probed = 0
+
+    def probe(self, low: int, reach: int) -> np.ndarray:
+        """Rows whose value is within ``reach`` bits of ``low``."""
+        values = low ^ masks(self.width, reach)
+        begin = self.starts[values]
+        n = self.starts[values + 1] - begin
+        total = int(n.sum())
+        self.probed += total
+        shift = np.repeat(begin - np.cumsum(n) + n, n)
+        return self.order[shift + np.arange(total)]
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.stack(vectors.to_numpy()).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def fit(rows: DataFrame, k: int, bits: int = 256, sample: int = 8192, asks: int = 256, recall: float = 0.98, seed: int = 3) -> dict[int, Codes]:
+    """Codes for each dimension in a sample of at most ``sample`` of ``rows`` (v), of least hash.
+
+    At most ``asks`` of the sample are asked for their ``k`` true neighbours among all rows.
+    """
+    some = rows.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(sample).toPandas()
+    out: dict[int, Codes] = {}
+    asked: dict[int, np.ndarray] = {}
+    rng = np.random.default_rng(seed)
     for d, part in some.groupby(some["v"].map(len)):
-        x = np.stack(part["v"].to_numpy()).astype(np.float64)
-        out[int(d)] = learn_codes(x / np.linalg.norm(x, axis=1, keepdims=True), bits, k, recall, seed)
+        x = _unit(part["v"])
+        out[int(d)] = learn_codes(x, bits, seed)
+        asked[int(d)] = x[rng.permutation(len(x))[: max(1, asks * len(x) // len(some))]]
+    shared = rows.sparkSession.sparkContext.broadcast(asked)  # at most ``asks`` vectors
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for pdf in batches:
+            dims = pdf["v"].map(len).to_numpy()
+            for d in np.unique(dims):
+                if int(d) not in shared.value:
+                    continue
+                q, x = shared.value[int(d)], _unit(pdf["v"][dims == d])
+                score = q @ x.T
+                score[score > 1 - 1e-9] = -2  # the vector itself
+                n = min(k, len(x))
+                top = np.argpartition(-score, n - 1, axis=1)[:, :n]
+                held = best.get(int(d), (np.zeros((len(q), 0)), np.zeros((len(q), 0, d))))
+                both = np.concatenate([held[0], np.take_along_axis(score, top, 1)], 1), np.concatenate([held[1], x[top]], 1)
+                order = np.argsort(-both[0], axis=1, kind="stable")[:, :k]
+                best[int(d)] = np.take_along_axis(both[0], order, 1), np.take_along_axis(both[1], order[:, :, None], 1)
+        for d, (score, x) in best.items():
+            at, place = np.nonzero(score > -2)
+            if len(at):
+                yield pd.DataFrame({"dims": d, "ask": at, "score": score[at, place], "x": list(x[at, place])})
+
+    rank = F.row_number().over(Window.partitionBy("dims", "ask").orderBy(F.desc("score")))
+    found = rows.select("v").mapInPandas(near, "dims int, ask int, score double, x array<double>")
+    found = found.withColumn("i", rank).where(F.col("i") <= k).select("dims", "ask", "x").toPandas()  # asks * k rows at most
+    for d, part in found.groupby("dims"):
+        code = out[int(d)]
+        all_, parts = apart(code.of(np.stack(part["x"].to_numpy())), code.of(asked[int(d)][part["ask"].to_numpy()]))
+        code.reach, code.radius = (int(math.ceil(np.quantile(v, recall))) for v in (parts.min(1), all_))
     return out
 
 
+def _search(index: DataFrame, probes: DataFrame, keys: list[str], width: int, pool: int) -> DataFrame:
+    """q, entry and distance of what each group of the index gives its queries."""
+
+    def search(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(rows) and len(asks):
+            j, prefix = int(rows["j"].iat[0]), int(rows["prefix"].iat[0])
+            words = np.frombuffer(b"".join(rows["code"]), np.uint64).reshape(len(rows), -1)
+            codes = np.frombuffer(b"".join(asks["code"]), np.uint64).reshape(len(asks), -1)
+            own, entry = SubstringIndex(rows["low"].to_numpy(), width), rows["entry"].to_numpy()
+            for q, code, reach, radius in zip(asks["q"].to_numpy(), codes, asks["reach"].to_numpy(), asks["radius"].to_numpy(), strict=True):
+                value = int(code.view(np.uint16)[j])
+                found = own.probe(value & ((1 << width) - 1), int(reach) - (prefix ^ (value >> width)).bit_count())
+                found = found[np.bitwise_count(words[found] ^ code).sum(1, dtype=np.int64) <= radius]
+                distance, parts = apart(words[found], code[None])
+                # a row comes from the first substring that retrieves it
+                first = (parts <= reach).argmax(1) == j
+                found, distance = found[first], distance[first]
+                if len(found) > pool:
+                    top = np.lexsort((entry[found], distance))[:pool]
+                    found, distance = found[top], distance[top]
+                out.append((np.full(len(found), q), entry[found], distance))
+        joined = [np.concatenate([o[c] for o in out]) if out else np.zeros(0, np.int64) for c in range(3)]
+        return pd.DataFrame({"q": joined[0], "entry": joined[1], "distance": joined[2]})
+
+    return index.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInPandas(search, "q long, entry long, distance long")
+
+
 def nearest(
     rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-    bits: int = 256, block_rows: int = 4096, block_queries: int = 512,
+    bits: int = 256, recall: float = 0.98, pool: int = 256, block_rows: int = 16384,
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest rows found for each query.
 
-    Score is the cosine in double precision; ties go to the smaller id. A query never finds a row
-    of its own id. Unusable vectors (null, empty, zero, null or non-finite components), null ids
-    and queries of a dimension without rows find nothing and are not found. With fewer than ``k``
-    candidates all are returned; repeated rows are candidates each. An empty table gives no rows.
+    Score is the cosine in double precision, summed in order of the components; ties go to the
+    smaller id. A query never finds a row of its own id. Unusable vectors (null, empty, zero, null
+    or non-finite components), null ids and queries of a dimension without rows find nothing and
+    are not found. With fewer than ``k`` candidates all are returned; repeated rows are candidates
+    each; repeated queries are answered once. An empty table gives no rows.
     """
-    spark = rows.sparkSession
-    codes = fit(rows, vector_col, k, bits)
-    shared = spark.sparkContext.broadcast(codes)  # a few matrices of dims x bits
-    base = rows.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), F.size(vector_col).alias("dims"))
-    asked = queries.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("query_id"), F.col(vector_col).alias("v"), F.size(vector_col).alias("dims"))
-    blocks, turns = max(1, math.ceil(base.count() / block_rows)), max(1, math.ceil(asked.count() / block_queries))
-    base = base.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-    asked = asked.withColumn("turn", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(turns)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    side = lambda df, name: df.where(usable(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias(name), F.col(vector_col).alias("v"), F.xxhash64(vector_col).alias("n1"), F.xxhash64(F.lit(1), F.col(vector_col)).alias("n2"))
+    base, asked = side(rows, "vec_id"), side(queries, "query_id").distinct()
+    same = base.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1  # rows of one id
+    rank = F.row_number().over(Window.partitionBy("n1", "n2").orderBy("vec_id"))
+    entries = base.withColumn("i", rank).where(F.col("i") <= k + same).groupBy("n1", "n2").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v"))
+    entries = materialize(entries.select(F.monotonically_increasing_id().alias("entry"), "ids", "v", F.size("v").alias("dims")), "entries")
+    asked = materialize(asked, "asked")
+    questions = materialize(asked.groupBy("n1", "n2").agg(F.first("v").alias("v")).select(F.monotonically_increasing_id().alias("q"), "n1", "n2", "v", F.size("v").alias("dims")), "questions")
+    codes = fit(entries, k, bits, recall=recall)
+    shared = rows.sparkSession.sparkContext.broadcast(codes)  # a few matrices of dims x bits
+    prefixes = min(12, max(0, math.ceil(math.log2(max(1, entries.count()) / block_rows))))
+    width = PART - prefixes
 
-    def search(rows: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(rows) and len(asks):
-            x, q = np.stack(rows["v"].to_numpy()).astype(np.float64), np.stack(asks["v"].to_numpy()).astype(np.float64)
-            ids, xn, qn = rows["vec_id"].to_numpy(), np.linalg.norm(x, axis=1), np.linalg.norm(q, axis=1)
-            code = shared.value.get(x.shape[1]) or learn_codes(np.zeros((0, x.shape[1])), bits, k, 1.0, 3)
-            index = SubstringIndex(code.of(x / xn[:, None]))
-            words = code.of(q / qn[:, None])
-            for i, query in enumerate(asks["query_id"].to_numpy()):
-                radius = code.radius
-                while True:
-                    found, _ = index.within(words[i], radius)
-                    found = found[ids[found] != query]
-                    if len(found) >= k or radius >= bits:
-                        break
-                    radius = min(bits, radius + max(4, radius // 8))
-                score = (x[found] @ q[i]) / (xn[found] * qn[i])
-                top = np.lexsort((ids[found], -score))[:k]
-                out.append((np.full(len(top), query), ids[found][top], score[top]))
-        joined = [np.concatenate([o[c] for o in out]) if out else [] for c in range(3)]
-        return pd.DataFrame({"query_id": joined[0], "vec_id": joined[1], "score": joined[2]})
-
-    keys = ["dims", "block", "turn"]
-    found = base.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def coded(vectors: pd.Series, dims: int) -> np.ndarray | None:
+        code = shared.value.get(dims)
+        return None if code is None else code.of(_unit(vectors))
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for d, part in pdf.groupby("dims"):
+                words = coded(part["v"], int(d))
+                if words is None:
+                    words = np.zeros((len(part), bits // 64), np.uint64)  # a dimension that the sample missed: alike
+                values = words.view(np.uint16).astype(np.int64)
+                n, m = values.shape
+                yield pd.DataFrame({
+                    "dims": int(d), "j": np.tile(np.arange(m), n), "prefix": (values >> width).ravel(), "low": (values & ((1 << width) - 1)).ravel(),
+                    "entry": np.repeat(part["entry"].to_numpy(), m), "code": np.repeat(np.array([w.tobytes() for w in words], object), m),
+                })
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for (d, more), part in pdf.groupby(["dims", "more"]):
+                code, words = shared.value.get(int(d)), coded(part["v"], int(d))
+                if words is None:
+                    words = np.zeros((len(part), bits // 64), np.uint64)
+                reach = min(PART, (code.reach if code else PART) + 3 * int(more))
+                radius = bits if reach >= PART else min(bits, (code.radius if code else bits) + 3 * int(more) * bits // PART)
+                near = masks(prefixes, reach)
+                values = words.view(np.uint16).astype(np.int64)
+                n, m = values.shape
+                where = (values >> width)[:, :, None] ^ near[None, None, :]
+                yield pd.DataFrame({
+                    "dims": int(d), "j": np.tile(np.repeat(np.arange(m), len(near)), n), "prefix": where.ravel(), "q": np.repeat(part["q"].to_numpy(), m * len(near)),
+                    "code": np.repeat(np.array([w.tobytes() for w in words], object), m * len(near)), "reach": reach, "radius": radius,
+                })
+
+    keys = ["dims", "j", "prefix"]
+    index = materialize(entries.select("entry", "dims", "v").mapInPandas(deal, "dims int, j int, prefix int, low int, entry long, code binary"), "index")
+    parts = materialize(index.groupBy(*keys).agg(F.ceil(F.count("*") / (2 * block_rows)).cast("int").alias("parts")), "parts")
+    split = join_small(index, parts, keys).withColumn("part", F.pmod(F.xxhash64("entry"), F.col("parts")).cast("int")).drop("parts")
+    # ids that an answer needs before those of its own rows go, or all that there are
+    enough = materialize(entries.groupBy("dims").agg(F.least(F.sum(F.size("ids")), F.lit(k + same)).alias("enough")), "enough")
+    open_, kept = questions.join(F.broadcast(enough), "dims").withColumn("more", F.lit(0)), None  # a row for each dimension
+    for turn in range(PART // 3 + 2):
+        probes = open_.select("q", "dims", "v", "more").mapInPandas(send, "dims int, j int, prefix int, q long, code binary, reach int, radius int")
+        probes = join_small(probes, parts, keys).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        found = _search(split, probes, [*keys, "part"], width, pool)
+        order = Window.partitionBy("q").orderBy("distance", "entry")
+        found = materialize(found.withColumn("i", F.row_number().over(order)).where(F.col("i") <= pool).select("q", "entry"), f"found-{turn}")
+        sizes = found.join(entries.select("entry", F.size("ids").alias("n")), "entry").groupBy("q").agg(F.sum("n").alias("n"))
+        left = open_.join(sizes, "q", "left").withColumn("done", F.coalesce("n", F.lit(0)) >= F.col("enough"))
+        left = materialize(left.select(*open_.columns, "done"), f"asked-{turn}")
+        done = found.join(left.where("done").select("q"), "q", "left_semi")
+        kept = done if kept is None else kept.unionByName(done)
+        open_ = left.where("NOT done").drop("done").withColumn("more", F.col("more") + 1)
+        if not open_.head(1):
+            break
+
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    norm: Column = F.sqrt(dot("v", "v"))
+    scored = kept.join(entries.select("entry", "ids", F.col("v").alias("x"), norm.alias("xn")), "entry").join(questions.select("q", "v", norm.alias("vn")), "q")
+    scored = scored.select("q", "ids", (dot("x", "v") / (F.col("xn") * F.col("vn"))).alias("score"))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), F.col("ids")[0])
+    scored = materialize(scored.withColumn("i", F.row_number().over(best)).where(F.col("i") <= k + same).select("q", "ids", "score"), "scored")
+    answers = asked.select("query_id", "n1", "n2").join(questions.select("q", "n1", "n2"), ["n1", "n2"]).join(scored, "q")
+    answers = answers.select("query_id", "q", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
+    return answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

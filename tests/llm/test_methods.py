@@ -222,15 +222,44 @@ def test_lists_hold_all_exceeding_directions():
         assert got.tolist() == np.flatnonzero(row >= limit).tolist()
 
 
-@pytest.mark.parametrize("radius", [3, 20, 40, 90])
-def test_index_finds_all_codes_within_the_radius(radius):
+@pytest.mark.parametrize("reach", [0, 1, 3, 16])
+def test_probes_find_all_codes_within_the_radius(reach):
     rng = np.random.default_rng(6)
     words = rng.integers(0, 2**63, (400, 2), dtype=np.uint64)
     words[100:200] = words[0] ^ (np.uint64(1) << rng.integers(0, 64, (100, 2)).astype(np.uint64))
-    index = hashing_search.SubstringIndex(words)
-    rows, distance = index.within(words[0], radius)
-    want = np.bitwise_count(words ^ words[0]).sum(1)
-    assert sorted(rows.tolist()) == np.flatnonzero(want <= radius).tolist() and (want[rows] == distance).all()
+    parts = words.view(np.uint16).astype(np.int64)
+    found = set()
+    for j in range(8):
+        index = hashing_search.SubstringIndex(parts[:, j], 16)
+        rows = index.probe(int(parts[0, j]), reach)
+        assert sorted(rows.tolist()) == np.flatnonzero(np.bitwise_count(parts[:, j] ^ parts[0, j]) <= reach).tolist()
+        assert index.probed == len(rows) and (reach > 1 or index.probed < 250)
+        found.update(rows.tolist())
+    distance, _ = hashing_search.apart(words, words[:1])
+    assert set(np.flatnonzero(distance <= 8 * (reach + 1) - 1)) <= found
+
+
+def test_search_of_clusters_probes_few_rows_and_ties_go_by_id(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    centers = rng.normal(size=(60, 32))
+    x = (np.repeat(centers, 40, 0) + 0.15 * rng.normal(size=(2400, 32))).astype(np.float32)
+    x[1000:1400] = x[7]  # a large group of copies, asked by many
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = hashing_search.nearest(df, df.where("vec_id % 50 = 0"), k=5, block_rows=256).toPandas()
+    u = x.astype(np.float64)
+    n = np.sqrt((u * u).cumsum(1)[:, -1])
+    hits = 0
+    for q, part in got.groupby("query_id"):
+        s = (u * u[q]).cumsum(1)[:, -1] / (n * n[q])
+        s[q] = -2
+        hits += len(set(np.lexsort((np.arange(len(x)), -s))[:5]) & set(part["vec_id"]))
+        if 1000 <= q < 1400:
+            assert part.sort_values("rank")["vec_id"].tolist() == [i for i in (7, *range(1000, 1010)) if i != q][:5] and part["score"].nunique() == 1
+    assert len(got) == 5 * len(x[::50]) and hits >= 0.95 * len(got)
+    codes = hashing_search.fit(df.select(F.col("embedding").alias("v")), 5)[32]
+    words = codes.of(u / n[:, None]).view(np.uint16).astype(np.int64)
+    probed = sum(len(hashing_search.SubstringIndex(words[:, j], 16).probe(int(words[0, j]), codes.reach)) for j in range(16))
+    assert codes.reach <= 3 and probed < 0.3 * 16 * len(x)
 
 
 def test_search_recall(spark):
