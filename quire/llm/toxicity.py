@@ -1,13 +1,15 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
 Words are read as symbols: insult and threat (with weights), target, negation, report, other.
-Small transducers rewrite the symbol string of a clause: one marks insults and threats in the
-scope of a negation, one those that are reported speech, one those with a target beside them.
-They are composed into a single deterministic machine, run over each clause that holds an insult
-or threat. The weights it gives out are gathered by kind of match, and a logistic layer over
-the kinds, trained on a bounded sample of labels, gives the score. Insults beyond the seed words
-are learned from the same sample, as words and stems that occur in many different contexts of toxic texts
-and in hardly any others.
+Small transducers rewrite the symbols of a clause, each reading what the one before has written:
+the first marks insults and threats in the scope of a negation, and turns a negated reporting word
+into a denial; the second marks what a report or a denial says; the third what is aimed at a
+target. They are composed into a single deterministic machine, run over each clause that holds an
+insult or threat. A clause counts once for each kind of match in it, with its greatest weight, and
+a logistic layer over the kinds, trained on a bounded sample of labels, gives the score. Insults
+and threats beyond the seed words are learned from the same sample, as words and stems that occur
+in many different contexts of toxic texts and in hardly any others; those that mostly follow a word
+of intent are threats.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from quire.llm.common import materialize
 NEGATIONS = "not no never neither nor without isn't aren't wasn't don't doesn't didn't ne pas jamais nicht kein keine nie nunca jamás".split()
 TARGETS = "you your you're yours he she they them him her those these tu vous toi ton votre du ihr dich euch usted ustedes tú".split()
 REPORTS = "said says saying wrote writes quoted called claims claimed reported according dit selon sagte laut dijo según".split()
+INTENTS = "will shall gonna i'll we'll going to vais va werde werden wird voy vamos".split()
 THREATS = {"kill": 2.0, "murder": 2.0, "hurt": 1.5, "shoot": 1.5, "stab": 2.0, "beat": 1.0, "burn": 1.0, "destroy": 1.0, "tuer": 2.0, "töten": 2.0, "matar": 2.0}
 INSULTS = {"idiot": 2.0, "moron": 2.0, "imbecile": 2.0, "stupid": 1.5, "scum": 2.0, "loser": 1.5, "pathetic": 1.5, "worthless": 1.5, "disgusting": 1.0, "trash": 1.0}
 
@@ -35,59 +38,58 @@ WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 CLAUSE = re.compile(r"[.!?;:,\n\r\t|]+")
 #: Lengths of the stems that are tried.
 STEMS = range(4, 9)
-OTHER, TARGET, NEGATION, REPORT, INSULT, THREAT = range(6)
+#: Symbols; insults and threats take eight each, as marks are added to their number.
+OTHER, TARGET, NEGATION, REPORT, DENIAL, INSULT, THREAT, SYMBOLS = 0, 1, 2, 3, 4, 5, 13, 21
+NEGATED, REPORTED, AIMED = 1, 2, 4
 
 
-class Transducer:
-    """A deterministic machine: ``step(state, symbol) -> (state, marks)``; states are 0..n-1.
+def marked(symbol: int, marks: int) -> int:
+    """An insult or threat with more marks; other symbols as they are."""
+    return symbol if symbol < INSULT else INSULT + ((symbol - INSULT) | marks)
 
-    ``marks`` is a set of bits put on the symbol that is read.
-    """
+
+class Transducer:
+    """A deterministic machine: ``table[state][symbol]`` is (state, symbol written); it begins in state 0."""
 
     def __init__(self, table: list[list[tuple[int, int]]]):
         self.table = table
 
-    def compose(self, other: Transducer) -> Transducer:
-        """Both machines read the same symbols; the marks of both are put on each."""
-        n = len(other.table)
-        return Transducer([
-            [((p * n) + q, a | b) for (p, a), (q, b) in zip(mine, theirs, strict=True)]
-            for mine in self.table for theirs in other.table
-        ])
+    def compose(self, after: Transducer) -> Transducer:
+        """One machine that writes what ``after`` writes on reading what this one writes."""
+        n = len(after.table)
+        out = []
+        for mine in self.table:
+            for q in range(n):
+                steps = ((p, *after.table[q][written]) for p, written in mine)
+                out.append([(p * n + r, last) for p, r, last in steps])
+        return Transducer(out)
 
     def run(self, symbols: list[int]) -> list[int]:
         state, out, table = 0, [], self.table
         for s in symbols:
-            state, marks = table[state][s]
-            out.append(marks)
+            state, written = table[state][s]
+            out.append(written)
         return out
 
 
-NEGATED, REPORTED, AIMED = 1, 2, 4
-
-
 def negation(reach: int = 3) -> Transducer:
-    """Marks the first insults or threats up to ``reach`` words after a negation."""
+    """Marks insults and threats, and makes reports denials, up to ``reach`` words after a negation."""
     rows = []
     for left in range(reach + 1):
         after = max(0, left - 1)
-        mark = NEGATED if left else 0
-        rows.append([(after, 0), (after, 0), (reach, 0), (after, 0), (after, mark), (after, mark)])
+        rows.append([(reach if s == NEGATION else after, DENIAL if left and s == REPORT else marked(s, NEGATED if left else 0)) for s in range(SYMBOLS)])
     return Transducer(rows)
 
 
 def reporting() -> Transducer:
-    """Marks all that follows a reporting word in the clause."""
-    return Transducer([[(int(s == REPORT), 0) for s in range(6)], [(1, REPORTED if s >= INSULT else 0) for s in range(6)]])
+    """Marks all that follows a report in the clause; after a denial it is negated, too."""
+    marks = (0, REPORTED, REPORTED | NEGATED)
+    return Transducer([[(1 if s == REPORT else 2 if s == DENIAL else state, marked(s, marks[state])) for s in range(SYMBOLS)] for state in range(3)])
 
 
 def aiming(reach: int = 4) -> Transducer:
     """Marks insults and threats up to ``reach`` words after a target."""
-    rows = []
-    for left in range(reach + 1):
-        after, mark = max(0, left - 1), AIMED if left else 0
-        rows.append([(after, 0), (reach, 0), (after, 0), (after, 0), (after, mark), (after, mark)])
-    return Transducer(rows)
+    return Transducer([[(reach if s == TARGET else max(0, left - 1), marked(s, AIMED if left else 0)) for s in range(SYMBOLS)] for left in range(reach + 1)])
 
 
 GRAMMAR = negation().compose(reporting()).compose(aiming())
@@ -114,13 +116,15 @@ class Model:
                 self.memo.clear()
             symbol = self.symbols.get(word, OTHER)
             weight = self.insults.get(word, 0.0) if symbol == INSULT else self.threats.get(word, 0.0)
-            if symbol == OTHER and (w := max((self.insults.get(p, 0.0) for p in patterns(word)), default=0.0)):
-                symbol, weight = INSULT, w
+            if symbol == OTHER:
+                weight, symbol = max(*((self.insults.get(p, 0.0), INSULT) for p in patterns(word)), *((self.threats.get(p, 0.0), THREAT) for p in patterns(word)))
+                symbol = symbol if weight else OTHER
             self.memo[word] = symbol, weight
         return self.memo[word]
 
-    def features(self, text: str | None) -> np.ndarray:
+    def features(self, text: str | None, grammar: Transducer | None = None) -> np.ndarray:
         """Saturated weight of each kind of match over the clauses of the whole text."""
+        grammar = grammar or GRAMMAR
         out = np.zeros(KINDS + 1)
         text = (text or "").lower()
         hits = {w for w in set(WORD.findall(text)) if self.read(w)[0] >= INSULT}
@@ -131,11 +135,15 @@ class Model:
             if hits.isdisjoint(words):
                 continue
             read = [self.read(w) for w in words]
-            for (s, weight), marks in zip(read, GRAMMAR.run([s for s, _ in read]), strict=True):
+            most: dict[int, float] = {}
+            for (_, weight), s in zip(read, grammar.run([s for s, _ in read]), strict=True):
                 if s >= INSULT:
                     # reordered so that the marks of aim come first in a kind
-                    kind = (marks & AIMED) // 4 + 2 * (marks & (NEGATED | REPORTED))
-                    out[8 * (s - INSULT) + kind] += weight
+                    marks = (s - INSULT) % 8
+                    kind = (s - INSULT) // 8 * 8 + (marks & AIMED) // 4 + 2 * (marks & (NEGATED | REPORTED))
+                    most[kind] = max(most.get(kind, 0.0), weight)
+            for kind, weight in most.items():
+                out[kind] += weight
             out[KINDS] += 1
         return np.log1p(out)
 
@@ -160,13 +168,15 @@ def patterns(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in STEMS if n < len(word))]
 
 
-def learn_insults(rows: DataFrame, limit: int = 400, least: int = 8, ratio: float = 12.0) -> dict[str, float]:
-    """Patterns of toxic texts that hardly occur elsewhere, in ``least`` or more different contexts.
+def learn_patterns(rows: DataFrame, limit: int = 2000, least: int = 8, ratio: float = 12.0, intent: float = 0.5) -> tuple[dict[str, float], dict[str, float]]:
+    """Insults and threats: patterns of toxic texts that hardly occur elsewhere, in ``least`` or more
+    different contexts; threats are those with a word of intent before them in a share ``intent`` of these.
 
     The odds of a pattern must be ``ratio`` or more, even two standard errors of their logarithm
     lower. Contexts (the words beside) keep out the words of one text that was copied often. Of
     patterns that cover one another the one in most toxic texts stays, or the whole word if it
-    alone makes up four fifths of a stem.
+    alone makes up four fifths of a stem. ``limit`` bounds the patterns, of ``rows`` that are a
+    bounded sample themselves: those in most contexts stay.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,7 +191,7 @@ def learn_insults(rows: DataFrame, limit: int = 400, least: int = 8, ratio: floa
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
-        return {}
+        return {}, {}
     counts = rows.select("text", "toxic").mapInPandas(count, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     odds = ((F.col("a") + 0.5) / (n1 + 1)) / ((F.col("b") + 0.5) / (n0 + 1))
     error = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
@@ -201,21 +211,25 @@ def learn_insults(rows: DataFrame, limit: int = 400, least: int = 8, ratio: floa
             out = set()
             for text in pdf["text"]:
                 w = WORD.findall(text.lower())
-                out.update((p, " ".join(w[max(0, i - 1) : i + 2])) for i, x in enumerate(w) for p in patterns(x) if p in known)
-            yield pd.DataFrame(sorted(out), columns=["word", "context"])
+                out.update((p, " ".join(w[max(0, i - 1) : i + 2]), bool(i and w[i - 1] in INTENTS)) for i, x in enumerate(w) for p in patterns(x) if p in known)
+            yield pd.DataFrame(sorted(out), columns=["word", "context", "meant"])
 
-    varied = rows.where("toxic = 1").select("text").mapInPandas(contexts, "word string, context string").groupBy("word").agg(F.countDistinct("context").alias("c")).toPandas()
+    varied = rows.where("toxic = 1").select("text").mapInPandas(contexts, "word string, context string, meant boolean").distinct()
+    varied = varied.groupBy("word").agg(F.count("*").alias("c"), F.count_if("meant").alias("meant")).toPandas()
     top = top.merge(varied, on="word")
     top = top[(top["c"] >= least) & (top["c"] >= 0.25 * top["a"])].sort_values(["c", "word"], ascending=[False, True]).head(limit)
-    return {w: min(3.0, math.log(((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))) / 2) for w, a, b in zip(top["word"], top["a"], top["b"], strict=True)}
+    weight = {w: min(3.0, math.log(((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))) / 2) for w, a, b in zip(top["word"], top["a"], top["b"], strict=True)}
+    threats = {w for w, c, m in zip(top["word"], top["c"], top["meant"], strict=True) if m >= intent * c}
+    return {w: v for w, v in weight.items() if w not in threats}, {w: v for w, v in weight.items() if w in threats}
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, per_class: int = 3000) -> Model:
     """Learn from at most ``per_class`` documents of either label; seed weights stay without any."""
     rows = materialize(labelled(docs, labels, learn, per_class), "labelled")
     base = Model()
-    insults = {w: v / 2 for w, v in base.insults.items()} | learn_insults(rows)
-    shared = docs.sparkSession.sparkContext.broadcast(Model(insults, base.threats))
+    insults, threats = learn_patterns(rows)
+    insults, threats = {w: v / 2 for w, v in base.insults.items() if w not in threats} | insults, {w: v for w, v in base.threats.items() if w not in insults} | threats
+    shared = docs.sparkSession.sparkContext.broadcast(Model(insults, threats))
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -223,7 +237,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, per_class: int = 30
 
     found = rows.mapInPandas(extract, "doc_id long, toxic int, f array<double>").toPandas().sort_values(["doc_id", "toxic"])
     if found["toxic"].nunique() < 2:
-        return Model(insults, base.threats)
+        return Model(insults, threats)
     x, y = np.stack(found["f"].to_numpy()), found["toxic"].to_numpy(np.float64)
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     prior = base.weights
@@ -233,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: F.Column, per_class: int = 30
         g = weight * (p - y) / len(y)
         w -= 2.0 * (x.T @ g + 0.0005 * (w - prior))
         b -= 2.0 * g.sum()
-    return Model(insults, base.threats, w, float(b))
+    return Model(insults, threats, w, float(b))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

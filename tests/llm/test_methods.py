@@ -300,12 +300,33 @@ def test_toxicity_held_out(spark):
 
 
 def test_grammar_marks_scopes():
-    o, t, n, r, i = toxicity.OTHER, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.INSULT
+    o, t, n, r, i, h = toxicity.OTHER, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT, toxicity.INSULT, toxicity.THREAT
     run = toxicity.GRAMMAR.run
-    assert run([t, o, i]) == [0, 0, toxicity.AIMED]
-    assert run([n, o, i]) == [0, 0, toxicity.NEGATED]
-    assert run([n, o, o, o, i])[-1] == 0
-    assert run([r, t, n, i])[-1] == toxicity.REPORTED | toxicity.AIMED | toxicity.NEGATED
+    assert run([t, o, i]) == [t, o, i + toxicity.AIMED]
+    assert run([n, o, h]) == [n, o, h + toxicity.NEGATED]
+    assert run([n, o, o, o, i])[-1] == i
+    assert run([r, t, n, i])[-1] == i + (toxicity.REPORTED | toxicity.AIMED | toxicity.NEGATED)
+    # a negated report is a denial: what it says is reported and negated, however far it stands
+    assert run([n, r, o, o, o, o, i]) == [n, toxicity.DENIAL, o, o, o, o, i + (toxicity.REPORTED | toxicity.NEGATED)]
+    assert run([r, o, o, o, o, i])[-1] == i + toxicity.REPORTED
+
+
+def test_each_machine_changes_scores():
+    model, text = toxicity.Model(), "they never said you are an idiot"
+    full = model.score(model.features(text))
+    assert full < model.score(model.features("you are an idiot"))
+    parts = {"negation": toxicity.negation(), "reporting": toxicity.reporting(), "aiming": toxicity.aiming()}
+    for left_out, told in (("negation", text), ("reporting", text), ("aiming", "you i kill")):
+        a, b = (m for name, m in parts.items() if name != left_out)
+        assert model.score(model.features(told, a.compose(b))) != model.score(model.features(told))
+    once, twice = model.features("you idiot and idiot"), model.features("you idiot. you idiot")
+    assert once.max() < twice.max()  # clauses count, not words
+
+
+def test_threats_are_learned(spark):
+    rows = [(i, f"w{i} i will zerbl v{i} u{i} you quexy w{i + 1}", 1) for i in range(40)] + [(100 + i, f"nothing here w{i} v{i}", 0) for i in range(40)]
+    insults, threats = toxicity.learn_patterns(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert any(w.startswith("zerb") for w in threats) and any(w.startswith("quex") for w in insults) and not any(w.startswith("zerb") for w in insults)
 
 
 def plain_targets(size, weight):
