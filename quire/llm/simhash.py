@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.blocks import block_pairs, compare_groups, shifted_pairs
@@ -190,14 +190,16 @@ def similar_documents(
     any one order of shingles, two sets that similar share one of their first
     n - ceil(n * ``share`` / 100) + 1, which are the keys. Shingles common in a sample come last in
     the order, so that passages found everywhere are seldom keys. Before sets are read, pairs whose
-    parities (1,024 bits, each turned by the shingles hashed to it) differ in more bits than sets
-    that similar differ in shingles are left out. Texts without a word are alike; otherwise as
+    parities (bits, each turned by the shingles hashed to it) differ in more bits than sets that
+    similar differ in shingles are left out. There are 1,024 of them to compare all texts of a key
+    by, and two or more for each shingle to tell from which pairs sets are read; the longer parity
+    of a pair is folded to the shorter. Texts without a word are alike; otherwise as
     ``near_duplicates``.
     """
     texts = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
     common = _common_shingles(texts, shingle)
 
-    @F.pandas_udf("fp long, second long, n int, parity array<long>, keys array<long>")
+    @F.pandas_udf("fp long, second long, n int, parity array<long>, wide array<long>, keys array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
@@ -205,10 +207,10 @@ def similar_documents(
             kept = _set(h)
             last = common[np.searchsorted(common[:-1], kept)] == kept
             keys = np.concatenate([kept[~last], kept[last]])[: len(kept) + len(kept) * -share // 100 + 1]
-            parity = np.packbits(np.bincount((kept & np.uint64(1023)).astype(np.int64), minlength=1024) & 1 == 1)
-            out.append((fingerprint(t, 1, True), _bits(h), len(kept), parity.view(np.int64), keys.view(np.int64)))
-        fp, second, n, parity, keys = zip(*out, strict=True) if out else ((),) * 5
-        return pd.DataFrame({"fp": np.array(fp, np.uint64).view(np.int64), "second": np.array(second, np.uint64).view(np.int64), "n": np.array(n, np.int32), "parity": list(parity), "keys": list(keys)})
+            wide = _parity(kept, max(1024, 1 << (2 * len(kept) - 1).bit_length()))
+            out.append((fingerprint(t, 1, True), _bits(h), len(kept), _parity(kept, 1024), wide if len(wide) > 16 else None, keys.view(np.int64)))
+        fp, second, n, parity, wide, keys = zip(*out, strict=True) if out else ((),) * 6
+        return pd.DataFrame({"fp": np.array(fp, np.uint64).view(np.int64), "second": np.array(second, np.uint64).view(np.int64), "n": np.array(n, np.int32), "parity": list(parity), "wide": pd.Series(wide, dtype=object), "keys": list(keys)})
 
     prints = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("node"), of(F.col(text_col)).alias("p"))
     prints = materialize(prints.select("doc_id", "node", "p.*"), "fingerprints")
@@ -223,10 +225,7 @@ def similar_documents(
     shared = materialize(keyed.where("low < high").select("key", "node", "low"), "shared").where("low < node")
     sought = link_fingerprints(distinct, radius, stripes, check=check).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = materialize(sought.unionByName(shared.select(F.col("low").alias("a"), F.col("node").alias("b"))).where("a < b").distinct(), "first-pairs")
-    side = lambda name: distinct.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("parity").alias(f"p_{name}")).hint("shuffle_merge")
-    bits = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    likely = first.join(side("a"), "a").join(side("b"), "b").where(bits * (100 + share) <= (F.col("n_a") + F.col("n_b")) * (100 - share))
-    links = _verified(materialize(likely.select("a", "b"), "likely"), texts, share, shingle)
+    links = _verified(materialize(_likely(first, distinct, share), "likely"), texts, share, shingle)
 
     # All others that share a key, but for those linked already.
     label = materialize(components(links), "first-components").select("node", "component")
@@ -248,13 +247,41 @@ def similar_documents(
 
     dealt = block_pairs(materialize(rest, "unlinked"), ["key"], "node", block)
     others = compare_groups(dealt, ["key"], compare, "a long, b long").distinct().join(first.hint("shuffle_merge"), ["a", "b"], "left_anti")
-    found = components(links.unionByName(_verified(materialize(others, "other-pairs"), texts, share, shingle)))
+    others = materialize(_likely(materialize(others, "other-pairs"), distinct, share), "others-likely")
+    found = components(links.unionByName(_verified(others, texts, share, shingle)))
     grouped = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     named = materialize(grouped.join(least, "component").select("node", "component_id"), "named")
     return prints.select("doc_id", "node").join(named.hint("shuffle_merge"), "node").select("doc_id", "component_id")
 
 
+def _parity(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Whether an odd number of the distinct ``hashes`` falls on each of ``bits``, as 64-bit words."""
+    return np.packbits(np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1).view(np.int64)
+
+
+def _likely(pairs: DataFrame, distinct: DataFrame, share: int) -> DataFrame:
+    """The ``pairs`` (a, b) whose sizes and parities do not rule out that they are ``share`` percent alike."""
+
+    def fold(x: Column) -> Column:
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+    def near(x: Column, y: Column) -> Column:
+        bits = F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda p, q: p + q)
+        return bits * (100 + share) <= (F.col("n_a") + F.col("n_b")) * (100 - share)
+
+    def side(name: str) -> DataFrame:
+        return distinct.select(F.col("node").alias(name), F.col("n").alias(f"n_{name}"), F.col("parity").alias(f"p_{name}"), F.col("wide").alias(f"w_{name}")).hint("shuffle_merge")
+
+    found = pairs.join(side("a"), "a").join(side("b"), "b")
+    found = found.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * share).where(near(F.col("p_a"), F.col("p_b")))
+    x, y = F.col("w_a"), F.col("w_b")
+    # sets that similar differ in size by less than half, so one fold is enough
+    x, y = F.when(F.size(x) > F.size(y), fold(x)).otherwise(x), F.when(F.size(y) > F.size(x), fold(y)).otherwise(y)
+    return found.where(F.col("w_a").isNull() | F.col("w_b").isNull() | near(x, y)).select("a", "b")
+
+
 def _set(h: np.ndarray) -> np.ndarray:
     """The distinct hashes in order; without any, zero alone, so that all such texts are alike."""
     return np.unique(h) if len(h) else np.zeros(1, np.uint64)

@@ -157,6 +157,25 @@ def test_similar_documents_against_brute_force(spark, texts):
     assert len(links) > 20 and want[-2] == len(rows) - 3 and want[-1] != want[-3]
 
 
+def test_parities_rule_out_no_similar_pair(spark):
+    rng = np.random.default_rng(8)
+    rows, want = [], []
+    for k in range(300):
+        n = int(rng.integers(1, 3000))
+        shared = rng.integers(0, 2**63, n, dtype=np.uint64)
+        extra = rng.integers(0, n // 2 + 2, 2)
+        a, b = (np.unique(np.append(shared, rng.integers(0, 2**63, m, dtype=np.uint64))) for m in extra)
+        if len(np.intersect1d(a, b)) * 100 >= 80 * len(np.union1d(a, b)):
+            want.append((2 * k, 2 * k + 1))
+        for i, x in enumerate((a, b)):
+            wide = simhash._parity(x, max(1024, 1 << (2 * len(x) - 1).bit_length()))
+            rows.append((2 * k + i, len(x), simhash._parity(x, 1024).tolist(), wide.tolist() if len(wide) > 16 else None))
+    distinct = spark.createDataFrame(rows, "node long, n int, parity array<long>, wide array<long>")
+    pairs = spark.createDataFrame([(2 * k, 2 * k + 1) for k in range(300)], "a long, b long")
+    got = {(r.a, r.b) for r in simhash._likely(pairs, distinct, 80).collect()}
+    assert set(want) <= got and len(got) < 1.3 * len(want)
+
+
 def test_links_lose_no_pair(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 60, dtype=np.uint64)
