@@ -343,7 +343,8 @@ def test_each_machine_changes_scores():
 
 
 def test_threats_are_learned(spark):
-    rows = [(i, f"w{i} i will zerbl v{i} u{i} you quexy w{i + 1}", 1) for i in range(40)] + [(100 + i, f"nothing here w{i} v{i}", 0) for i in range(40)]
+    name = lambda i: f"{chr(97 + i % 26)}{chr(97 + i // 26)}x"
+    rows = [(i, f"{name(i)} i will zerbl {name(i)} and {name(i)} quexy {name(i + 1)}", 1) for i in range(150)] + [(1000 + i, f"and i will go {name(i)}", 0) for i in range(150)]
     insults, threats = toxicity.learn_patterns(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
     assert any(w.startswith("zerb") for w in threats) and any(w.startswith("quex") for w in insults) and not any(w.startswith("zerb") for w in insults)
 
