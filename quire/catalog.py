@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import compiling, curating, people, retrieval, storing  # noqa: F401
+from quire.plans import compiling, curating, listing, people, retrieval, storing  # noqa: F401
 from quire.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
