@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SIZE, OVERLAP = 1600, 200
 _ENDS = (". ", "! ", "? ", ".\n", "\n")
@@ -34,19 +35,26 @@ def windows(text: str, size: int = SIZE, overlap: int = OVERLAP) -> Iterator[tup
         at = max(end - overlap, at + 1)
 
 
-def passages(sections: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+def passages(sections: DataFrame, id_col: str | Sequence[str] = "doc_id", text_col: str = "text", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """id, number (from 0), char_start, char_end and text (trimmed) of each section's passages.
 
+    The id is one column or several, of any type; a key named as an output column is an error.
     Offsets are into the trimmed section. Blank and null sections have no passages.
     """
+    keys = [id_col] if isinstance(id_col, str) else list(id_col)
+    if taken := {"number", "char_start", "char_end", "text"} & set(keys):
+        raise ValueError(f"key columns named as outputs: {sorted(taken)}")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for key, text in zip(pdf[id_col], pdf["__text"], strict=True):
+            for i, text in enumerate(batch.column("__text").to_pylist()):
                 pieces = [(a, b, piece) for a, b in windows(text, size, overlap) if (piece := text[a:b].strip())]
-                rows += [(key, n, a, b, piece) for n, (a, b, piece) in enumerate(pieces)]
-            yield pd.DataFrame(rows, columns=[id_col, "number", "char_start", "char_end", "text"])
+                rows += [(i, n, a, b, piece) for n, (a, b, piece) in enumerate(pieces)]
+            at, *made = (pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((),) * 5, [pa.int64()] * 4 + [pa.string()], strict=True))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *made], [*keys, "number", "char_start", "char_end", "text"])
 
     trimmed = F.regexp_replace(F.coalesce(text_col, F.lit("")), r"(?U)^\s+|\s+$", "")
-    return sections.select(id_col, trimmed.alias("__text")).where("__text <> ''").mapInPandas(cut, f"{id_col} long, number long, char_start long, char_end long, text string")
+    rows = sections.select(*keys, trimmed.alias("__text")).where("__text <> ''")
+    schema = T.StructType([f for f in rows.schema.fields if f.name != "__text"]).add("number", "long").add("char_start", "long").add("char_end", "long").add("text", "string")
+    return rows.mapInArrow(cut, schema)

@@ -166,6 +166,20 @@ def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", sections.html_title(F.col("html")).alias("title"))
 
 
+@query(r"""
+WITH b AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)\s*>', chr(10), 'g'), '(?is)<!--.*?-->', '', 'g') AS h FROM pages),
+t AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(h, '(?is)<h[1-3]\b[^>]*>(.*?)</h[1-3]\s*>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS title, regexp_replace(h, '<[^>]*>', chr(10), 'g') AS body FROM b),
+e AS (SELECT page_id, replace(replace(replace(replace(replace(unnest([title, body]), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), chr(160), ' ') AS x, unnest([1, 2]) AS n FROM t),
+l AS (SELECT page_id, n, list_filter(list_transform(string_split(x, chr(10)), lambda y: trim(y)), lambda y: y <> '') AS l FROM e)
+SELECT page_id, max(array_to_string(l, ' ')) FILTER (n = 1) AS title, md5(max(trim(regexp_replace(array_to_string(l, ' '), '[ \t]{2,}', ' ', 'g'))) FILTER (n = 2)) AS digest,
+  max(length(array_to_string(l, ' '))) FILTER (n = 2)::BIGINT AS chars FROM l GROUP BY page_id""")
+def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First heading and whole text of every page, without tags, scripts and styles."""
+    found = table(spark, sf_dir, "pages").select("page_id", sections.html_texts(F.col("html")).alias("x"))
+    body = text.cleaned(F.col("x.text"))
+    return found.select("page_id", F.col("x.title").alias("title"), F.md5(body.cast("binary")).alias("digest"), F.length(body).cast("long").alias("chars"))
+
+
 @query("SELECT event_type, (props ->> '$.k')::BIGINT % 10 AS k, count(*)::BIGINT AS events FROM events GROUP BY ALL")
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A field of JSON texts, counted."""

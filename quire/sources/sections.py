@@ -6,6 +6,7 @@ import io
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import unquote
@@ -22,12 +23,21 @@ SHORT = 120
 
 
 def sniff(name: Column, content: Column) -> Column:
-    """Kind of a file from its first bytes, or its name for plain text; '' if unknown."""
-    head = F.decode(F.substring(content, 1, 4096), "ISO-8859-1")
+    """Kind of a file from its bytes, or its name for plain text; '' if unknown.
+
+    An archive is an EPUB if it has a member ``mimetype`` or a package, as its first entry or its
+    directory (in the last 64 KB) says. Other files are text if their first bytes are UTF-8.
+    """
+    text_of = lambda c: F.decode(c, "ISO-8859-1")
+    head = text_of(F.substring(content, 1, 4096))
+    tail = text_of(F.substring(content, F.greatest(F.octet_length(content) - 65535, F.lit(1)), F.lit(65536)))
     first = F.substring(F.regexp_replace(head, r"^[\s\x{EF}\x{BB}\x{BF}]+", ""), 1, 1)
+    member = F.rlike(F.concat(head, tail), F.lit(r"mimetype|\.opf"))
+    whole = lambda n: F.is_valid_utf8(F.substring(content, 1, n).cast("string"))
+    cut = (F.octet_length(content) > 4096) & (whole(4095) | whole(4094) | whole(4093))  # a character may be cut
     return (
-        F.when(F.startswith(head, F.lit("%PDF")), "pdf").when(F.startswith(head, F.lit("PK")), F.when(F.contains(head, F.lit("mimetype")) | F.rlike(head, F.lit(r"\.opf")), "epub").otherwise(""))
-        .when(first.isin("{", "["), "json").when(F.rlike(F.lower(name), F.lit(r"\.(txt|md)$")), "txt").when(F.rlike(head, F.lit(r"\x00")), "").otherwise("txt")
+        F.when(F.startswith(head, F.lit("%PDF")), "pdf").when(F.startswith(head, F.lit("PK")), F.when(member, "epub").otherwise(""))
+        .when(first.isin("{", "["), "json").when(F.rlike(F.lower(name), F.lit(r"\.(txt|md)$")), "txt").when(F.rlike(head, F.lit(r"\x00")) | ~(whole(4096) | cut), "").otherwise("txt")
     )
 
 
@@ -105,7 +115,7 @@ def fold_short(sections: DataFrame, id_col: str, least: int = SHORT) -> DataFram
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """Sections of JSON files: an object with ``chapters`` or ``items``, a list, or a record a line.
 
-    Returns file, number, title, text, ref. Order is position, index or chapter where the first
+    Returns file, number, title, text, ref, words; nothing is folded. Order is position, index or chapter where the first
     of these that is there is a whole number, else the place in the file. Records without text
     are left out but counted; lines that are no JSON are left out.
     """
@@ -123,16 +133,44 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     placed = rows.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy(F.coalesce(forced, F.col("i").cast("long")), "i")))
     made = placed.select("file", "n", pick("title", "name", "chapter_title").alias("title"), tx.cleaned(pick("text", "content", "body")).alias("text"), pick("source_ref", "url", "ref", "source", "link").alias("ref")).where("text <> ''")
     number = F.row_number().over(Window.partitionBy("file").orderBy("n"))
-    return made.select("file", number.alias("number"), F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Chapter "), F.col("n"))).alias("title"), "text", "ref")
+    return made.select("file", number.alias("number"), F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Chapter "), F.col("n"))).alias("title"), "text", "ref", tx.words(F.col("text")).alias("words"))
+
+
+def _stem(file: Column) -> Column:
+    return F.regexp_extract(file, r"([^/]+?)(\.[^./]*)?$", 1)
+
+
+def _folded(rows: DataFrame, key: str, least: int) -> DataFrame:
+    """Short sections folded; those still without a title are named by their number."""
+    made = fold_short(rows.where("text <> ''").withColumn("words", tx.words(F.col("text"))), key, least)
+    return made.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Chapter "), F.col("number").cast("string"))))
+
+
+def _whole_texts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
 
 
-def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """Sections of plain text files by their headings: file, number, title, first, last."""
-    raw = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
-    rows = lines(raw, "file", "value")
+def text_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """Sections of plain text files by their headings: file, number, title, first and last line."""
+    rows = lines(_whole_texts(spark, path), "file", "value")
     return heading_ranges(rows, headings(rows, "file"), "file")
 
 
+def read_text(spark: SparkSession, path: str, least: int = SHORT) -> DataFrame:
+    """Sections of plain text files by their headings: file, number, title, text, ref, words.
+
+    Files with fewer than two headings are one section under the file's name. Sections under
+    ``least`` words are folded; files of white space alone have none.
+    """
+    found = text_ranges(spark, path).groupBy("file").agg(F.collect_list(F.struct("number", "title", "first", "last")).alias("ranges"))
+    cut = _whole_texts(spark, path).join(found, "file").select("file", F.split("value", "\n").alias("all"), F.explode("ranges").alias("r"))
+    whole = F.col("r.title") == ""
+    ref = F.when(whole, "whole file").otherwise(F.concat(F.lit("lines "), F.greatest("r.first", F.lit(1)), F.lit("-"), F.col("r.last") + 1))
+    text = F.array_join(F.slice("all", F.col("r.first") + 1, F.greatest(F.col("r.last") - F.col("r.first") + 1, F.lit(0))), "\n")
+    rows = cut.select("file", F.col("r.number").alias("ord"), F.when(whole, _stem(F.col("file"))).otherwise(F.col("r.title")).alias("title"), tx.cleaned(text).alias("text"), ref.alias("ref"))
+    return _folded(rows, "file", least)
+
+
 def paged_sections(pages: DataFrame, id_col: str, block: int = 20) -> DataFrame:
     """Sections of paged text: id, number, title, first_page, last_page.
 
@@ -157,6 +195,24 @@ def paged_sections(pages: DataFrame, id_col: str, block: int = 20) -> DataFrame:
     return all_.select(id_col, F.row_number().over(order).alias("number"), "title", "first_page", F.coalesce(F.lead("first_page").over(order) - 1, F.col("pages")).alias("last_page"))
 
 
+def paged_texts(pages: DataFrame, id_col: str, block: int = 20, least: int = SHORT) -> DataFrame:
+    """Sections of paged text: id, number, title, text, ref, words; short ones folded, empty ones left out.
+
+    ``pages``: id, page (from 1), text (null for a page that could not be read).
+    """
+    ranges = paged_sections(pages.withColumn("text", F.coalesce("text", F.lit(""))), id_col, block)
+    on = ranges.select(id_col, F.col("number").alias("ord"), "title", F.concat(F.lit("pages "), "first_page", F.lit("-"), "last_page").alias("ref"), F.explode(F.sequence("first_page", "last_page")).alias("page"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("page", F.coalesce("text", F.lit("")).alias("text")))), lambda p: p["text"])
+    rows = on.join(pages.select(id_col, "page", "text"), [id_col, "page"]).groupBy(id_col, "ord").agg(F.first("title").alias("title"), tx.cleaned(F.array_join(parts, "\n")).alias("text"), F.first("ref").alias("ref"))
+    return _folded(rows, id_col, least)
+
+
+def page_report(pages: DataFrame, id_col: str) -> DataFrame:
+    """id, pages, unread (null texts), words, scanned: whether there are under five words a page."""
+    found = pages.groupBy(id_col).agg(F.count("*").alias("pages"), F.count_if(F.col("text").isNull()).alias("unread"), F.sum(tx.words(F.col("text"))).alias("words"))
+    return found.withColumn("scanned", F.col("words") < F.col("pages") * 5)
+
+
 def html_title(html: Column) -> Column:
     """First of h1 to h3 in document order without its tags, else the title, else ''."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
@@ -201,6 +257,16 @@ def html_text(html: str) -> tuple[str, str]:
     return " ".join("".join(parser.title).split()), "\n".join(x.strip() for x in "".join(parser.out).split("\n") if x.strip())
 
 
+def html_texts(html: Column) -> Column:
+    """Struct of title (first heading) and text (cleaned, without tags, scripts and styles); null is empty."""
+
+    @F.pandas_udf("title string, text string")
+    def run(pages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([html_text(p or "") for p in pages], columns=["title", "text"])
+
+    return run(html)
+
+
 def spine(archive: zipfile.ZipFile) -> list[str]:
     """Content documents of an archive in reading order; by manifest, then by name order, if it has none."""
     names = archive.namelist()
@@ -217,22 +283,41 @@ def spine(archive: zipfile.ZipFile) -> list[str]:
     return [n for n in order if n in names] or [n for n in items.values() if n in pages] or pages
 
 
-def read_epub(spark: SparkSession, path: str) -> DataFrame:
-    """Documents of EPUB archives in reading order: file, ord, title, text, ref, words."""
+def epub_documents(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of EPUB archives in reading order: file, ord, title, text, ref, warning.
+
+    An archive or document that cannot be read is one row with a warning and null text.
+    """
+
+    def documents(file: str, content: bytes) -> Iterator[tuple]:
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                for i, n in enumerate(spine(archive)):
+                    try:
+                        yield (file, i, *html_text(archive.read(n).decode("utf-8", "replace")), n, None)
+                    except (zipfile.BadZipFile, zlib.error, AssertionError, NotImplementedError, RuntimeError, EOFError) as problem:
+                        yield file, i, "", None, n, f"cannot read {n}: {problem}"
+        except zipfile.BadZipFile as problem:
+            yield file, 0, "", None, "", f"no archive: {problem}"
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for file, content in zip(pdf["path"], pdf["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    rows = [(file, i, *html_text(archive.read(n).decode("utf-8", "replace")), n) for i, n in enumerate(spine(archive))]
-                yield pd.DataFrame(rows, columns=["file", "ord", "title", "text", "ref"])
+                yield pd.DataFrame(documents(file, content), columns=["file", "ord", "title", "text", "ref", "warning"])
+
+    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "file string, ord long, title string, text string, ref string, warning string")
+    return found.withColumn("text", tx.cleaned(F.col("text")))
 
-    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(unpack, "file string, ord long, title string, text string, ref string")
-    cleaned = found.withColumn("text", tx.cleaned(F.col("text"))).where("text <> ''")
-    return cleaned.withColumn("title", F.coalesce(F.nullif("title", F.lit("")), F.concat(F.lit("Section "), (F.col("ord") + 1).cast("string")))).withColumn("words", tx.words(F.col("text")))
+
+def read_epub(spark: SparkSession, path: str, least: int = SHORT) -> DataFrame:
+    """Sections of EPUB archives: file, number, title, text, ref, words; short ones folded.
+
+    What cannot be read is left out; ``epub_documents`` tells why.
+    """
+    return _folded(epub_documents(spark, path).where("warning IS NULL").drop("warning"), "file", least)
 
 
-#: Readers by kind of file; each takes (spark, path).
+#: Readers by kind of file; each takes (spark, path) and gives file, number, title, text, ref, words.
 READERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {"json": read_json, "txt": read_text, "epub": read_epub}
 
 
