@@ -4,8 +4,10 @@ Filter directions form a structured random product code: the dimensions are cut
 part has a small book of random unit vectors, and a direction joins one vector from each book.
 A vector is list-decoded to all directions whose cap it lies in, that is whose inner product with
 it exceeds the height of a cap that random vectors lie in ``mean`` of on average; one with a shorter
-list takes its ``least`` nearest directions. Vectors that share a direction and the label
-are compared exactly. Near vectors share most of their lists, others hardly any.
+list takes its ``least`` nearest directions. Vectors that share a direction and the label meet:
+first as sketches of 64 bytes, which tell the rows that may have a near one there, then these rows
+with their vectors, which are compared exactly. Near vectors share most of their lists, others
+hardly any.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.blocks import block_pairs, compare_groups, shifted_pairs
-from quire.llm.common import materialize
+from quire.llm.common import join_small, materialize
 from quire.llm.components import components, contract
 
 
@@ -84,6 +86,28 @@ class ProductCode:
         return out
 
 
+class Sketch:
+    """Unit vectors on ``WIDTH`` orthonormal axes at most, each coordinate as one of 255 steps.
+
+    A projection brings vectors no farther apart, and a step is off by half its width at most, so
+    the sketches of two vectors within a distance are within ``reach`` of it: no pair is lost.
+    """
+
+    WIDTH, STEPS = 64, 127
+
+    def __init__(self, dims: int, seed: int = 7):
+        rng = np.random.default_rng([seed, dims])
+        self.axes = np.eye(dims, self.WIDTH) if dims <= self.WIDTH else np.linalg.qr(rng.normal(size=(dims, self.WIDTH)))[0]
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        return np.round(np.clip(x @ self.axes, -1, 1) * self.STEPS).astype(np.int8)
+
+    @classmethod
+    def reach(cls, cosine: float) -> float:
+        """Largest squared distance in steps of the sketches of unit vectors of this cosine or more."""
+        return (cls.STEPS * (math.sqrt(max(0.0, 2 - 2 * cosine)) + 1e-6) + math.sqrt(cls.WIDTH)) ** 2
+
+
 def near_vectors(
     rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
     cosine: float = 0.98, mean: int = 15, least: int = 20, block: int = 512,
@@ -106,21 +130,41 @@ def near_vectors(
     words = 256 * max(1, math.ceil(math.sqrt(classes.count() / 2**20)))
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes: dict[int, ProductCode] = {}
+        codes: dict[int, tuple[ProductCode, Sketch]] = {}
         for pdf in batches:
             dims = pdf["vector"].map(len).to_numpy()
             for d in np.unique(dims):
                 part = pdf[dims == d]
-                code = codes.setdefault(int(d), ProductCode(int(d), words=words))
+                code, sketch = codes.setdefault(int(d), (ProductCode(int(d), words=words), Sketch(int(d))))
                 height = NormalDist().inv_cdf(1 - min(0.5, mean / code.directions))
                 for at in range(0, len(part), 1024):
                     some = part.iloc[at : at + 1024]
                     x = np.stack(some["vector"].to_numpy()).astype(np.float64)
-                    lists = code.decode(x / np.linalg.norm(x, axis=1, keepdims=True), height, least)
-                    n = [len(v) for v in lists]
-                    take = np.repeat(np.arange(len(some)), n)
-                    out = some[["label", "node", "weight", "vector"]].iloc[take].reset_index(drop=True)
-                    yield out.assign(dims=int(d), direction=np.concatenate(lists), others=[lists[i] for i in take])
+                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    yield some[["label", "node", "weight", "vector"]].assign(dims=int(d), sketch=[v.tobytes() for v in sketch.of(x)], others=code.decode(x, height, least))
+
+    reach = Sketch.reach(cosine)
+
+    def mark(pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
+        """The rows that may have a near one in their group."""
+        steps = np.frombuffer(b"".join(pdf["sketch"]), np.int8).reshape(len(pdf), -1).astype(np.float32)
+        own, apart, size = pdf["own"].to_numpy(), (pdf["bi"] != pdf["bj"]).to_numpy(), np.diff(starts)
+        found = np.zeros(len(pdf), bool)
+        little = np.flatnonzero(size <= 24)
+        if len(little):
+            at = np.concatenate([np.arange(starts[g], starts[g + 1]) for g in little])
+            for i, j in shifted_pairs(np.concatenate([[0], np.cumsum(size[little])]), own[at], apart[at]):
+                i, j = at[i], at[j]
+                near = np.square(steps[i] - steps[j]).sum(1) <= reach
+                found[i[near]] = found[j[near]] = True
+        for g in np.flatnonzero(size > 24):
+            lo, hi = starts[g], starts[g + 1]
+            x = steps[lo:hi]
+            square = np.square(x).sum(1)
+            near = square[:, None] + square - 2 * (x @ x.T) <= reach  # whole numbers below 2 ** 24, so exact
+            near &= own[lo:hi, None] != own[None, lo:hi] if apart[lo] else ~np.eye(hi - lo, dtype=bool)
+            found[lo:hi] = near.any(1)
+        yield pdf.loc[found, ["label", "dims", "direction", "node"]]
 
     def compare(pdf: pd.DataFrame, starts: np.ndarray) -> Iterator[pd.DataFrame]:
         node, weight, direction = pdf["node"].to_numpy(), pdf["weight"].to_numpy(), pdf["direction"].to_numpy()
@@ -175,9 +219,13 @@ def near_vectors(
         yield out
 
     kind = dict(rows.dtypes)[label_col]
-    indexed = materialize(classes.select("label", "node", "weight", "vector").mapInPandas(index, f"label {kind}, node long, weight long, vector {dict(rows.dtypes)[vector_col]}, dims int, direction int, others array<int>"), "directions")
+    decoded = classes.select("label", "node", "weight", "vector").mapInPandas(index, f"label {kind}, node long, weight long, vector {dict(rows.dtypes)[vector_col]}, dims int, sketch binary, others array<int>")
+    decoded = materialize(decoded, "decoded")
     keys = ["label", "dims", "direction"]
-    found = materialize(compare_groups(block_pairs(indexed, keys, "node", block), keys, compare, "a long, b long, n long"), "compared")
+    directions = decoded.select("label", "dims", F.explode("others").alias("direction"), "node", "sketch")
+    marked = materialize(compare_groups(block_pairs(directions, keys, "node", block), keys, mark, f"label {kind}, dims int, direction int, node long").distinct(), "marked")
+    meeting = materialize(join_small(decoded.select("node", "weight", "vector", "others"), marked, ["node"]), "meeting")
+    found = materialize(compare_groups(block_pairs(meeting, keys, "node", block), keys, compare, "a long, b long, n long"), "compared")
     counts = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     grouped = components(found.where("n = 0").select("a", "b"))
     named = classes.select("node", "weight", "least").join(counts, "node", "left").join(grouped, "node", "left")

@@ -1,5 +1,6 @@
 """Parts of the methods against plain versions of the same thing."""
 
+import math
 import re
 import zlib
 
@@ -230,6 +231,38 @@ def test_near_vectors_against_brute_force(spark):
     assert got["component_id"].tolist() == contract(i, j, len(v)).tolist()
 
 
+@pytest.mark.parametrize("dims", [3, 64, 384])
+def test_sketches_lose_no_pair(dims):
+    rng = np.random.default_rng(dims)
+    x = rng.normal(size=(4000, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn = rng.normal(size=x.shape)
+    turn -= (turn * x).sum(1, keepdims=True) * x
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    y = 0.98 * x + math.sqrt(1 - 0.98**2) * turn
+    sketch = caps.Sketch(dims)
+    a, b = sketch.of(x).astype(float), sketch.of(y).astype(float)
+    assert (np.square(a - b).sum(1) <= caps.Sketch.reach(0.98)).all()
+    if dims > 3:
+        assert (np.square(a - np.roll(a, 1, 0)).sum(1) <= caps.Sketch.reach(0.98)).mean() < 0.01
+
+
+def test_near_vectors_at_the_edge(spark):
+    """Pairs just above and below 0.98, each to be linked or not; one label in groups of one direction."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    turn = rng.normal(size=x.shape)
+    turn -= (turn * x).sum(1, keepdims=True) * x
+    turn /= np.linalg.norm(turn, axis=1, keepdims=True)
+    cosine = np.where(np.arange(600) % 2 == 0, 0.9805, 0.9795)[:, None]
+    v = np.concatenate([x, cosine * x + np.sqrt(1 - cosine**2) * turn]).astype(np.float32)
+    df = spark.createDataFrame([(i, r.tolist(), "a") for i, r in enumerate(v)], "vec_id long, embedding array<float>, label string")
+    got = caps.near_vectors(df).toPandas().set_index("vec_id")["component_id"].sort_index()
+    linked = got.loc[600:].to_numpy() == np.arange(600)
+    assert linked[::2].mean() >= 0.99 and not linked[1::2].any()
+
+
 def test_lists_hold_all_exceeding_directions():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(50, 16))
