@@ -1,4 +1,4 @@
-"""Upserts of entities, quests and people with their whole payload; roll-ups and replies about names.
+"""Upserts of rules, entities, quests and people with their whole payload; roll-ups and replies about names.
 
 Stored and incoming tables hold each key once. ``aliases`` is an array of strings, ``citations`` an
 array of (chunk, chapter). Curation stays: status never changes, edited text is not replaced; aliases
@@ -52,6 +52,23 @@ def upsert_entities(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return both.select(*(c.alias(n) for n, c in shared.items()), _longer("summary", new).alias("summary"))
 
 
+def upsert_rules(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Rules after incoming ones, with kind, scope, applies_to, statement, formula, confidence, evidence.
+
+    An incoming statement takes the place of one that is not edited if it is the first that is stated
+    outright, or as sure and longer; formula and evidence come along where it has them. Kind and scope
+    stay those of the stored rule.
+    """
+    both, new, shared = _joined(stored, incoming)
+    surer = (F.col("i.confidence") == "stated") & (F.col("s.confidence") != "stated")
+    longer = (F.col("i.confidence") == F.col("s.confidence")) & (F.length("i.statement") > F.length(F.coalesce("s.statement", F.lit(""))))
+    taken = new | F.coalesce(~F.col("s.edited") & (surer | longer), F.lit(False))
+    first = lambda c: F.when(new, F.col(f"i.{c}")).otherwise(F.col(f"s.{c}")).alias(c)
+    pick = lambda c: F.when(taken, F.col(f"i.{c}")).otherwise(F.col(f"s.{c}")).alias(c)
+    filled = lambda c: F.when(new | (taken & (F.coalesce(f"i.{c}", F.lit("")) != "")), F.col(f"i.{c}")).otherwise(F.col(f"s.{c}")).alias(c)
+    return both.select(*(c.alias(n) for n, c in shared.items()), *map(first, ("kind", "scope", "applies_to")), *map(pick, ("statement", "confidence")), *map(filled, ("formula", "evidence")))
+
+
 def upsert_quests(stored: DataFrame, incoming: DataFrame, fields: list[str] = QUEST_FIELDS) -> DataFrame:
     """Quests after incoming ones: longer fields, first known kind and later outcome unless edited,
     the earliest known chapter always (0 is unknown)."""

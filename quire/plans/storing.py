@@ -54,6 +54,38 @@ def upsert_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key", "name", F.array_join("aliases", "|").alias("aliases"), _cited("citations"), "status", "summary", "action")
 
 
+# Parts of a brand and type state one rule: those up to size 25 are stored, larger ones come in.
+RULE_SIDE = f"""SELECT 'skill:' || {_slug("p_brand || ' ' || p_type")} AS key, min(p_brand || ' ' || p_type) AS name, list_sort(list(DISTINCT p_name)) AS aliases, max(p_name || ' ' || floor(p_retailprice)::BIGINT) AS statement,
+  list_sort(list(DISTINCT {{'chunk': p_partkey, 'chapter': p_size}})) AS citations, min(p_partkey) % 4 = 0 AS edited, CASE WHEN min(p_partkey) % 5 = 0 THEN 'discarded' ELSE 'proposed' END AS status,
+  CASE WHEN max(p_partkey) % 3 = 0 THEN 'stated' ELSE 'implied' END AS confidence, CASE WHEN max(p_partkey) % 2 = 0 THEN min(p_name) ELSE '' END AS formula, CASE WHEN min(p_partkey) % 3 = 0 THEN NULL ELSE max(p_name) END AS evidence,
+  CASE WHEN min(p_size) % 2 = 0 THEN 'system' ELSE 'instance' END AS scope, CASE WHEN min(p_size) % 2 = 0 THEN '' ELSE min(p_brand) END AS applies_to FROM part"""
+
+
+@query(f"""WITH s AS ({RULE_SIDE} WHERE p_size <= 25 GROUP BY 1), i AS ({RULE_SIDE} WHERE p_size > 25 GROUP BY 1),
+j AS (SELECT coalesce(s.key, i.key) AS key, coalesce(s.name, i.name) AS name, {_united("s.aliases", "i.aliases", "coalesce(s.name, i.name)")} AS aliases, {CITED}, coalesce(s.status, 'proposed') AS status, {ACTION}, s.key IS NULL AS fresh,
+  s.key IS NULL OR coalesce(NOT s.edited AND (i.confidence > s.confidence OR i.confidence = s.confidence AND length(i.statement) > length(s.statement)), false) AS taken,
+  s.statement AS s1, i.statement AS i1, s.confidence AS s2, i.confidence AS i2, s.formula AS s3, i.formula AS i3, s.evidence AS s4, i.evidence AS i4, s.scope AS s5, i.scope AS i5, s.applies_to AS s6, i.applies_to AS i6 FROM s FULL JOIN i ON s.key = i.key)
+SELECT key, name, aliases, citations, status, action, if(taken, i1, s1) AS statement, if(taken, i2, s2) AS confidence, if(fresh OR taken AND coalesce(i3, '') <> '', i3, s3) AS formula, if(fresh OR taken AND coalesce(i4, '') <> '', i4, s4) AS evidence,
+  if(fresh, i5, s5) AS scope, if(fresh, i6, s6) AS applies_to FROM j""")
+def upsert_whole_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incoming rules over stored ones with all they carry."""
+    name = F.concat_ws(" ", "p_brand", "p_type")
+    rows = table(spark, sf_dir, "part").withColumns({"key": F.concat(F.lit("skill:"), text.slug(name)), "name": name, "statement": F.concat_ws(" ", "p_name", F.floor("p_retailprice"))})
+    low, high, even = F.min("p_partkey"), F.max("p_partkey"), F.min("p_size") % 2 == 0
+
+    def side(part: DataFrame) -> DataFrame:
+        cited = F.array_sort(F.collect_set(F.struct(F.col("p_partkey").alias("chunk"), F.col("p_size").alias("chapter"))))
+        return part.groupBy("key").agg(
+            F.min("name").alias("name"), F.array_sort(F.collect_set("p_name")).alias("aliases"), F.max("statement").alias("statement"), cited.alias("citations"), F.lit("skill").alias("kind"),
+            (low % 4 == 0).alias("edited"), F.when(low % 5 == 0, "discarded").otherwise("proposed").alias("status"), F.when(high % 3 == 0, "stated").otherwise("implied").alias("confidence"),
+            F.when(high % 2 == 0, F.min("p_name")).otherwise("").alias("formula"), F.when(low % 3 != 0, F.max("p_name")).alias("evidence"),
+            F.when(even, "system").otherwise("instance").alias("scope"), F.when(even, "").otherwise(F.min("p_brand")).alias("applies_to"),
+        )
+
+    found = stores.upsert_rules(side(rows.where("p_size <= 25")), side(rows.where("p_size > 25")))
+    return found.select("key", "name", F.array_join("aliases", "|").alias("aliases"), _cited("citations"), *"status action statement confidence formula evidence scope applies_to".split())
+
+
 # Orders of a customer and priority are one quest: those before 1996 are stored, later ones come in.
 QUEST_SIDE = """SELECT o_custkey || '-' || o_orderpriority AS key, min('Quest ' || o_custkey) AS name, list_sort(list(DISTINCT o_orderstatus)) AS aliases, max(repeat('r', (o_orderkey % 9)::BIGINT)) AS reward, max(repeat('p', (o_orderkey % 4)::BIGINT)) AS penalty,
   list_sort(list(DISTINCT {'chunk': o_orderkey, 'chapter': o_orderkey % 40})) AS citations, CASE WHEN min(o_orderkey) % 3 = 0 THEN 'unknown' WHEN min(o_orderkey) % 3 = 1 THEN 'main' ELSE 'side' END AS kind,
