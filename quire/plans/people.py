@@ -141,9 +141,11 @@ def density_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 4 passages densest in each of a book's 5 most frequent forms."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     found = passing.passages(docs).join(docs.select("doc_id", "source"), "doc_id")
-    counted = found.select("source", F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"\b([A-Z][a-z]+)\b"), F.lit(1))).alias("form")).groupBy("source", "form").count()
-    top = counted.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("count"), "form"))).where("i <= 5").select(F.col("source").alias("of"), "form")
-    pairs = harvesting.mentions(found, top.select("form").distinct(), ["source", "doc_id", "number"])
-    pairs = pairs.join(top.select(F.col("of").alias("source"), "form"), ["source", "form"], "left_semi").withColumn("density", F.round(F.col("hits") * 1000.0 / F.char_length("text"), 4))
+    # forms are single words, so one count of the capitalised words of each passage serves for both steps
+    word = F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"(?U)(?<!\w)([A-Z][a-z]+)(?!\w)"), F.lit(1)))
+    hits = found.select("source", "doc_id", "number", F.char_length("text").alias("n"), word.alias("form")).groupBy("source", "doc_id", "number", "n", "form").agg(F.count("*").cast("int").alias("hits"))
+    counted = hits.groupBy("source", "form").agg(F.sum("hits").alias("count"))
+    top = counted.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("count"), "form"))).where("i <= 5").select("source", "form")
+    pairs = hits.join(top, ["source", "form"], "left_semi").withColumn("density", F.round(F.col("hits") * 1000.0 / F.col("n"), 4))
     rank = F.row_number().over(Window.partitionBy("source", "form").orderBy(F.desc("density"), F.desc("hits"), "doc_id", "number"))
     return pairs.withColumn("rank", rank).where("rank <= 4").select("source", "form", "rank", "doc_id", "number", "hits", "density")
