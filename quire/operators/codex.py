@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text
+from quire.operators.numbering import in_ranges
 
 # Priority of each kind of entry, and the order in which kinds are numbered.
 PRIORITY = {"system": 100, "character": 98, "quest": 95, "faction": 90, "location": 80, "artefact": 70, "history": 60, "term": 50}
@@ -35,14 +36,15 @@ def rule_content(statement: Column, formula: Column) -> Column:
 def compiled(rows: DataFrame) -> DataFrame:
     """Entries with keys (characters: with content, too) numbered in order of section and ord.
 
-    Numbers come from counts of ranges of ord, not from one sort of all entries.
+    Numbers come from counts of ranges of ord, not from one sort of all entries; ord is an integer,
+    unique in its section.
     """
     kept = rows.where((F.size("keys") > 0) & ((F.col("section") != "character") | (F.col("content") != "")))
     place = F.array_position(F.array(*(F.lit(s) for s in SECTIONS)), F.col("section"))
-    cut = kept.withColumn("__s", place).withColumn("__b", F.floor(F.col("ord") / 4096))
+    cut = in_ranges(kept.withColumn("__s", place), "ord", "__b", rows)
     local = F.row_number().over(Window.partitionBy("__s", "__b").orderBy("ord"))
     totals = cut.groupBy("__s", "__b").count()
-    ahead = Window.orderBy("__s", "__b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each 4096 entries
+    ahead = Window.orderBy("__s", "__b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each section and range
     base = totals.select("__s", "__b", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("__base"))
     return cut.withColumn("__n", local).join(base, ["__s", "__b"]).select(*rows.columns, (F.col("__base") + F.col("__n") - 1).cast("long").alias("uid"))
 

@@ -109,7 +109,7 @@ def passage_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     found = passing.passages(docs).select("doc_id", "number")
     per_doc = found.groupBy("doc_id").count().join(docs.select("doc_id", "source"), "doc_id")
-    before = running_before(per_doc, "source", "doc_id", F.col("count"), "before").select("doc_id", "source", "before")
+    before = running_before(per_doc, "source", "doc_id", F.col("count"), "before", docs).select("doc_id", "source", "before")
     return found.join(before, "doc_id").select("source", "doc_id", "number", (F.col("before") + F.col("number")).alias("position"))
 
 

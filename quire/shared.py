@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
         root = f"file://{made}"
         spark.conf.set("quire.local.shared.dir", root)
     return root.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder."""
+    return f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}/{name}"
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and return the table read back.
+
+    This cuts the lineage: what follows survives lost executors without running ``df`` again.
+    """
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.functions.text import citation
-from quire.operators.numbering import numbered
+from quire.operators.numbering import in_ranges, numbered, numbered_rows
 from quire.operators.merging import any_name_match, merge_rules
 from quire.operators.passages import passages
 from quire.operators.search import top_passages
@@ -77,6 +77,27 @@ def test_numbering_over_buckets(spark):
         assert part["position"].tolist() == list(range(1, len(part) + 1))
 
 
+def test_ranges_are_blind_to_values(spark):
+    """Hashed ids, a hot group and ids crowded in one corner: no range holds more than a few times the mean."""
+    df = spark.range(40_000).select(F.xxhash64("id").alias("id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 50)).alias("g"))
+    crowded = spark.range(40_000).select(F.when(F.col("id") < 100, F.col("id") * 10**15).otherwise(-F.col("id")).alias("id"), F.lit("one").alias("g"))
+    for rows in (df, crowded):
+        sizes = in_ranges(rows, "id", "b").groupBy("b").count().toPandas()["count"]
+        assert len(sizes) >= 6 and sizes.max() <= 2 * 40_000 / 8
+        got = numbered(rows, "g", "id").toPandas().sort_values("id")
+        for _, part in got.groupby("g"):
+            assert part["position"].tolist() == list(range(1, len(part) + 1))
+
+
+def test_rows_of_any_order_are_numbered(spark):
+    rows = [("a", None, "x"), ("a", "k", "y"), ("a", "k", "y"), (None, "z", "y"), (None, None, None), ("b", "", "")] + [("hot", "same", "same")] * 500
+    got = numbered_rows(spark.createDataFrame(rows, "g string, o string, t string"), "g", "o", "t").toPandas()
+    assert len(got) == len(rows)
+    for _, part in got.groupby("g", dropna=False):
+        assert sorted(part["position"]) == list(range(len(part)))
+    assert got[got["g"] == "a"].sort_values("position")["o"].isna().tolist() == [True, False, False]
+
+
 def test_rule_fold_follows_order(spark):
     rows = [("k", 0, "n", "aaaa", "implied", "", 1, 1), ("k", 1, "n", "bb", "stated", "f1", 1, 1), ("k", 2, "n", "cc", "stated", "f2", 2, 1), ("k", 3, "n", "ddd", "stated", "", 2, 2), ("k", 4, "n", "eeeeee", "implied", "f3", 3, 1)]
     df = spark.createDataFrame(rows, "key string, ord int, name string, statement string, confidence string, formula string, chunk int, chapter int")
