@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.shared import shared_dir
+from quire.shared import materialize, scratch, shared_dir
+
+__all__ = ["BROADCAST_ROWS", "join_small", "materialize", "scratch", "shared_dir", "spread"]
 
 #: A side of a join is broadcast only when it was counted and has at most this many rows.
 BROADCAST_ROWS = 200_000
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}/{name}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return the table read back.
-
-    This cuts the lineage: what follows survives lost executors without running ``df`` again.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def join_small(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
     """Join with ``right`` broadcast if its counted rows are few, by shuffle otherwise.
 

@@ -177,3 +177,69 @@ rest AS (
 SELECT d.doc_id, r.text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_dropped, 0)::BIGINT AS n_dropped
 FROM documents d LEFT JOIN rest r USING (doc_id)
 """
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf, subroot, root and proof, and whether it verifies after some were tampered with."""
+    from quire.llm.merkle import audit, lowered
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, lowered(F.col("text")))
+    return audit(docs, tampered)
+
+
+# Unsigned crc32 of short ASCII texts: the table of 256 values by its rule, then a fold over bytes.
+CRC32 = """
+steps AS (SELECT range AS byte, list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END, range) AS value FROM range(256)),
+crc AS (SELECT list(value ORDER BY byte) AS codes FROM steps)"""
+
+
+def crc32_sql(text: str) -> str:
+    """SQL of the crc32 of an ASCII text, where ``crc`` is joined in."""
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, codes[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+def _field_sql(column: str) -> str:
+    said = f"{column}::VARCHAR"
+    return f"coalesce(octet_length(encode({said}))::VARCHAR || ':' || {said}, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return f"sha256({' || '.join(map(_field_sql, ('doc_id', 'source', 'lang', 'n_chars', text)))})"
+
+
+ORACLES["op13_merkle_manifest"] = f"""
+WITH RECURSIVE {CRC32},
+d AS (SELECT *, {crc32_sql("doc_id::VARCHAR")} % 3 = 0 AS hit FROM documents, crc),
+l AS (SELECT doc_id, coalesce('1' || lang, '0') AS tree, {_leaf_sql("text")} AS leaf,
+  CASE WHEN hit THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS other FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM l),
+up AS (
+  SELECT tree, 0 AS height, place, leaf AS hash, NULL::VARCHAR[] AS children FROM p
+  UNION ALL
+  SELECT tree, height + 1, place // 8, sha256(string_agg(hash, '' ORDER BY place)), list(hash ORDER BY place)
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM up) WHERE n > 1 GROUP BY tree, height, place // 8),
+subroots AS (SELECT tree, arg_max(hash, height) AS subroot FROM up WHERE place = 0 GROUP BY tree),
+s AS (SELECT *, row_number() OVER (ORDER BY tree) - 1 AS place FROM subroots),
+over_ AS (
+  SELECT 0 AS height, place, subroot AS hash, NULL::VARCHAR[] AS children FROM s
+  UNION ALL
+  SELECT height + 1, place // 8, sha256(string_agg(hash, '' ORDER BY place)), list(hash ORDER BY place)
+  FROM (SELECT *, count(*) OVER () AS n FROM over_) WHERE n > 1 GROUP BY height, place // 8),
+root AS (SELECT arg_max(hash, height) AS root FROM over_ WHERE place = 0),
+walk AS (
+  SELECT tree, p.place AS start, 0 AS phase, 0 AS height, p.place AS place, '' AS proof, coalesce(other, leaf) AS folded FROM p
+  UNION ALL
+  SELECT w.tree, w.start, CASE WHEN u.height IS NULL AND phase = 0 THEN 1 ELSE phase END, CASE WHEN u.height IS NULL AND phase = 0 THEN 0 ELSE w.height + 1 END,
+    CASE WHEN phase = 0 THEN CASE WHEN u.height IS NULL THEN s.place ELSE w.place // 8 END ELSE w.place // 8 END,
+    CASE WHEN phase = 0 AND u.height IS NULL THEN w.proof ELSE w.proof || array_to_string(coalesce(u.children, o.children)[1:(w.place % 8)], '') || array_to_string(coalesce(u.children, o.children)[(w.place % 8 + 2):8], '') END,
+    CASE WHEN phase = 0 AND u.height IS NULL THEN w.folded ELSE sha256(array_to_string(coalesce(u.children, o.children)[1:(w.place % 8)], '') || w.folded || array_to_string(coalesce(u.children, o.children)[(w.place % 8 + 2):8], '')) END
+  FROM walk w JOIN s ON w.tree = s.tree
+  LEFT JOIN up u ON phase = 0 AND u.tree = w.tree AND u.height = w.height + 1 AND u.place = w.place // 8
+  LEFT JOIN over_ o ON phase = 1 AND o.height = w.height + 1 AND o.place = w.place // 8
+  WHERE phase = 0 OR o.height IS NOT NULL),
+ended AS (SELECT tree, start, arg_max(proof, (phase, height)) AS proof, arg_max(folded, (phase, height)) AS folded FROM walk GROUP BY tree, start)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+FROM p JOIN ended e ON p.tree = e.tree AND p.place = e.start JOIN subroots t ON t.tree = p.tree, root
+"""
