@@ -243,3 +243,56 @@ ended AS (SELECT tree, start, arg_max(proof, (phase, height)) AS proof, arg_max(
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
 FROM p JOIN ended e ON p.tree = e.tree AND p.place = e.start JOIN subroots t ON t.tree = p.tree, root
 """
+
+
+@query
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of all conversations after damage, and their cheapest repair."""
+    from quire.llm.repair import damaged, repair
+
+    return repair(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")), gone=F.col("gone"))
+
+
+def _then(weight: str, cost: str, label: str) -> str:
+    """SQL of a weight (nine digits of cost, then labels) with one more arc; null stays null."""
+    return f"lpad((left({weight}, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({weight}, 10) || '{label}'"
+
+
+def _to_user(cost: str, label: str) -> str:
+    return ", ".join(_then(c, cost, label) for c in ("c0", "c1", "c3"))
+
+
+ORACLES["op12_structure_repair"] = rf"""
+WITH RECURSIVE {CRC32},
+k AS (SELECT coalesce(conv_id::VARCHAR, ' ') AS conv, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS kind FROM conversations, crc),
+d AS (SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k),
+n AS (SELECT conv, turn, role, text, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+f AS (SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) AS prior,
+  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM n),
+walk AS (
+  SELECT conv, 0::BIGINT AS i, '000000000' AS w0, NULL::VARCHAR AS w1, NULL::VARCHAR AS w2, NULL::VARCHAR AS w3 FROM k GROUP BY conv
+  UNION ALL
+  SELECT conv, i, {_then("c0", "2", "D")},
+    least({_then("c1", "2", "D")}, CASE WHEN free AND initial = 's' THEN {_then("c0", "more", "K")} END),
+    least({_then("c2", "2", "D")}, CASE WHEN free AND initial = 'u' THEN least({_to_user("more", "K")}) END, CASE WHEN free THEN least({_to_user("1 + more", "R")}) END),
+    least({_then("c3", "2", "D")}, CASE WHEN free AND initial = 'a' THEN {_then("c2", "more", "K")} END, CASE WHEN free THEN {_then("c2", "1 + more", "R")} END)
+  FROM (SELECT w.conv, f.i, initial, fault IN ('truncated', '') AS free, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more, w0 AS c0, w1 AS c1,
+      least(w2, {_then("w0", "5", "I")}, {_then("w1", "5", "I")}, {_then("w3", "5", "I")}) AS c2,
+      least(w3, {_then("w2", "5", "I")}, {_then("w0", "10", "II")}, {_then("w1", "10", "II")}) AS c3
+    FROM walk w JOIN f ON f.conv = w.conv AND f.i = w.i + 1)),
+best AS (SELECT conv, arg_max(least(w0, w3, {_then("w2", "5", "I")}, {_then("w0", "10", "II")}, {_then("w1", "10", "II")}), i) AS w FROM walk GROUP BY conv),
+edits AS (SELECT conv, unnest(string_split(substr(w, 10), '')) AS e, generate_subscripts(string_split(substr(w, 10), ''), 1) AS j FROM best WHERE length(w) > 9),
+placed AS (SELECT *, count(*) FILTER (e <> 'I') OVER (PARTITION BY conv ORDER BY j) AS i, count(*) FILTER (e <> 'D') OVER (PARTITION BY conv ORDER BY j) AS m FROM edits),
+made AS (SELECT p.conv, p.j, p.m, p.e, f.role, CASE WHEN e = 'I' THEN '' ELSE f.text END AS text, max(CASE WHEN p.m = 1 AND e = 'K' AND f.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv) AS sys
+  FROM placed p LEFT JOIN f ON f.conv = p.conv AND f.i = p.i AND p.e <> 'I' WHERE e <> 'D'),
+said AS (SELECT conv, string_agg(CASE WHEN e = 'K' THEN role WHEN (m - sys) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS repaired FROM made GROUP BY conv),
+c AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (prior IS NOT NULL AND prior || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv),
+ids AS (SELECT DISTINCT conv, conv_id FROM k)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  left(w, 9)::BIGINT AS cost, substr(w, 10) AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+FROM ids JOIN best USING (conv) LEFT JOIN c USING (conv) LEFT JOIN said USING (conv)
+"""
