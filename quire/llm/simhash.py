@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.blocks import block_pairs, compare_groups, shifted_pairs
@@ -177,14 +177,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named.hint("shuffle_merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def similar_documents(
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """doc_id and component_id of every row; see ``similar_texts``. Edge cases are as in ``near_duplicates``."""
+    rows, named = similar_texts(docs, id_col, text_col, **options)
+    return rows.join(named.hint("shuffle_merge"), "node").select("doc_id", "component_id")
+
+
+def similar_texts(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     radius: int = 6, stripes: int = 8, check: int = 14, share: int = 80, shingle: int = 5, block: int = 1024,
-) -> DataFrame:
-    """doc_id and component_id of every row; texts are linked at a Jaccard similarity of ``share`` percent or more.
+) -> tuple[DataFrame, DataFrame]:
+    """doc_id and node (hash of the text) of every row; component (a node) and component_id (least doc_id) of every node.
 
-    The similarity is that of the sets of hashed shingles, and every link is verified by it. Pairs
-    are sought in three ways. SimHash pivot tables (words within ``radius`` bits, shingles within
+    Texts are linked at a Jaccard similarity of ``share`` percent or more, that of their sets of
+    hashed shingles, and every link is verified by it. Pairs are sought in three ways. SimHash pivot tables (words within ``radius`` bits, shingles within
     ``check``) and the least text of each shared key link most groups in work linear in their size.
     Then all texts that share a key and are not linked yet are compared, so no pair is lost: in
     any one order of shingles, two sets that similar share one of their first
@@ -193,8 +199,7 @@ def similar_documents(
     parities (bits, each turned by the shingles hashed to it) differ in more bits than sets that
     similar differ in shingles are left out. There are 1,024 of them to compare all texts of a key
     by, and two or more for each shingle to tell from which pairs sets are read; the longer parity
-    of a pair is folded to the shorter. Texts without a word are alike; otherwise as
-    ``near_duplicates``.
+    of a pair is folded to the shorter. Texts without a word are alike.
     """
     texts = docs.select(F.xxhash64(text_col).alias("node"), F.col(text_col).alias("text"))
     common = _common_shingles(texts, shingle)
@@ -220,9 +225,9 @@ def similar_documents(
     distinct = join_small(figures, twice, ["node"], "left_anti").unionByName(join_small(figures, twice, ["node"], "left_semi").dropDuplicates(["node"]))
 
     # Texts that share a key, and the least of them.
-    of_key = Window.partitionBy("key")
-    keyed = distinct.select("node", F.explode("keys").alias("key")).withColumns({"low": F.min("node").over(of_key), "high": F.max("node").over(of_key)})
-    shared = materialize(keyed.where("low < high").select("key", "node", "low"), "shared").where("low < node")
+    keyed = distinct.select("node", F.explode("keys").alias("key"))
+    lows = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    shared = materialize(join_small(keyed, materialize(lows.select("key", "low"), "lows"), ["key"]).select("key", "node", "low"), "shared").where("low < node")
     sought = link_fingerprints(distinct, radius, stripes, check=check).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     first = materialize(sought.unionByName(shared.select(F.col("low").alias("a"), F.col("node").alias("b"))).where("a < b").distinct(), "first-pairs")
     links = _verified(materialize(_likely(first, distinct, share), "likely"), texts, share, shingle)
@@ -251,8 +256,7 @@ def similar_documents(
     found = components(links.unionByName(_verified(others, texts, share, shingle)))
     grouped = nodes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = materialize(grouped.join(least, "component").select("node", "component_id"), "named")
-    return prints.select("doc_id", "node").join(named.hint("shuffle_merge"), "node").select("doc_id", "component_id")
+    return prints.select("doc_id", "node"), materialize(grouped.join(least, "component").select("node", "component", "component_id"), "named")
 
 
 def _parity(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -319,16 +323,25 @@ def _verified(pairs: DataFrame, texts: DataFrame, share: int, shingle: int) -> D
     return materialize(both.where(F.col("held") * 100 >= share * (F.col("all") - F.col("held"))).select("a", "b"), "links")
 
 
-def without_copies(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with the document of least id of each group of near copies, and all without copies.
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` with one row of each group of near copies, and all rows without copies.
 
-    Of repeated rows of one id, one stays. Rows with a null id stay unless copies of a document
-    with an id.
+    Rows are told apart by id and text, so texts of one id that are not alike all stay, whatever
+    the id, null ids too. Of a group the row of least id stays (null ids last, then by the hash of
+    the text), and of rows alike in id and text one.
     """
-    found = materialize(similar_documents(docs, id_col, **options), "components")
-    gone = materialize(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    rows = gone.count()
-    twice = found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").head(1)
-    right = F.broadcast(gone) if rows <= BROADCAST_ROWS else gone.hint("shuffle_merge")
-    kept = docs.join(right, F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
-    return kept.dropDuplicates([id_col]) if twice else kept
+    rows, named = similar_texts(docs, id_col, text_col, **options)
+    rows = materialize(rows.groupBy("doc_id", "node").agg(F.count("*").alias("rows")), "rows")
+    grouped = rows.join(named.select("node", "component").hint("shuffle_merge"), "node")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")).alias("first")
+    keeper = grouped.groupBy("component").agg(first)
+    gone = grouped.join(keeper, "component").where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("node") == F.col("first.node"))))
+    gone = materialize(gone.select(F.col("doc_id").alias("__doc"), F.col("node").alias("__node")), "gone")
+    here = (F.col(id_col).cast("long").eqNullSafe(F.col("__doc"))) & (F.xxhash64(text_col) == F.col("__node"))
+    keyed = lambda right, n: F.broadcast(right) if n <= BROADCAST_ROWS else right.hint("shuffle_merge")
+    kept = docs.join(keyed(gone, gone.count()), here, "left_anti")
+    twice = materialize(rows.where("rows > 1").select(F.col("doc_id").alias("__doc"), F.col("node").alias("__node")), "repeated-rows")
+    if not (n := twice.count()):
+        return kept
+    again = kept.join(keyed(twice, n), here, "left_semi").withColumn("__node", F.xxhash64(text_col)).dropDuplicates([id_col, "__node"]).drop("__node")
+    return kept.join(keyed(twice, n), here, "left_anti").unionByName(again)

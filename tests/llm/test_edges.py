@@ -168,3 +168,19 @@ def test_chat(spark):
     assert got[1].formatted.count("<|im_start|>") == 3 and got[1].formatted.count("<|im_end|>") == 3
     assert got[None].parsed[0].text == "" and len(got[3].parsed[0].text) == 200_000
     assert chat.format_conversations(df.where("turn > 99")).count() == 0
+
+
+def test_unlike_texts_all_stay_whatever_their_ids(spark):
+    """Rows are told apart by id and text: null and repeated ids take no other text with them."""
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(30)) for w in "abcd")
+
+    def kept(*rows):
+        df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, extra int")
+        return sorted(((r.doc_id, r.text[0]) for r in simhash.without_copies(df).collect()), key=str)
+
+    assert kept((1, a), (None, a), (None, b), (None, c)) == [(1, "a"), (None, "b"), (None, "c")]
+    assert kept((1, a), (5, a), (5, b)) == [(1, "a"), (5, "b")]
+    assert kept((1, a), (1, b), (None, c), (None, d)) == [(1, "a"), (1, "b"), (None, "c"), (None, "d")]
+    assert kept((None, a), (None, a), (None, b), (2, b), (2, b), (2, c)) == [(2, "b"), (2, "c"), (None, "a")]
+    near = a.rsplit(" ", 1)[0] + " other"
+    assert kept((7, near), (7, a), (3, b)) == [(3, "b"), (7, "a")]
