@@ -40,10 +40,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of least id.
+    """One document of each group of near copies, that of least id, null ids last.
 
-    Texts without a word are copies of one another; of rows of one id one stays; rows with a null
-    id stay unless copies of a document with an id.
+    Rows are told apart by id and text, so unlike texts all stay, whatever their ids. Texts
+    without a word are copies of one another; of rows alike in id and text one stays.
     """
     return simhash.without_copies(docs)
 
