@@ -296,3 +296,12 @@ SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS
   left(w, 9)::BIGINT AS cost, substr(w, 10) AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
 FROM ids JOIN best USING (conv) LEFT JOIN c USING (conv) LEFT JOIN said USING (conv)
 """
+
+
+@query
+def op11_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard of 40 of near equal bytes, and its place there."""
+    from quire.llm.sharding import shards
+
+    found = shards(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text"), 40)
+    return found.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
