@@ -1,0 +1,56 @@
+"""Merges in order against a plain simulation, and the arrival of new people against one by one."""
+
+import random
+
+from quire.operators import absorbing
+
+PEOPLE = "id long, name string, aliases array<string>, note string, tier string, reason string, locked boolean, edited boolean, mentions long, speech long, sections long, chapters array<long>, first_section long, last_section long"
+
+
+def simulate(merges):
+    alive, out = {m[1] for m in merges} | {m[2] for m in merges}, []
+    for ord_, gone, into in sorted(merges):
+        if gone != into and gone in alive and into in alive:
+            alive.discard(gone)
+            out.append((ord_, gone, into))
+    return out
+
+
+def effective(spark, merges):
+    df = spark.createDataFrame(merges, "ord long, gone long, into long")
+    return sorted(tuple(r) for r in absorbing.absorptions(df).select("ord", "gone", "into").collect())
+
+
+def test_ordered_merges_against_one_by_one(spark):
+    rng = random.Random(2)
+    for people, count in ((6, 12), (30, 60), (400, 500)):
+        merges = [(o, rng.randint(1, people), rng.randint(1, people)) for o in range(count)]
+        assert effective(spark, merges) == simulate(merges)
+
+
+def test_chains_hubs_and_blocked_pairs(spark):
+    assert effective(spark, [(1, 1, 2), (2, 2, 3)]) == [(1, 1, 2), (2, 2, 3)]
+    assert effective(spark, [(1, 2, 3), (2, 1, 2)]) == [(1, 2, 3)]
+    assert effective(spark, [(1, 1, 2), (2, 1, 3), (3, 2, 1)]) == [(1, 1, 2)]
+    hub = [(i, i + 10, 1) for i in range(200)] + [(500, 1, 2)]
+    assert effective(spark, hub) == hub
+    down = [(i, 50 - i, 51 - i) for i in range(12)]
+    assert effective(spark, down) == simulate(down) == down[::2]
+    assert effective(spark, [(1, 4, 4)]) == [] and absorbing.trees(absorbing.absorptions(spark.createDataFrame([], "ord long, gone long, into long"))).count() == 0
+
+
+def test_merged_people_keep_tier_lock_and_all_names(spark):
+    def person(i, name, aliases, note, locked, mentions, chapters):
+        return (i, name, aliases, note, "filler", "r", locked, False, mentions, 4, len(chapters), chapters, min(chapters or [0]), max(chapters or [0]))
+
+    rows = [
+        person(1, "Ann", ["Annie"], "", True, 5, [1, 2]), person(2, "Ann Lee", ["ANNIE", "Miss Lee"], "second", False, 7, [2, 3]), person(3, "Mom", [], "third", False, 1, []),
+        person(4, "Bob", ["Bobby"], "b", False, 9, [9]), person(5, "Robert", ["bobby"], "r", False, 9, [1, 2, 3]), person(6, "Zed", ["Z"], "", False, 1, [1]),
+    ]
+    merges = spark.createDataFrame([(1, 3, 2), (2, 2, 1), (3, 2, 4), (4, 5, 4), (5, 99, 6)], "ord long, gone long, into long")
+    got = {r.id: r for r in absorbing.merged_people(spark.createDataFrame(rows, PEOPLE), merges, 10).collect()}
+    assert set(got) == {1, 4, 6}
+    assert (got[1].name, got[1].aliases, got[1].note, got[1].tier, got[1].edited) == ("Ann Lee", ["Annie", "Ann", "Miss Lee", "Mom"], "second", "filler", True)
+    assert (got[1].chapters, got[1].sections, got[1].mentions, got[1].first_section) == ([1, 2, 3], 3, 13, 1)
+    assert (got[4].name, got[4].aliases, got[4].tier, got[4].chapters) == ("Robert", ["Bobby", "Bob"], "primary", [1, 2, 3, 9])
+    assert got[4].reason.endswith("; merged") and (got[6].aliases, got[6].edited) == (["Z"], False)
