@@ -28,7 +28,7 @@ ROW_BYTES = 16
 #: Coordinates and their tie-breaking hashes have so many bits.
 COORD_BITS, TIE_BITS = 31, 32
 #: Bits of the key that one histogram tells apart.
-STEP_BITS = 9
+STEP_BITS = 10
 #: Copies of a text stay together up to this share of a shard's bytes, or the bytes of the largest row.
 GROUP_SHARE = 0.02
 #: A split is near enough when what lies between it and the exact quantile is this share of a shard.
@@ -113,9 +113,9 @@ def _medians(points: DataFrame, nodes: dict[int, tuple[int, int]], level: list[i
         first = [base[n] if n in nodes and n not in found else -1 for n in range(len(level))]
         seen = own.withColumn("start", _lookup(first, F.col("node"))).where("start >= 0 AND key >= start")
         seen = seen.withColumn("bin", F.shiftright(F.col("key") - F.col("start"), shift)).where(F.col("bin") < (1 << width))
-        rows = seen.groupBy("node", "bin").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).orderBy("node", "bin").collect()
+        rows = seen.groupBy("node", "bin").agg(F.sum("weight").alias("w"), F.count("*").alias("n")).collect()
         held: dict[int, list] = {}
-        for r in rows:
+        for r in sorted(rows, key=lambda r: (r.node, r.bin)):
             held.setdefault(r.node, []).append(r)
         for n in [n for n in nodes if n not in found]:
             before, want = low[n], nodes[n][1]
