@@ -7,10 +7,12 @@ and citations are united even then.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.operators.merging import OUTCOMES, any_name_match, vocabulary_index
+from quire.operators.merging import OUTCOMES, vocabulary_index
+from quire.operators.numbering import in_ranges
+from quire.shared import materialize
 
 QUEST_FIELDS = "objective giver requirements reward penalty deadline".split()
 
@@ -82,35 +84,75 @@ def upsert_quests(stored: DataFrame, incoming: DataFrame, fields: list[str] = QU
     return both.select(*(c.alias(n) for n, c in shared.items()), *(_longer(f, new).alias(f) for f in fields), kind.alias("kind"), outcome.alias("outcome"), chapter.alias("first_chapter"))
 
 
+def _landed(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """ord, gen, row: where each of ``incoming`` (ord, key, name, aliases) lands if they come one by one.
+
+    gen 0 and the id of a stored person, or gen 1 and the ord of the newcomer that made the row,
+    which is one's own for those who are new. A person goes to the row of its key, else to the first
+    row (stored ones first) that holds any of its names by then: a row holds its first name and the
+    aliases of all who landed there. Places are guessed, all people being new, and worked out anew
+    from the guesses for those before until none changes; as a place depends on earlier people
+    alone, that is the one answer, and there are as many rounds as people in the longest chain of
+    changed places. Earlier people's rows are looked up by running minima over ranges of ord, so a
+    name shared by many is not read in one task.
+    """
+    low = lambda c: F.lower(F.trim(c))
+    own = F.struct(F.lit(1).alias("gen"), F.col("ord").cast("long").alias("row"))
+    kept = F.struct(F.lit(0).alias("gen"), F.col("id").cast("long").alias("row"))
+    names = lambda d, k: d.select(*k, F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), "aliases"), low))).alias("form")).where("form <> ''")
+    held = names(stored.select(kept.alias("place"), "name", "aliases"), ["place"]).groupBy("form").agg(F.min("place").alias("held"))
+    keys = stored.groupBy("key").agg(F.min(kept).alias("kept"))
+    people = materialize(in_ranges(incoming.where("key <> ''").select("ord", "key", "name", "aliases"), "ord", "part").join(keys, "key", "left"), "people")
+    asked = names(people, ["ord", "part", "aliases"]).withColumn("alias", F.exists("aliases", lambda a: low(a) == F.col("form"))).drop("aliases")
+    asked = materialize(asked.join(held, "form", "left"), "asked")
+    now = materialize(people.select("ord", F.coalesce("kept", own).alias("place")), "places")
+    while True:
+        known = asked.join(now, "ord")
+        # what a person brings to its row: aliases, and its name if the row is its own
+        known = known.withColumn("brings", F.when(F.col("alias") | (F.col("place") == own), F.col("place")))
+        first = known.groupBy("form", "part").agg(F.min("brings").alias("least"))
+        ahead = Window.partitionBy("form").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        first = first.select(F.col("form").alias("__f"), F.col("part").alias("__p"), F.min("least").over(ahead).alias("ahead"))
+        inside = Window.partitionBy("form", "part").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+        seen = known.withColumn("inside", F.min("brings").over(inside)).join(first, (F.col("form") == F.col("__f")) & (F.col("part") == F.col("__p")))
+        by_name = seen.groupBy("ord").agg(F.min(F.least("held", "inside", "ahead")).alias("by_name"))
+        # the one newcomer that made the row of this key before
+        made = now.where(F.col("place") == own).join(people.select("ord", "key"), "ord").groupBy("key").agg(F.min("ord").alias("maker"))
+        again = people.join(by_name, "ord", "left").join(made, "key", "left")
+        by_key = F.when(F.col("maker") < F.col("ord"), F.struct(F.lit(1).alias("gen"), F.col("maker").cast("long").alias("row")))
+        then = materialize(again.select("ord", F.coalesce("kept", by_key, "by_name", own).alias("place")), "places")
+        changed = then.join(now.withColumnRenamed("place", "before"), "ord").where(F.col("place") != F.col("before")).head(1)
+        if not changed:
+            return then.select("ord", "place.gen", "place.row")
+        now = then
+
+
 def upsert_people(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """People after a new census: counts and reason are always the incoming ones.
+    """People after a new census, as if it came in one by one: counts and reason are always the incoming ones.
 
     ``stored``: id, key, name, aliases, note, tier, reason, mentions, speech, sections, status,
     edited, locked; ``incoming``: ord, key, name, aliases, note, tier, reason, mentions, speech,
-    sections. An incoming person goes to the stored one of its key, else to the first that shares
-    any name with it, so that merges by hand stay; of several, the last by ``ord`` gives the
-    figures. The tier stays if locked, the note if edited or none comes in.
+    sections. An incoming person goes to the row of its key, else to the first that shares any
+    name with it, so that merges by hand stay; rows that earlier newcomers made count like stored
+    ones. Of several that land on a row, the last by ``ord`` gives the figures. The tier stays if
+    locked, the note if edited or none comes in. People with an empty key are left out.
     """
-    by_key = incoming.join(stored.select("key", "id"), "key").select("ord", "id")
-    rest = incoming.join(by_key, "ord", "left_anti")
-    by_name = any_name_match(stored.select("id", "name", "aliases"), rest.select(F.col("ord").alias("id"), "name", "aliases"))
-    target = by_key.unionByName(by_name.select(F.col("incoming_id").alias("ord"), F.col("stored_id").alias("id")))
-    landed = incoming.join(target, "ord")
+    landed = incoming.join(_landed(stored, incoming), "ord")
+    payload = ["key", "name", "aliases", "note", "tier", "reason", "mentions", "speech", "sections"]
+    old = stored.select(F.lit(0).alias("gen"), F.col("id").cast("long").alias("row"), *payload, "status", "edited", "locked")
+    first = (F.col("gen") == 1) & (F.col("row") == F.col("ord"))
+    made = landed.where(first).select("gen", "row", *payload, F.lit("proposed").alias("status"), F.lit(False).alias("edited"), F.lit(False).alias("locked"))
     last = lambda c: F.max_by(c, "ord").alias(f"i_{c}")
     note = F.max_by(F.when(F.col("note") != "", F.col("note")), F.when(F.col("note") != "", F.col("ord"))).alias("i_note")
     lists = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "aliases"))), lambda s: s["aliases"])).alias("i_aliases")
-    news = landed.groupBy("id").agg(*(last(c) for c in ("tier", "reason", "mentions", "speech", "sections")), note, lists)
+    news = landed.where(~first).groupBy("gen", "row").agg(*(last(c) for c in ("tier", "reason", "mentions", "speech", "sections")), note, lists)
     met = F.col("i_mentions").isNotNull()
     pick = lambda c, free=None: F.when(met if free is None else met & free, F.col(f"i_{c}")).otherwise(F.col(c)).alias(c)
-    kept = stored.join(news, "id", "left").select(
+    return old.unionByName(made).join(news, ["gen", "row"], "left").select(
         "key", "name", F.when(met, united_aliases(F.col("name"), F.col("aliases"), F.col("i_aliases"))).otherwise(F.col("aliases")).alias("aliases"),
         pick("note", ~F.col("edited") & F.col("i_note").isNotNull()), pick("tier", ~F.col("locked")), *(pick(c) for c in ("reason", "mentions", "speech", "sections")),
-        "status", F.when(met, "updated").otherwise("untouched").alias("action"),
+        "status", F.when(F.col("gen") == 1, "inserted").when(met, "updated").otherwise("untouched").alias("action"),
     )
-    fresh = incoming.join(target, "ord", "left_anti").select(
-        "key", "name", "aliases", "note", "tier", "reason", "mentions", "speech", "sections", F.lit("proposed").alias("status"), F.lit("inserted").alias("action")
-    )
-    return kept.unionByName(fresh)
 
 
 def fact_counts(people: DataFrame, facts: DataFrame, owner: str) -> DataFrame:

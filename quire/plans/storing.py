@@ -116,32 +116,47 @@ def upsert_quests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("key", "name", F.array_join("aliases", "|").alias("aliases"), _cited("citations"), "reward", "penalty", "kind", "outcome", "first_chapter", "action")
 
 
-# Customers are stored people, suppliers come in; both have the aliases of their nation's numbers.
+# Customers are stored people, suppliers come in one by one; three suppliers share an alias, and some that of a customer.
 @query("""
-WITH s AS (SELECT c_custkey AS id, 'person-' || c_custkey AS key, c_name AS name, [c_mktsegment || ' ' || c_nationkey || '/' || (c_custkey // 10), 'P' || c_custkey] AS aliases, 'n' || c_custkey AS note, 'filler' AS tier, 'stored' AS reason, c_custkey % 50 AS mentions,
+WITH RECURSIVE s AS (SELECT c_custkey AS id, 'person-' || c_custkey AS key, c_name AS name, [c_mktsegment || ' ' || c_nationkey || '/' || (c_custkey // 10), 'P' || c_custkey] AS aliases, 'n' || c_custkey AS note, 'filler' AS tier, 'stored' AS reason, c_custkey % 50 AS mentions,
     c_custkey % 5 AS speech, c_custkey % 9 AS sections, 'kept' AS status, c_custkey % 3 = 0 AS edited, c_custkey % 4 = 0 AS locked FROM customer),
-i AS (SELECT s_suppkey AS ord, CASE WHEN s_suppkey % 2 = 0 THEN 'person-' || s_suppkey * 3 ELSE 'supplier-' || s_suppkey END AS key, s_name AS name, ['p' || s_suppkey * 5, 'S' || s_suppkey] AS aliases, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'note ' || s_suppkey END AS note,
+i AS (SELECT s_suppkey AS ord, CASE WHEN s_suppkey % 2 = 0 THEN 'person-' || s_suppkey * 3 WHEN s_suppkey % 7 = 0 THEN 'shared-' || s_suppkey // 21 ELSE 'supplier-' || s_suppkey END AS key, s_name AS name,
+    [CASE WHEN s_suppkey % 4 = 1 THEN 'p' || s_suppkey * 5 ELSE 'q' || s_suppkey % 50 END, 'S' || s_suppkey // 3] AS aliases, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'note ' || s_suppkey END AS note,
     'secondary' AS tier, 'census' AS reason, s_suppkey % 70 AS mentions, s_suppkey % 6 AS speech, s_suppkey % 8 AS sections FROM supplier),
-k AS (SELECT ord, id FROM i JOIN s ON i.key = s.key),
 f AS (SELECT id, lower(name) AS form FROM s UNION SELECT id, lower(unnest(aliases)) FROM s),
 g AS (SELECT ord, lower(name) AS form FROM i UNION SELECT ord, lower(unnest(aliases)) FROM i),
-t AS (SELECT ord, id FROM k UNION ALL SELECT ord, min(id) FROM f JOIN g ON f.form = g.form WHERE ord NOT IN (SELECT ord FROM k) GROUP BY ord),
-l AS (SELECT id, arg_max(tier, i.ord) AS tier, arg_max(reason, i.ord) AS reason, arg_max(mentions, i.ord) AS mentions, arg_max(speech, i.ord) AS speech, arg_max(sections, i.ord) AS sections, arg_max(note, i.ord) FILTER (note <> '') AS note,
-    flatten(list(aliases ORDER BY i.ord)) AS aliases FROM i JOIN t ON i.ord = t.ord GROUP BY id)
-SELECT key, name, array_to_string(CASE WHEN l.id IS NULL THEN s.aliases ELSE list_concat(s.aliases, list_filter(l.aliases, lambda a: lower(a) <> lower(name) AND NOT list_contains(list_transform(s.aliases, lambda b: lower(b)), lower(a)))) END, '|') AS aliases,
-  CASE WHEN l.id IS NOT NULL AND NOT edited AND l.note IS NOT NULL THEN l.note ELSE s.note END AS note, CASE WHEN l.id IS NOT NULL AND NOT locked THEN l.tier ELSE s.tier END AS tier, coalesce(l.reason, s.reason) AS reason,
-  coalesce(l.mentions, s.mentions) AS mentions, coalesce(l.speech, s.speech) AS speech, coalesce(l.sections, s.sections) AS sections, status, CASE WHEN l.id IS NULL THEN 'untouched' ELSE 'updated' END AS action FROM s LEFT JOIN l ON s.id = l.id
-UNION ALL SELECT key, name, array_to_string(aliases, '|'), note, tier, reason, mentions, speech, sections, 'proposed', 'inserted' FROM i WHERE ord NOT IN (SELECT ord FROM t)""")
+h AS (SELECT ord, min(id) AS held FROM g JOIN f ON f.form = g.form GROUP BY ord),
+n AS (SELECT i.ord, i.key, row_number() OVER (ORDER BY i.ord) AS n, s.id AS kept, held, lower(i.name) AS low, list_transform(i.aliases, lambda a: lower(a)) AS lows FROM i LEFT JOIN s ON s.key = i.key LEFT JOIN h ON h.ord = i.ord),
+w AS (
+  SELECT 0::BIGINT AS n, NULL::BIGINT AS ord, NULL::STRUCT(g INT, r BIGINT) AS place, []::STRUCT(f VARCHAR, g INT, r BIGINT)[] AS forms, []::STRUCT(k VARCHAR, r BIGINT)[] AS keys
+  UNION ALL
+  SELECT n, ord, place, list_concat(forms, list_transform(CASE WHEN place.g = 1 AND place.r = ord THEN list_append(lows, low) ELSE lows END, lambda x: {'f': x, 'g': place.g, 'r': place.r})),
+    CASE WHEN place.g = 1 AND place.r = ord THEN list_append(keys, {'k': key, 'r': ord}) ELSE keys END
+  FROM (SELECT n.n, n.ord, n.key, low, lows, forms, keys, coalesce(CASE WHEN kept IS NOT NULL THEN {'g': 0, 'r': kept} END, list_transform(list_filter(keys, lambda x: x.k = n.key), lambda x: {'g': 1, 'r': x.r})[1],
+      list_sort(list_concat(CASE WHEN held IS NULL THEN [] ELSE [{'g': 0, 'r': held}] END, list_transform(list_filter(forms, lambda x: x.f = low OR list_contains(lows, x.f)), lambda x: {'g': x.g, 'r': x.r})))[1], {'g': 1, 'r': n.ord}) AS place
+    FROM w JOIN n ON n.n = w.n + 1)),
+t AS (SELECT i.*, place.g AS g, place.r AS r FROM w JOIN i ON i.ord = w.ord),
+b AS (SELECT 0 AS g, id AS r, key, name, aliases, note, tier, reason, mentions, speech, sections, status, edited, locked FROM s
+  UNION ALL SELECT g, r, key, name, aliases, note, tier, reason, mentions, speech, sections, 'proposed', false, false FROM t WHERE g = 1 AND r = ord),
+l AS (SELECT g, r, arg_max(tier, ord) AS tier, arg_max(reason, ord) AS reason, arg_max(mentions, ord) AS mentions, arg_max(speech, ord) AS speech, arg_max(sections, ord) AS sections, arg_max(note, ord) FILTER (note <> '') AS note,
+    flatten(list(aliases ORDER BY ord)) AS aliases FROM t WHERE NOT (g = 1 AND r = ord) GROUP BY g, r)
+SELECT key, name, array_to_string(CASE WHEN l.r IS NULL THEN b.aliases ELSE list_concat(b.aliases, list_filter(l.aliases, lambda a, p: lower(a) <> lower(name) AND NOT list_contains(list_transform(b.aliases, lambda c: lower(c)), lower(a))
+    AND list_position(list_transform(l.aliases, lambda c: lower(c)), lower(a)) = p)) END, '|') AS aliases,
+  CASE WHEN l.r IS NOT NULL AND NOT edited AND l.note IS NOT NULL THEN l.note ELSE b.note END AS note, CASE WHEN l.r IS NOT NULL AND NOT locked THEN l.tier ELSE b.tier END AS tier, coalesce(l.reason, b.reason) AS reason,
+  coalesce(l.mentions, b.mentions) AS mentions, coalesce(l.speech, b.speech) AS speech, coalesce(l.sections, b.sections) AS sections, status, CASE WHEN b.g = 1 THEN 'inserted' WHEN l.r IS NULL THEN 'untouched' ELSE 'updated' END AS action
+FROM b LEFT JOIN l ON b.g = l.g AND b.r = l.r""")
 def upsert_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A new census over stored people, matched by key, else by any name."""
+    """A new census over stored people and the newcomers before, matched by key, else by any name."""
     c, s = F.col("c_custkey"), F.col("s_suppkey")
     stored = table(spark, sf_dir, "customer").select(
         c.alias("id"), F.concat(F.lit("person-"), c).alias("key"), F.col("c_name").alias("name"), F.array(F.concat("c_mktsegment", F.lit(" "), "c_nationkey", F.lit("/"), F.floor(c / 10)), F.concat(F.lit("P"), c)).alias("aliases"),
         F.concat(F.lit("n"), c).alias("note"), F.lit("filler").alias("tier"), F.lit("stored").alias("reason"), (c % 50).alias("mentions"), (c % 5).alias("speech"), (c % 9).alias("sections"),
         F.lit("kept").alias("status"), (c % 3 == 0).alias("edited"), (c % 4 == 0).alias("locked"),
     )
+    key = F.when(s % 2 == 0, F.concat(F.lit("person-"), s * 3)).when(s % 7 == 0, F.concat(F.lit("shared-"), F.floor(s / 21))).otherwise(F.concat(F.lit("supplier-"), s))
+    alias = F.when(s % 4 == 1, F.concat(F.lit("p"), s * 5)).otherwise(F.concat(F.lit("q"), s % 50))
     incoming = table(spark, sf_dir, "supplier").select(
-        s.alias("ord"), F.when(s % 2 == 0, F.concat(F.lit("person-"), s * 3)).otherwise(F.concat(F.lit("supplier-"), s)).alias("key"), F.col("s_name").alias("name"), F.array(F.concat(F.lit("p"), s * 5), F.concat(F.lit("S"), s)).alias("aliases"),
+        s.alias("ord"), key.alias("key"), F.col("s_name").alias("name"), F.array(alias, F.concat(F.lit("S"), F.floor(s / 3))).alias("aliases"),
         F.when(s % 3 == 0, "").otherwise(F.concat(F.lit("note "), s)).alias("note"), F.lit("secondary").alias("tier"), F.lit("census").alias("reason"), (s % 70).alias("mentions"), (s % 6).alias("speech"), (s % 8).alias("sections"),
     )
     return stores.upsert_people(stored, incoming).withColumn("aliases", F.array_join("aliases", "|"))
