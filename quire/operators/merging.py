@@ -41,8 +41,22 @@ def alias_union(rows: DataFrame, key: str, name: str = "name", aliases: str = "a
     return first.join(lists, key, "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
 
 
-def citation_count(rows: DataFrame, key: str, *parts: str) -> DataFrame:
-    return rows.select(key, *parts).distinct().groupBy(key).agg(F.count("*").alias("citations"))
+def citation_union(rows: DataFrame, key: str, citations: str = "citations") -> DataFrame:
+    """key and citations: each once, in the order in which they were first met.
+
+    ``citations`` is an array of structs; a citation is the same if all its fields are. Each task
+    keeps one row a key and citation, so what is listed in the end is what the list must hold.
+    """
+    met = rows.select(key, "ord", F.posexplode(citations).alias("i", "c"))
+    once = met.groupBy(key, "c").agg(F.min(F.struct("ord", "i")).alias("at"))
+    listed = once.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "c"))).alias("l")).select(key, F.transform("l", lambda x: x["c"]).alias("citations"))
+    every = rows.select(key).distinct().join(listed, key, "left")
+    return every.withColumn("citations", F.coalesce("citations", F.array().cast(rows.schema[citations].dataType)))
+
+
+def _united(rows: DataFrame) -> DataFrame:
+    """key, name of the first row, aliases and citations."""
+    return alias_union(rows, "key").join(citation_union(rows, "key"), "key")
 
 
 def longest(value: str) -> Column:
@@ -51,55 +65,70 @@ def longest(value: str) -> Column:
 
 
 def merge_entities(rows: DataFrame) -> DataFrame:
-    """key, name, aliases, summary, citations; ``rows``: key, ord, name, aliases, summary, chunk, chapter."""
-    best = rows.groupBy("key").agg(longest("summary").alias("summary"))
-    return alias_union(rows, "key").join(best, "key").join(citation_count(rows, "key", "chunk", "chapter"), "key")
+    """key, kind, name, aliases, citations, summary; ``rows``: key, ord, kind, name, aliases, citations, summary.
+
+    Kind and name are those of the first row, the summary is the first of the longest.
+    """
+    best = rows.groupBy("key").agg(F.min_by("kind", "ord").alias("kind"), longest("summary").alias("summary"))
+    return _united(rows).join(best, "key")
 
 
 def merge_rules(rows: DataFrame) -> DataFrame:
-    """key, name, statement, confidence, formula, citations; ``rows`` also has chunk, chapter.
+    """key, name, aliases, citations, kind, scope, applies_to, statement, confidence, formula, evidence.
 
     A stated rule replaces an implied one, a longer statement a shorter one of the same
-    confidence; a formula is taken over only with the statement, and only if there is one.
+    confidence; formula and evidence are taken over only with the statement, and only if there is
+    one. Name, kind, scope and applies_to are those of the first row. Only the first row of each
+    length and confidence can replace anything, so a key is folded from those.
     """
-    few = rows.groupBy("key", "confidence", F.length("statement").alias("n")).agg(F.min(F.struct("ord", "name", "statement", "formula")).alias("r"))
-    few = few.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("r.ord", "confidence", "n", "r.statement", "r.formula"))).alias("rows"))
-    start = F.struct(F.lit(False).alias("any"), F.lit("").alias("statement"), F.lit("").alias("confidence"), F.lit("").alias("formula"))
+    texts = ("statement", "formula", "evidence")
+    few = rows.groupBy("key", "confidence", F.length("statement").alias("n")).agg(F.min(F.struct("ord", *texts)).alias("r"))
+    few = few.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("r.ord", "confidence", "n", *(f"r.{t}" for t in texts)))).alias("rows"))
+    start = F.struct(F.lit(False).alias("any"), F.lit("").alias("confidence"), *(F.lit("").alias(t) for t in texts))
 
     def step(s: Column, r: Column) -> Column:
         stated = (r["confidence"] == "stated") & (s["confidence"] != "stated")
         longer = (r["confidence"] == s["confidence"]) & (r["n"] > F.length(s["statement"]))
         take = ~s["any"] | stated | longer
         pick = lambda f: F.when(take, r[f]).otherwise(s[f]).alias(f)
-        return F.struct(F.lit(True).alias("any"), pick("statement"), pick("confidence"), F.when(take & (r["formula"] != ""), r["formula"]).otherwise(s["formula"]).alias("formula"))
+        filled = lambda f: F.when(take & (F.coalesce(r[f], F.lit("")) != ""), r[f]).otherwise(s[f]).alias(f)
+        return F.struct(F.lit(True).alias("any"), pick("confidence"), pick("statement"), filled("formula"), filled("evidence"))
 
-    folded = few.select("key", F.aggregate("rows", start, step).alias("m")).select("key", "m.statement", "m.confidence", "m.formula")
-    first = rows.groupBy("key").agg(F.min_by("name", "ord").alias("name"))
-    return first.join(folded, "key").join(citation_count(rows, "key", "chunk", "chapter"), "key")
+    folded = few.select("key", F.aggregate("rows", start, step).alias("m")).select("key", "m.statement", "m.confidence", "m.formula", "m.evidence")
+    first = rows.groupBy("key").agg(*(F.min_by(c, "ord").alias(c) for c in ("kind", "scope", "applies_to")))
+    return _united(rows).join(first, "key").join(folded, "key")
 
 
 def merge_quests(rows: DataFrame, fields: list[str]) -> DataFrame:
-    """key, name, longest non-empty value of each field, kind, best outcome, first_chapter.
+    """key, name, aliases, citations, longest non-empty value of each field, kind, best outcome, first_chapter.
 
     A known kind is kept once seen; chapter 0 means unknown and never wins over a known one.
     """
     rank = vocabulary_index(F.col("outcome"), OUTCOMES)
-    return rows.groupBy("key").agg(
-        F.min_by("name", "ord").alias("name"),
+    folded = rows.groupBy("key").agg(
         *(F.coalesce(longest(f), F.lit("")).alias(f) for f in fields),
         F.coalesce(F.min_by(F.when(F.col("kind") != "unknown", F.col("kind")), F.when(F.col("kind") != "unknown", F.col("ord"))), F.lit("unknown")).alias("kind"),
         F.max_by("outcome", rank).alias("outcome"),
         F.coalesce(F.min(F.nullif(F.col("first_chapter"), F.lit(0))), F.lit(0)).alias("first_chapter"),
     )
+    return _united(rows).join(folded, "key")
 
 
 def merge_series(rows: DataFrame) -> DataFrame:
-    """key, name, best tier, longest note, summed evidence of characters over books."""
-    rank = vocabulary_index(F.col("tier"), TIERS)
-    return rows.where("key <> ''").groupBy("key").agg(
-        F.min_by("name", "ord").alias("name"), F.min_by("tier", F.struct(rank, F.col("ord"))).alias("tier"), longest("note").alias("note"),
-        F.sum("mentions").alias("mentions"), F.sum("speech").alias("speech"), F.sum("sections").alias("sections"),
+    """key, name, aliases, best tier and its reason, longest note, summed evidence of characters over books.
+
+    The reason says so if a later book gave the better tier; first and last section are those of
+    the first book, as sections are numbered anew in each. Empty keys are left out.
+    """
+    rank = F.coalesce(F.nullif(vocabulary_index(F.col("tier"), TIERS), F.lit(0)), F.lit(len(TIERS) + 1))
+    named = rows.where("key <> ''")
+    folded = named.groupBy("key").agg(
+        F.min_by(F.struct("tier", "reason", "ord"), F.struct(rank, F.col("ord"))).alias("best"), longest("note").alias("note"), F.min("ord").alias("__first"),
+        *(F.sum(c).alias(c) for c in ("mentions", "speech", "sections")), *(F.min_by(c, "ord").alias(c) for c in ("first_section", "last_section")),
     )
+    reason = F.when(F.col("best.ord") == F.col("__first"), F.col("best.reason")).otherwise(F.concat("best.reason", F.lit(" (best across books)")))
+    folded = folded.select("key", F.col("best.tier").alias("tier"), reason.alias("reason"), "note", "mentions", "speech", "sections", "first_section", "last_section")
+    return alias_union(named, "key").join(folded, "key")
 
 
 def conflicts(rows: DataFrame) -> DataFrame:

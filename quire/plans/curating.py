@@ -19,85 +19,112 @@ def _slug(c: str) -> str:
     return f"regexp_replace(regexp_replace(lower({c}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 
 
-# -- entities: part rows as mentions of the entity (type, brand) -------------------------------
-ENTITY = f"""
-WITH r AS (SELECT 'term:' || {_slug("p_brand")} AS key, p_partkey AS ord, p_brand AS name, p_type AS alias, p_name AS summary, p_size AS chapter FROM part),
-best AS (SELECT key, arg_min(name, ord) AS name, count(DISTINCT (ord, chapter)) AS citations FROM r GROUP BY key),
-longest AS (SELECT key, arg_min(summary, ord) AS summary FROM (SELECT *, max(length(summary)) OVER (PARTITION BY key) AS most FROM r) WHERE length(summary) = most GROUP BY key),
-spelled AS (SELECT r.key, arg_min(alias, ord) AS alias, min(ord) AS ord FROM r JOIN best b ON r.key = b.key WHERE lower(alias) <> lower(b.name) GROUP BY r.key, lower(alias)),
-aliases AS (SELECT key, string_agg(alias, '|' ORDER BY ord) AS aliases FROM spelled GROUP BY key)
-"""
+def _unions(rows: str) -> str:
+    """SQL of the aliases and citations of each key of ``rows`` (key, ord, name, aliases, citations)."""
+    return f"""
+named AS (SELECT key, arg_min(name, ord) AS name FROM {rows} GROUP BY key),
+spelled AS (SELECT r.key, arg_min(alias, (ord, i)) AS alias, min((ord, i)) AS seat FROM (SELECT key, ord, unnest(aliases) AS alias, generate_subscripts(aliases, 1) AS i FROM {rows}) r JOIN named n ON r.key = n.key WHERE lower(alias) <> lower(name) GROUP BY r.key, lower(alias)),
+listed AS (SELECT key, string_agg(alias, '|' ORDER BY seat) AS aliases FROM spelled GROUP BY key),
+once AS (SELECT key, c, min((ord, i)) AS seat FROM (SELECT key, ord, unnest(citations) AS c, generate_subscripts(citations, 1) AS i FROM {rows}) GROUP BY key, c),
+cited AS (SELECT key, string_agg(c.chunk || ':' || c.chapter, ',' ORDER BY seat) AS citations FROM once GROUP BY key),
+united AS (SELECT n.key, n.name, coalesce(aliases, '') AS aliases, coalesce(citations, '') AS citations FROM named n LEFT JOIN listed l ON n.key = l.key LEFT JOIN cited c ON n.key = c.key)"""
 
 
-def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(
-        F.concat(F.lit("term:"), text.slug(F.col("p_brand"))).alias("key"), F.col("p_partkey").alias("ord"), F.col("p_brand").alias("name"),
-        F.array("p_type").alias("aliases"), F.col("p_name").alias("summary"), F.col("p_partkey").alias("chunk"), F.col("p_size").alias("chapter"),
-    )
+def _first_longest(field: str, rows: str) -> str:
+    return f"(SELECT key, arg_min({field}, ord) AS {field} FROM (SELECT *, max(length({field})) OVER (PARTITION BY key) AS most FROM {rows}) WHERE length({field}) = most GROUP BY key)"
+
+
+def _lists(found: DataFrame) -> DataFrame:
+    cited = F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["chunk"], c["chapter"])), ",") if "citations" in found.columns else None
+    found = found.withColumn("aliases", F.array_join("aliases", "|"))
+    return found if cited is None else found.withColumn("citations", cited)
 
 
-@query(ENTITY + "SELECT b.key, b.name, l.summary, coalesce(a.aliases, '') AS aliases, b.citations FROM best b JOIN longest l ON b.key = l.key LEFT JOIN aliases a ON b.key = a.key")
+def _cited(chunk: F.Column, *chapters: F.Column) -> F.Column:
+    return F.array(*(F.struct(chunk.alias("chunk"), c.alias("chapter")) for c in chapters))
+
+
+# -- entities: part rows as mentions of the entity (brand); some cite two chapters ---------------
+@query(f"""
+WITH r AS (SELECT 'term:' || {_slug("p_brand")} AS key, p_partkey AS ord, CASE WHEN p_size > 25 THEN 'location' ELSE 'term' END AS kind, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS name, [p_type, lower(p_brand), upper(p_type)] AS aliases,
+  p_name AS summary, [{{'chunk': p_partkey // 4, 'chapter': p_size % 5}}, {{'chunk': p_partkey // 4, 'chapter': p_size % 3}}] AS citations FROM part), {_unions("r")}
+SELECT u.*, arg_min(kind, ord) AS kind, any_value(l.summary) AS summary FROM united u JOIN r ON u.key = r.key JOIN {_first_longest("summary", "r")} l ON u.key = l.key GROUP BY ALL""")
 def entity_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities folded by key: longest summary, union of aliases and citations."""
-    return merging.merge_entities(_entities(spark, sf_dir)).select("key", "name", "summary", F.array_join("aliases", "|").alias("aliases"), "citations")
+    k, size = F.col("p_partkey"), F.col("p_size")
+    rows = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("term:"), text.slug(F.col("p_brand"))).alias("key"), k.alias("ord"), F.when(size > 25, "location").otherwise("term").alias("kind"), F.when(k % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")).alias("name"),
+        F.array("p_type", F.lower("p_brand"), F.upper("p_type")).alias("aliases"), F.col("p_name").alias("summary"), _cited(F.floor(k / 4), size % 5, size % 3).alias("citations"),
+    )
+    return _lists(merging.merge_entities(rows))
 
 
 # -- rules: part rows as statements, stated for large sizes ------------------------------------
 @query(f"""
-WITH RECURSIVE r AS (SELECT 'skill:' || {_slug("p_brand")} AS key, p_partkey AS ord, p_brand AS name, p_name AS statement, CASE WHEN p_size > 25 THEN 'stated' ELSE 'implied' END AS confidence,
-    CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE '' END AS formula, p_partkey AS chunk, p_size AS chapter FROM part),
+WITH RECURSIVE r AS (SELECT 'skill:' || {_slug("p_brand")} AS key, p_partkey AS ord, 'skill' AS kind, p_brand AS name, [p_type, p_name] AS aliases, p_name AS statement, CASE WHEN p_size > 25 THEN 'stated' ELSE 'implied' END AS confidence,
+    CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE '' END AS formula, CASE WHEN p_partkey % 2 = 0 THEN p_name || '!' ELSE '' END AS evidence, CASE WHEN p_partkey % 4 = 0 THEN 'instance' ELSE 'system' END AS scope, CASE WHEN p_partkey % 4 = 0 THEN p_name ELSE '' END AS applies_to,
+    [{{'chunk': p_partkey // 5, 'chapter': p_size}}] AS citations FROM part), {_unions("r")},
 n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord) AS i FROM r),
-fold AS (SELECT key, i, name, statement, confidence, formula FROM n WHERE i = 1
-  UNION ALL SELECT f.key, n.i, f.name, CASE WHEN take THEN n.statement ELSE f.statement END, CASE WHEN take THEN n.confidence ELSE f.confidence END, CASE WHEN take AND n.formula <> '' THEN n.formula ELSE f.formula END
+fold AS (SELECT key, i, kind, scope, applies_to, statement, confidence, formula, evidence FROM n WHERE i = 1
+  UNION ALL SELECT f.key, n.i, f.kind, f.scope, f.applies_to, CASE WHEN take THEN n.statement ELSE f.statement END, CASE WHEN take THEN n.confidence ELSE f.confidence END,
+    CASE WHEN take AND n.formula <> '' THEN n.formula ELSE f.formula END, CASE WHEN take AND n.evidence <> '' THEN n.evidence ELSE f.evidence END
   FROM (SELECT f.*, (n2.confidence = 'stated' AND f.confidence <> 'stated') OR (n2.confidence = f.confidence AND length(n2.statement) > length(f.statement)) AS take
     FROM fold f JOIN n n2 ON f.key = n2.key AND n2.i = f.i + 1) f JOIN n ON f.key = n.key AND n.i = f.i + 1),
-last AS (SELECT key, max(i) AS i FROM n GROUP BY key), c AS (SELECT key, count(DISTINCT (chunk, chapter)) AS citations FROM r GROUP BY key)
-SELECT f.key, name, statement, confidence, formula, citations FROM fold f JOIN last l ON f.key = l.key AND f.i = l.i JOIN c ON f.key = c.key""")
+last AS (SELECT key, max(i) AS i FROM n GROUP BY key)
+SELECT u.*, kind, scope, applies_to, statement, confidence, formula, evidence FROM fold f JOIN last l ON f.key = l.key AND f.i = l.i JOIN united u ON f.key = u.key""")
 def rule_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules folded by key: stated beats implied, then the longer; formulas follow."""
+    """Rules folded by key: stated beats implied, then the longer; formulas and evidence follow."""
+    k, size = F.col("p_partkey"), F.col("p_size")
     rows = table(spark, sf_dir, "part").select(
-        F.concat(F.lit("skill:"), text.slug(F.col("p_brand"))).alias("key"), F.col("p_partkey").alias("ord"), F.col("p_brand").alias("name"), F.col("p_name").alias("statement"),
-        F.when(F.col("p_size") > 25, "stated").otherwise("implied").alias("confidence"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_type")).otherwise("").alias("formula"),
-        F.col("p_partkey").alias("chunk"), F.col("p_size").alias("chapter"),
+        F.concat(F.lit("skill:"), text.slug(F.col("p_brand"))).alias("key"), k.alias("ord"), F.lit("skill").alias("kind"), F.col("p_brand").alias("name"), F.array("p_type", "p_name").alias("aliases"), F.col("p_name").alias("statement"),
+        F.when(size > 25, "stated").otherwise("implied").alias("confidence"), F.when(k % 3 == 0, F.col("p_type")).otherwise("").alias("formula"), F.when(k % 2 == 0, F.concat("p_name", F.lit("!"))).otherwise("").alias("evidence"),
+        F.when(k % 4 == 0, "instance").otherwise("system").alias("scope"), F.when(k % 4 == 0, F.col("p_name")).otherwise("").alias("applies_to"), _cited(F.floor(k / 5), size).alias("citations"),
     )
-    return merging.merge_rules(rows)
+    return _lists(merging.merge_rules(rows))
 
 
 # -- quests: orders of a customer as mentions of one quest -------------------------------------
-@query("""
-WITH r AS (SELECT o_custkey AS key, o_orderkey AS ord, 'Customer ' || o_custkey AS name, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '' END AS reward,
+QUEST_FIELDS = {"objective": ("o_orderpriority", 2), "giver": ("concat('Clerk ', o_orderkey % 30)", 3), "requirements": ("o_orderstatus || o_orderkey", 4), "reward": ("o_orderpriority || ' gold'", 5), "penalty": ("repeat('x', (o_orderkey % 13)::INT)", 1), "deadline": ("o_orderdate::DATE::VARCHAR", 6)}
+
+
+@query(f"""
+WITH r AS (SELECT o_custkey::VARCHAR AS key, o_orderkey AS ord, 'Customer ' || o_custkey AS name, [o_orderpriority, lower(o_orderpriority), concat('Clerk ', o_orderkey % 30)] AS aliases, {", ".join(f"CASE WHEN o_orderkey % {n} = 0 THEN {v} ELSE '' END AS {f}" for f, (v, n) in QUEST_FIELDS.items())},
     CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'ongoing' ELSE 'accepted' END AS outcome, CASE WHEN o_orderkey % 5 = 0 THEN 'side' WHEN o_orderkey % 7 = 0 THEN 'main' ELSE 'unknown' END AS kind,
-    o_orderkey % 40 AS chapter FROM orders),
-l AS (SELECT key, arg_min(reward, ord) AS reward FROM (SELECT *, max(length(reward)) OVER (PARTITION BY key) AS most FROM r) WHERE length(reward) = most GROUP BY key)
-SELECT r.key, arg_min(name, ord) AS name, any_value(l.reward) AS reward, coalesce(arg_min(kind, ord) FILTER (kind <> 'unknown'), 'unknown') AS kind,
+    o_orderkey % 40 AS chapter, [{{'chunk': o_orderkey // 100, 'chapter': o_orderkey % 40}}] AS citations FROM orders), {_unions("r")}
+SELECT u.*, {", ".join(f"any_value({f}.{f}) AS {f}" for f in QUEST_FIELDS)}, coalesce(arg_min(kind, ord) FILTER (kind <> 'unknown'), 'unknown') AS kind,
   arg_max(outcome, list_position(['unknown', 'accepted', 'ongoing', 'declined', 'failed', 'completed'], outcome)) AS outcome, coalesce(min(nullif(chapter, 0)), 0)::BIGINT AS first_chapter
-FROM r JOIN l ON r.key = l.key GROUP BY r.key""")
+FROM united u JOIN r ON u.key = r.key {" ".join(f"JOIN {_first_longest(f, 'r')} {f} ON u.key = {f}.key" for f in QUEST_FIELDS)} GROUP BY ALL""")
 def quest_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quests folded by key: longest fields, first known kind, best outcome, earliest chapter."""
+    """Quests folded by key: longest fields, first known kind, best outcome, earliest chapter, aliases, citations."""
     k = F.col("o_orderkey")
+    made = {f: F.expr(v.replace("::INT", "").replace("::DATE::VARCHAR", "").replace("repeat('x', (o_orderkey % 13))", "repeat('x', cast(o_orderkey % 13 AS INT))")) for f, (v, _) in QUEST_FIELDS.items()}
+    made["deadline"] = F.date_format("o_orderdate", "yyyy-MM-dd")
     rows = table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("key"), k.alias("ord"), F.concat(F.lit("Customer "), "o_custkey").alias("name"), F.when(k % 2 == 0, F.col("o_orderpriority")).otherwise("").alias("reward"),
+        F.col("o_custkey").cast("string").alias("key"), k.alias("ord"), F.concat(F.lit("Customer "), "o_custkey").alias("name"), F.array("o_orderpriority", F.lower("o_orderpriority"), F.concat(F.lit("Clerk "), k % 30)).alias("aliases"),
+        *(F.when(k % n == 0, made[f]).otherwise("").alias(f) for f, (_, n) in QUEST_FIELDS.items()),
         F.when(F.col("o_orderstatus") == "F", "completed").when(F.col("o_orderstatus") == "O", "ongoing").otherwise("accepted").alias("outcome"),
-        F.when(k % 5 == 0, "side").when(k % 7 == 0, "main").otherwise("unknown").alias("kind"), (k % 40).alias("first_chapter"),
+        F.when(k % 5 == 0, "side").when(k % 7 == 0, "main").otherwise("unknown").alias("kind"), (k % 40).alias("first_chapter"), _cited(F.floor(k / 100), k % 40).alias("citations"),
     )
-    return merging.merge_quests(rows, ["reward"])
+    return _lists(merging.merge_quests(rows, list(QUEST_FIELDS)))
 
 
 @query(f"""
-WITH r AS (SELECT {_slug("c_mktsegment || ' ' || c_nationkey")} AS key, c_custkey AS ord, c_mktsegment || ' ' || c_nationkey AS name,
-    CASE WHEN c_acctbal > 9000 THEN 'primary' WHEN c_acctbal > 5000 THEN 'secondary' ELSE 'filler' END AS tier, repeat('n', (c_custkey % 7)::BIGINT) || c_name AS note, c_custkey % 11 AS mentions, c_custkey % 3 AS speech FROM customer),
-l AS (SELECT key, arg_min(note, ord) AS note FROM (SELECT *, max(length(note)) OVER (PARTITION BY key) AS most FROM r) WHERE length(note) = most GROUP BY key)
-SELECT r.key, arg_min(name, ord) AS name, ['primary', 'secondary', 'filler'][min(list_position(['primary', 'secondary', 'filler'], tier))] AS tier, any_value(l.note) AS note,
-  sum(mentions)::BIGINT AS mentions, sum(speech)::BIGINT AS speech, count(*)::BIGINT AS sections FROM r JOIN l ON r.key = l.key GROUP BY r.key""")
+WITH r AS (SELECT {_slug("c_mktsegment || ' ' || c_nationkey")} AS key, c_custkey AS ord, c_mktsegment || ' ' || c_nationkey AS name, [c_name, lower(c_mktsegment), c_mktsegment] AS aliases, []::STRUCT(chunk BIGINT, chapter BIGINT)[] AS citations,
+    CASE WHEN c_acctbal > 9000 THEN 'primary' WHEN c_acctbal > 5000 THEN 'secondary' ELSE 'filler' END AS tier, 'by ' || c_custkey AS reason, repeat('n', (c_custkey % 7)::BIGINT) || c_name AS note, c_custkey % 11 AS mentions, c_custkey % 3 AS speech,
+    c_custkey % 20 AS first_section, c_custkey % 20 + 5 AS last_section FROM customer), {_unions("r")},
+t AS (SELECT key, ['primary', 'secondary', 'filler'][min(list_position(['primary', 'secondary', 'filler'], tier))] AS tier FROM r GROUP BY key)
+SELECT u.key, u.name, u.aliases, t.tier, arg_min(reason, ord) FILTER (r.tier = t.tier) || CASE WHEN min(ord) FILTER (r.tier = t.tier) > min(ord) THEN ' (best across books)' ELSE '' END AS reason, any_value(l.note) AS note,
+  sum(mentions)::BIGINT AS mentions, sum(speech)::BIGINT AS speech, count(*)::BIGINT AS sections, arg_min(first_section, ord) AS first_section, arg_min(last_section, ord) AS last_section
+FROM united u JOIN r ON u.key = r.key JOIN t ON u.key = t.key JOIN {_first_longest("note", "r")} l ON r.key = l.key GROUP BY ALL""")
 def series_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Characters over books: best tier, longest note, sums."""
-    name = F.concat_ws(" ", "c_mktsegment", "c_nationkey")
+    """Characters over books: best tier and its reason, longest note, sums, aliases."""
+    name, k = F.concat_ws(" ", "c_mktsegment", "c_nationkey"), F.col("c_custkey")
     rows = table(spark, sf_dir, "customer").select(
-        text.slug(name).alias("key"), F.col("c_custkey").alias("ord"), name.alias("name"),
-        F.when(F.col("c_acctbal") > 9000, "primary").when(F.col("c_acctbal") > 5000, "secondary").otherwise("filler").alias("tier"),
-        F.concat(F.repeat(F.lit("n"), (F.col("c_custkey") % 7).cast("int")), "c_name").alias("note"), (F.col("c_custkey") % 11).alias("mentions"), (F.col("c_custkey") % 3).alias("speech"), F.lit(1).alias("sections"),
+        text.slug(name).alias("key"), k.alias("ord"), name.alias("name"), F.array("c_name", F.lower("c_mktsegment"), "c_mktsegment").alias("aliases"),
+        F.when(F.col("c_acctbal") > 9000, "primary").when(F.col("c_acctbal") > 5000, "secondary").otherwise("filler").alias("tier"), F.concat(F.lit("by "), k).alias("reason"),
+        F.concat(F.repeat(F.lit("n"), (k % 7).cast("int")), "c_name").alias("note"), (k % 11).alias("mentions"), (k % 3).alias("speech"), F.lit(1).alias("sections"), (k % 20).alias("first_section"), (k % 20 + 5).alias("last_section"),
     )
-    return merging.merge_series(rows)
+    return _lists(merging.merge_series(rows))
 
 
 @query(f"""SELECT {_slug("p_brand")} AS key, string_agg(DISTINCT string_split(p_type, ' ')[1], ',' ORDER BY string_split(p_type, ' ')[1]) AS kinds FROM part GROUP BY 1 HAVING count(DISTINCT string_split(p_type, ' ')[1]) > 1""")

@@ -99,10 +99,11 @@ def test_rows_of_any_order_are_numbered(spark):
 
 
 def test_rule_fold_follows_order(spark):
-    rows = [("k", 0, "n", "aaaa", "implied", "", 1, 1), ("k", 1, "n", "bb", "stated", "f1", 1, 1), ("k", 2, "n", "cc", "stated", "f2", 2, 1), ("k", 3, "n", "ddd", "stated", "", 2, 2), ("k", 4, "n", "eeeeee", "implied", "f3", 3, 1)]
-    df = spark.createDataFrame(rows, "key string, ord int, name string, statement string, confidence string, formula string, chunk int, chapter int")
+    rows = [(0, "n", ["A"], "aaaa", "implied", "", "e0", [(1, 1)]), (1, "other", ["a", "N", "b"], "bb", "stated", "f1", "", [(1, 1), (7, 7)]), (2, "n", ["B", "c"], "cc", "stated", "f2", "e2", [(2, 1)]), (3, "n", [], "ddd", "stated", "", "e3", [(2, 2)]), (4, "n", ["A"], "eeeeee", "implied", "f3", "e4", [(3, 1), (1, 1)])]
+    df = spark.createDataFrame([("k", "skill", "system", "", *r) for r in rows], "key string, kind string, scope string, applies_to string, ord int, name string, aliases array<string>, statement string, confidence string, formula string, evidence string, citations array<struct<chunk:int,chapter:int>>")
     r = merge_rules(df).first()
-    assert (r.statement, r.confidence, r.formula, r.citations) == ("ddd", "stated", "f1", 4)
+    assert (r.statement, r.confidence, r.formula, r.evidence) == ("ddd", "stated", "f1", "e3")
+    assert (r.name, r.aliases, [tuple(c) for c in r.citations]) == ("n", ["A", "b", "c"], [(1, 1), (7, 7), (2, 1), (2, 2), (3, 1)])
 
 
 def test_any_name(spark):
