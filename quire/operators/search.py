@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Questions compared in one pass over the vectors; more are taken in blocks of so many.
+BLOCK = 2048
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -29,3 +36,54 @@ def top_passages(vectors: DataFrame, question: list[float], k: int, vector_col:
     width = F.when(F.size(vector_col) == len(question), F.col(vector_col)).otherwise(F.raise_error(F.lit("vector width differs from the question's")))
     scored = vectors.where(F.col(vector_col).isNotNull()).withColumn("score", cosine(width, asked))
     return scored.orderBy(F.desc("score"), position_col).limit(max(1, k))
+
+
+def top_of_questions(vectors: DataFrame, questions: DataFrame, k: int, vector_col: str = "embedding", position_col: str = "vec_id") -> DataFrame:
+    """question, rank (from 1), position, score: the ``k`` nearest rows by cosine for every question.
+
+    ``questions``: question (a long), vector. They go to the tasks in blocks of BLOCK, so what a
+    task holds is bounded; each task keeps the ``k`` best of a block as it reads, and these few are
+    ranked together. Ties go to the smaller position; a zero vector scores 0. Null vectors take no
+    part; vectors of another width than the questions' are an error.
+    """
+    k = max(1, k)
+    asked = questions.where("vector IS NOT NULL").select(F.col("question").cast("long").alias("question"), F.col("vector").cast("array<double>").alias("vector"))
+    schema = "question long, position long, score double"
+    found = vectors.sparkSession.createDataFrame([], schema)
+    rows = vectors.where(F.col(vector_col).isNotNull()).select(F.col(position_col).cast("long").alias("position"), F.col(vector_col).cast("array<double>").alias("vector"))
+    held: list = []
+
+    def compared(block: list) -> DataFrame:
+        ids = np.array([r[0] for r in block], np.int64)
+        unit = _units(np.array([r[1] for r in block], np.float64))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = np.full((len(ids), 0), 0.0), np.full((len(ids), 0), 0, np.int64)
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                own = np.stack(pdf["vector"].to_numpy())
+                if own.shape[1] != unit.shape[1]:
+                    raise ValueError(f"vectors have {own.shape[1]} dimensions, questions {unit.shape[1]}")
+                score = np.concatenate([best[0], unit @ _units(own).T], 1)
+                place = np.concatenate([best[1], np.broadcast_to(pdf["position"].to_numpy(np.int64), (len(ids), len(pdf)))], 1)
+                order = np.lexsort((place, -score), axis=1)[:, :k]
+                best = np.take_along_axis(score, order, 1), np.take_along_axis(place, order, 1)
+            n = best[0].shape[1]
+            yield pd.DataFrame({"question": np.repeat(ids, n), "position": best[1].ravel(), "score": best[0].ravel()})
+
+        return rows.mapInPandas(run, schema)
+
+    for r in asked.toLocalIterator():
+        held.append((r.question, r.vector))
+        if len(held) == BLOCK:
+            found, held = found.unionByName(compared(held)), []
+    if held:
+        found = found.unionByName(compared(held))
+    rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "position"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("question", "rank", "position", "score")
+
+
+def _units(rows: np.ndarray) -> np.ndarray:
+    length = np.sqrt((rows * rows).sum(1, keepdims=True))
+    return rows / np.where(length == 0, 1.0, length)

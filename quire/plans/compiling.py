@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text
-from quire.operators import codex
+from quire.operators import codex, vectors
 from quire.plans.registry import query, table
 from quire.plans.retrieval import WINDOWS
 from quire.shared import shared_dir
@@ -242,3 +242,24 @@ def stream_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/documents.parque[t]"  # a pattern, as a stream's folder may be one file here
     increments.stream_passages(spark, path, f"{base}/passages", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/passages").select("doc_id", "number", "char_start", "char_end")
+
+
+@query("SELECT user_id AS owner, event_type AS key, arg_min(props, event_id) AS text, coalesce(min(nullif(day(ts)::INT % 10, 0)), 0) AS chapter FROM events GROUP BY ALL")
+def stream_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts merged from micro-batches, a file each; the table is dealt out to files first."""
+    base = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}"
+    facts = table(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), F.col("event_type").alias("key"), F.col("event_id").alias("ord"), F.col("props").alias("text"), (F.dayofmonth("ts") % 10).alias("chapter"))
+    facts.repartition(4, "ord").write.parquet(f"{base}/in")
+    increments.merge_batches(spark, f"{base}/in", f"{base}/facts", f"{base}/checkpoint", increments.facts_delta)
+    return increments.merged_batches(spark, f"{base}/facts", increments.facts_delta).drop("ord")
+
+
+@query("SELECT label::VARCHAR AS book, vec_id AS id, md5(array_to_string(list_transform(embedding, lambda x: (round(x * 1000))::BIGINT), ',')) AS digest FROM embeddings")
+def vector_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors after two partial writes that overlap and a rerun of the second."""
+    path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}/vectors"
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("book"), F.lit("hashed").alias("model"), F.col("vec_id").alias("id"), F.lit(1).alias("ord"), F.col("embedding").alias("vector"))
+    for part in ("id % 3 <> 0", "id % 2 = 0 OR id % 3 = 0", "id % 2 = 0 OR id % 3 = 0"):
+        vectors.write_back(rows.where(part), path)
+    ints = F.transform("vector", lambda x: F.round(x * 1000).cast("long"))
+    return vectors.read_vectors(spark, path).select("book", "id", F.md5(F.array_join(ints.cast("array<string>"), ",").cast("binary")).alias("digest"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import signals, text
 from quire.operators import passages as passing
 from quire.operators.numbering import numbered, running_before
-from quire.operators.search import cosine, top_passages
+from quire.operators.search import cosine, top_of_questions, top_passages
 from quire.plans.registry import query, table
 
 COSINE = "list_cosine_similarity(a.embedding::DOUBLE[], q.embedding::DOUBLE[])"
@@ -28,6 +28,22 @@ def cited_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "label", F.round("score", 4).alias("score"), cited.alias("citation"), F.lit(vectors.count()).cast("long").alias("searched"))
 
 
+@query(f"""
+WITH p AS (SELECT doc_id, source, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS position FROM documents),
+s AS (SELECT q.vec_id AS question, a.vec_id, {COSINE} AS score FROM embeddings a, embeddings q WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s)
+SELECT question, rank::INT AS rank, vec_id, round(score, 4) AS score, 'ch. ' || position || ' · “' || source || '” · chars 0–' || n AS citation FROM r LEFT JOIN p ON p.doc_id = r.vec_id WHERE rank <= 6""")
+def cited_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 6 nearest rows to every question (ids divisible by 20), with the citation of their section."""
+    vectors, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question"), F.col("embedding").alias("vector"))
+    found = top_of_questions(vectors, asked, 6).withColumnRenamed("position", "vec_id")
+    places = numbered(docs.select("doc_id", "source", F.char_length("text").alias("n")), "source", "doc_id")
+    cited = found.join(places, F.col("vec_id") == F.col("doc_id"), "left")
+    line = F.when(F.col("doc_id").isNotNull(), text.citation(F.col("position"), F.col("source"), F.lit(""), F.lit(0), F.col("n")))
+    return cited.select("question", "rank", "vec_id", F.round("score", 4).alias("score"), line.alias("citation"))
+
+
 @query(f"""
 WITH q AS (SELECT label, arg_min(embedding, vec_id) AS embedding FROM embeddings GROUP BY label),
 s AS (SELECT a.label, a.vec_id, {COSINE} AS score FROM embeddings a JOIN q ON a.label = q.label),

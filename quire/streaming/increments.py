@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +42,35 @@ def log_tail(log: DataFrame, since: int, level: str | None = None, search: str |
     out = log.where(F.col("event_id") > since)
     out = out if level is None else out.where(F.col("event_type") == level)
     return out if search is None else out.where(F.contains(F.lower("props"), F.lit(search.lower())))
+
+
+def merge_batches(spark: SparkSession, source: str, out: str, checkpoint: str, delta: Callable[[DataFrame], DataFrame], files: int = 1) -> None:
+    """New files below ``source`` in micro-batches, each reduced by ``delta`` and put down under its number.
+
+    A batch replaces what is there under its number, so one that ran before the job was killed and
+    runs again counts once, and a restart goes on after the last batch in ``checkpoint``. Work and
+    writes are in proportion to the new files; ``merged_batches`` folds what the batches left.
+    """
+
+    def put(rows: DataFrame, number: int) -> None:
+        delta(rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", files).parquet(source)
+    query = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
+def merged_batches(spark: SparkSession, out: str, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of all batches, with their number as ``batch``, folded by key."""
+    return fold(spark.read.parquet(out))
+
+
+def facts_delta(rows: DataFrame) -> DataFrame:
+    """Facts (owner, key, ord, text, chapter) reduced to one row a key; the same fold serves batches and their union.
+
+    The text is that of least ``ord``, whichever batch it came in; the chapter is the earliest
+    known one (0 is unknown).
+    """
+    return rows.groupBy("owner", "key").agg(
+        F.min("ord").alias("ord"), F.min_by("text", "ord").alias("text"), F.coalesce(F.min(F.nullif(F.col("chapter"), F.lit(0))), F.lit(0)).alias("chapter")
+    )
