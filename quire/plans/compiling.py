@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.operators import codex, vectors
+from quire.operators.slugs import free_slugs
 from quire.plans.registry import query, table
 from quire.plans.retrieval import WINDOWS
 from quire.shared import shared_dir
@@ -81,17 +82,24 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.slug(F.col("url")).alias("slug"), text.folder_slug(F.col("url")).alias("folder"))
 
 
+# Some names are a segment alone, most end in a number; numbers of BUILDING are stored for some suppliers.
 @query("""
-WITH s AS (SELECT c_custkey, regexp_replace(regexp_replace(lower(c_mktsegment || ' ' || c_nationkey), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM customer),
-r AS (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY c_custkey) AS i FROM s)
-SELECT c_custkey, slug || CASE WHEN i > 1 THEN '-x' || i ELSE '' END AS slug FROM r""")
+WITH RECURSIVE s AS (SELECT c_custkey AS ord, lower(c_mktsegment) AS family, lower(c_mktsegment) || CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 11 = 0 THEN '-2-2' ELSE '-' || c_nationkey END AS slug FROM customer),
+n AS (SELECT *, row_number() OVER (PARTITION BY family ORDER BY ord) AS i FROM s),
+t AS (SELECT family, list(family || '-' || s_suppkey) AS used FROM (SELECT DISTINCT family FROM s), supplier WHERE family = 'building' AND s_nationkey < 12 GROUP BY family),
+w AS (
+  SELECT f.family, 0::BIGINT AS i, coalesce(used, []) AS used, NULL::BIGINT AS ord, NULL::VARCHAR AS free FROM (SELECT DISTINCT family FROM s) f LEFT JOIN t ON f.family = t.family
+  UNION ALL
+  SELECT family, i, list_append(used, free), ord, free FROM (
+    SELECT w.family, n.i, used, n.ord, CASE WHEN NOT list_contains(used, slug) THEN slug ELSE slug || '-' || list_filter(range(2, len(used) + 3), lambda k: NOT list_contains(used, slug || '-' || k))[1] END AS free FROM w JOIN n ON n.family = w.family AND n.i = w.i + 1))
+SELECT ord AS c_custkey, free AS slug FROM w WHERE ord IS NOT NULL""")
 def slug_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slugs made unique by a number; the mark x keeps them apart from slugs that end in numbers."""
-    from quire.operators.numbering import numbered
-
-    rows = table(spark, sf_dir, "customer").select("c_custkey", text.slug(F.concat_ws(" ", "c_mktsegment", "c_nationkey")).alias("s"))
-    suffix = F.when(F.col("i") > 1, F.concat(F.lit("-x"), F.col("i"))).otherwise("")
-    return numbered(rows, "s", "c_custkey", "i").select("c_custkey", F.concat("s", suffix).alias("slug"))
+    """Slugs made unique by the smallest free number, in order of arrival and beside stored ones."""
+    c = F.col("c_custkey")
+    ending = F.when(c % 3 == 0, "").when(c % 11 == 0, "-2-2").otherwise(F.concat(F.lit("-"), "c_nationkey"))
+    rows = table(spark, sf_dir, "customer").select(c.alias("ord"), F.concat(F.lower("c_mktsegment"), ending).alias("slug"))
+    stored = table(spark, sf_dir, "supplier").where("s_nationkey < 12").select(F.concat(F.lit("building-"), "s_suppkey").alias("slug"))
+    return free_slugs(rows, stored).select(F.col("ord").alias("c_custkey"), F.col("free").alias("slug"))
 
 
 @query(r"""
