@@ -57,3 +57,26 @@ def test_seeds(spark):
     assert (got[1].looks, got[1].dropped, got[1].role, got[1].pose_preset) == ("tall.", 1, "scout", "expressions")
     assert (got[2].looks, got[2].dropped, got[2].speech, got[2].role) == ("", 0, None, None)
     assert (got[3].looks, got[3].dropped, got[3].expressions, got[3].train) == ("", 1, 1, False)
+
+
+def test_series_entries_skip_and_order(spark):
+    """One book goes in unmerged; people without a note are told of; kinds have their policy."""
+    from pyspark.sql import functions as F
+
+    from quire.operators import books
+
+    kinds = spark.createDataFrame([(0, 1, "k1", "location", "Gate", ["gate", "The Gate,"], "A gate.", [(1, 1)], "kept"), (0, 2, "k2", "odd", "Thing", [], "x" * 2000, [(1, 2)], "proposed"), (0, 3, "k3", "term", "Gone", [], "y", [(1, 3)], "discarded"), (5, 4, "k4", "term", "Other book", [], "y", [(1, 3)], "kept")], "book int, id long, key string, kind string, name string, aliases array<string>, summary string, citations array<struct<chunk:int,chapter:int>>, status string")
+    places = spark.createDataFrame([(0, 0)], "book int, place int")
+    entities = books.united(kinds, places, [F.lower("name")])
+    assert [(r.id, r.ord) for r in entities.orderBy("ord").collect()] == [(1, 0), (2, 1)]
+    assert [r.id for r in books.united(kinds, places, [F.lower("name")], kept_only=True).collect()] == [1]
+    none = lambda schema: spark.createDataFrame([], schema)
+    quests = none("ord long, key string, kind string, name string, aliases array<string>, objective string, giver string, requirements string, reward string, penalty string, deadline string, outcome string, first_chapter long, citations array<struct<chunk:int,chapter:int>>")
+    rules = none("ord long, key string, kind string, name string, aliases array<string>, scope string, applies_to string, statement string, confidence string, formula string, evidence string, citations array<struct<chunk:int,chapter:int>>")
+    people = spark.createDataFrame([(0, "ann", "Ann", ["A"], "primary", "", "brave", 1, 1, 1, 1, 1), (1, "bob", "Bob", [], "primary", "", "  ", 1, 1, 1, 1, 1)], "ord long, key string, name string, aliases array<string>, tier string, reason string, note string, mentions long, speech long, sections long, first_section long, last_section long")
+    for merge in (False, True):
+        made, skipped = books.compiled_series(entities, quests, rules, people, merge=merge)
+        got = made.orderBy("uid").collect()
+        assert [(r.uid, r.comment, r["order"], len(r.content)) for r in got] == [(0, "location: Gate", 80, 7), (1, "odd: Thing", 50, 1200), (2, "character: Ann (primary)", 98, 5)]
+        assert got[0].key == ["Gate", "The Gate"] and got[0].displayIndex == 0 and len(got[0]) == 31 and got[0].scanDepth is None
+        assert [r.name for r in skipped.collect()] == ["Bob"]
