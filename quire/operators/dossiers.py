@@ -10,7 +10,7 @@ FIELDS = "role appearance personality motivation speech quirks relationship".spl
 TIER_FIELDS = {"primary": FIELDS, "secondary": ["role", "appearance", "speech", "relationship", "motivation"]}
 TIER_PASSAGES = {"primary": 10, "secondary": 4}
 PLAN = {"primary": ("expressions", None, True), "secondary": (None, 8, True), "filler": (None, 1, False)}
-VERSION = "1.0"
+VERSION, KIND, FALLBACK = "1.0", "character-dossier", "neutral"
 EXPRESSION = (
     r"(?i)\b(smil\w*|grin\w*|frown\w*|scowl\w*|glar\w*|smirk\w*|laugh\w*|cry\w*|cried|weep\w*|wept|sneer\w*|pout\w*|"
     r"blush\w*|wink\w*|gasp\w*|snarl\w*|beam\w*|expression|angry|sad|happy|furious|delighted)\b"
@@ -37,12 +37,14 @@ def dossiers(facts: DataFrame, owner: str, chapter: int | None) -> DataFrame:
     ).withColumns({"as_of_chapter": F.lit(chapter).cast("int"), "contract_version": F.lit(VERSION)})
 
 
-def problems(version: Column, name: Column, has_as_of: Column, fields: Column) -> Column:
-    """What makes a dossier unusable, worst first; empty if nothing does."""
+def problems(version: Column, name: Column, has_as_of: Column, fields: Column, kind: Column | None = None) -> Column:
+    """What makes a dossier unusable, worst first; empty if nothing does. A null kind passes."""
     v = F.coalesce(version, F.lit(""))
+    kind = F.lit(None).cast("string") if kind is None else kind
     return F.concat_ws(
         "; ",
         F.when(v == "", "no contract version").when(F.split_part(v, F.lit("."), F.lit(1)) != VERSION.split(".")[0], F.concat(F.lit("unreadable contract version "), v)),
+        F.when(kind != KIND, F.concat(F.lit("kind is "), kind)),
         F.when(F.trim(F.coalesce(name, F.lit(""))) == "", "no name"),
         F.when(~has_as_of, "no as-of chapter"),
         F.when(F.coalesce(fields, F.lit("")) == "", "no fields"),
@@ -63,4 +65,4 @@ def plan(tier: Column) -> dict[str, Column]:
     """What a tier earns; unknown tiers count as filler."""
     known = F.when(tier.isin(*PLAN), tier).otherwise("filler")
     pick = lambda i, kind: F.coalesce(*(F.when(known == t, F.lit(v[i]).cast(kind)) for t, v in PLAN.items()))
-    return {"pose_preset": pick(0, "string"), "expressions": pick(1, "int"), "train": pick(2, "boolean")}
+    return {"pose_preset": pick(0, "string"), "expressions": pick(1, "int"), "train": pick(2, "boolean"), "fallback_expression": F.lit(FALLBACK)}

@@ -179,5 +179,6 @@ def overlay(base: DataFrame, log: DataFrame, key: str, columns: list[str]) -> Da
 
 
 def clear_proposed(rows: DataFrame, everything: bool = False) -> DataFrame:
-    """What stays: all but proposed rows that nobody edited or locked."""
-    return rows.where(F.lit(False)) if everything else rows.where("NOT (status = 'proposed' AND NOT edited)")
+    """What stays: all but proposed rows that nobody edited and, where rows have ``locked``, nobody locked."""
+    locked = F.coalesce("locked", F.lit(False)) if "locked" in rows.columns else F.lit(False)
+    return rows.where(F.lit(False)) if everything else rows.where(~((F.col("status") == "proposed") & ~F.coalesce("edited", F.lit(False)) & ~locked))

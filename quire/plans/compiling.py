@@ -195,10 +195,12 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("event_type", k.alias("k")).agg(F.count("*").alias("events"))
 
 
-@query("""SELECT event_id, user_id, event_type FROM events WHERE event_id > 100 AND event_type = 'click' AND contains(lower(props), '"k": 6') ORDER BY event_id DESC LIMIT 50""")
+@query("""SELECT event_id, user_id, event_type FROM events WHERE event_id > 100 AND event_type IN ('error', 'purchase', 'signup') AND contains(lower(props), '"k": 6') ORDER BY event_id DESC LIMIT 50""")
 def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The latest 50 entries after an id, of one level, that hold a text (a report)."""
-    found = increments.log_tail(table(spark, sf_dir, "events"), 100, "click", '"K": 6')
+    """The latest 50 entries after an id, informative or more severe, that hold a text (a report)."""
+    kind = F.col("event_type")
+    level = F.when(kind == "error", "error").when(kind == "purchase", "warn").when(kind == "signup", "info").when(kind == "click", "debug").otherwise("verbose")
+    found = increments.log_tail(table(spark, sf_dir, "events").withColumn("level", level), 100, "info", '"K": 6')
     return found.orderBy(F.desc("event_id")).limit(50).select("event_id", "user_id", "event_type")
 
 

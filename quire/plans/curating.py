@@ -222,10 +222,11 @@ def curation_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.overlay(base, log, "doc_id", ["lang", "status"])
 
 
-@query(STATUS + "SELECT doc_id, status FROM s WHERE NOT (status = 'proposed' AND doc_id % 4 <> 0)")
+@query(STATUS + "SELECT doc_id, status FROM s WHERE NOT (status = 'proposed' AND doc_id % 4 <> 0 AND doc_id % 9 <> 0)")
 def clear_proposed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a clear leaves: curated and edited rows."""
-    return merging.clear_proposed(_status(spark, sf_dir).withColumn("edited", F.col("doc_id") % 4 == 0)).select("doc_id", "status")
+    """What a clear leaves: curated, edited and locked rows."""
+    rows = _status(spark, sf_dir).withColumns({"edited": F.col("doc_id") % 4 == 0, "locked": F.col("doc_id") % 9 == 0})
+    return merging.clear_proposed(rows).select("doc_id", "status")
 
 
 @query(STATUS + ", n AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents) SELECT n.doc_id, ((i - 1) // 25)::BIGINT AS batch FROM n JOIN s ON n.doc_id = s.doc_id WHERE status <> 'discarded'")
@@ -268,14 +269,15 @@ def dossier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(FACTS + """, d AS (SELECT owner, CASE owner % 4 WHEN 0 THEN '' WHEN 1 THEN '2.1' ELSE '1.3' END AS version, CASE WHEN owner % 5 = 0 THEN ' ' ELSE 'user ' || owner END AS name, owner % 7 <> 0 AS has,
   coalesce(string_agg(DISTINCT field, ',' ORDER BY field) FILTER (chapter <= 1), '') AS fields FROM f GROUP BY owner)
 SELECT owner, concat_ws('; ', CASE WHEN version = '' THEN 'no contract version' WHEN split_part(version, '.', 1) <> '1' THEN 'unreadable contract version ' || version END,
-  CASE WHEN trim(name) = '' THEN 'no name' END, CASE WHEN NOT has THEN 'no as-of chapter' END, CASE WHEN fields = '' THEN 'no fields' END) AS problems FROM d""")
+  CASE WHEN owner % 6 = 2 THEN 'kind is card' END, CASE WHEN trim(name) = '' THEN 'no name' END, CASE WHEN NOT has THEN 'no as-of chapter' END, CASE WHEN fields = '' THEN 'no fields' END) AS problems FROM d""")
 def handoff_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Problems of dossiers with holes."""
     rows = sheets.dossiers(_facts(spark, sf_dir), "owner", 1)
     o = F.col("owner")
     version = F.when(o % 4 == 0, "").when(o % 4 == 1, "2.1").otherwise("1.3")
     name = F.when(o % 5 == 0, " ").otherwise(F.concat(F.lit("user "), o.cast("string")))
-    return rows.select("owner", sheets.problems(version, name, o % 7 != 0, F.col("fields")).alias("problems"))
+    kind = F.when(o % 6 == 2, "card").when(o % 6 == 3, sheets.KIND)
+    return rows.select("owner", sheets.problems(version, name, o % 7 != 0, F.col("fields"), kind).alias("problems"))
 
 
 @query(rf"""
@@ -291,7 +293,7 @@ def looks_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.join(few, "doc_id").select("doc_id", F.md5(F.col("looks").cast("binary")).alias("digest"), "facts")
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'expressions' END AS pose_preset, CASE c_custkey % 4 WHEN 0 THEN 'all' WHEN 1 THEN '8' ELSE '1' END AS expressions, c_custkey % 4 < 2 AS train FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'expressions' END AS pose_preset, CASE c_custkey % 4 WHEN 0 THEN 'all' WHEN 1 THEN '8' ELSE '1' END AS expressions, c_custkey % 4 < 2 AS train, 'neutral' AS fallback_expression FROM customer""")
 def build_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each tier earns; unknown tiers count as filler."""
     k = F.col("c_custkey") % 4

@@ -195,15 +195,15 @@ def journey_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.journey_counts(rows, "o_custkey").select("o_custkey", "quests", "with_reward", "with_penalty", _kinds("by_kind"))
 
 
-# Replies about names: every customer is asked about, every order names two in capitals.
-REPLIES = "WITH r AS (SELECT o_orderkey AS ord, [upper(c_name), 'Nobody ' || o_orderkey, 'customer#' || lpad((o_custkey + 1)::VARCHAR, 9, '0')] AS forms FROM orders JOIN customer ON o_custkey = c_custkey)"
+# Replies about names: every customer is asked about; urgent orders name two, other orders nobody who is known.
+REPLIES = "WITH r AS (SELECT o_orderkey AS ord, CASE WHEN o_orderpriority LIKE '1%' THEN [upper(c_name), 'Nobody ' || o_orderkey, 'customer#' || lpad((o_custkey * 7)::VARCHAR, 9, '0')] ELSE ['nobody', 'Nobody ' || o_orderkey, ''] END AS forms FROM orders JOIN customer ON o_custkey = c_custkey)"
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     people = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"))
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("c_custkey"))
-    next_ = F.concat(F.lit("customer#"), F.lpad((F.col("c_custkey") + 1).cast("string"), 9, "0"))
-    rows = orders.join(people, "c_custkey").select("ord", F.upper("name").alias("name"), F.array(F.concat(F.lit("Nobody "), "ord"), next_).alias("aliases"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ord"), F.col("o_custkey").alias("c_custkey"), F.col("o_orderpriority").startswith("1").alias("urgent"))
+    other = F.when(F.col("urgent"), F.concat(F.lit("customer#"), F.lpad((F.col("c_custkey") * 7).cast("string"), 9, "0"))).otherwise("")
+    rows = orders.join(people, "c_custkey").select("ord", F.when(F.col("urgent"), F.upper("name")).otherwise("nobody").alias("name"), F.array(F.concat(F.lit("Nobody "), "ord"), other).alias("aliases"))
     return rows, people.select("name")
 
 

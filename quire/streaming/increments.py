@@ -37,11 +37,20 @@ def job_states(events: DataFrame) -> DataFrame:
     )
 
 
-def log_tail(log: DataFrame, since: int, level: str | None = None, search: str | None = None) -> DataFrame:
-    """Entries after an id, of a level, whose message holds a text whatever the case."""
+# Levels of log entries, from the least to the most severe.
+LEVELS = ("verbose", "debug", "info", "warn", "error")
+
+
+def log_tail(log: DataFrame, since: int, level: str | None = None, search: str | None = None, category: str | None = None) -> DataFrame:
+    """Entries (event_id, level, event_type, props) after an id, of a level or a more severe one, of a category, whose message holds a text whatever the case.
+
+    An unknown level is no floor; entries of an unknown level count as the least severe.
+    """
+    rank = lambda v: F.coalesce(F.nullif(F.array_position(F.array(*(F.lit(x) for x in LEVELS)), v), F.lit(0)), F.lit(1))
     out = log.where(F.col("event_id") > since)
-    out = out if level is None else out.where(F.col("event_type") == level)
-    return out if search is None else out.where(F.contains(F.lower("props"), F.lit(search.lower())))
+    out = out.where(rank(F.col("level")) > LEVELS.index(level)) if level in LEVELS else out
+    out = out if category in (None, "", "all") else out.where(F.col("event_type") == category)
+    return out if not search else out.where(F.contains(F.lower("props"), F.lit(search.lower())))
 
 
 def merge_batches(spark: SparkSession, source: str, out: str, checkpoint: str, delta: Callable[[DataFrame], DataFrame], files: int = 1) -> None:
