@@ -43,6 +43,7 @@ class Codes:
     rotate: np.ndarray
     reach: int = 0
     radius: int = 0
+    pool: int = 0
 
     def of(self, x: np.ndarray) -> np.ndarray:
         """Codes of unit rows as 64-bit words."""
@@ -110,7 +111,9 @@ def _unit(vectors: pd.Series) -> np.ndarray:
 def fit(rows: DataFrame, k: int, bits: int = 256, sample: int = 8192, asks: int = 256, recall: float = 0.98, seed: int = 3) -> dict[int, Codes]:
     """Codes for each dimension in a sample of at most ``sample`` of ``rows`` (v), of least hash.
 
-    At most ``asks`` of the sample are asked for their ``k`` true neighbours among all rows.
+    At most ``asks`` of the sample are asked for their ``k`` true neighbours among all rows. Reach
+    and radius are such that ``recall`` of these are met, and so is the pool: a second pass counts
+    the rows whose codes are as near as a true neighbour's, so the pool grows with the rows.
     """
     some = rows.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(sample).toPandas()
     out: dict[int, Codes] = {}
@@ -146,10 +149,33 @@ def fit(rows: DataFrame, k: int, bits: int = 256, sample: int = 8192, asks: int
     rank = F.row_number().over(Window.partitionBy("dims", "ask").orderBy(F.desc("score")))
     found = rows.select("v").mapInPandas(near, "dims int, ask int, score double, x array<double>")
     found = found.withColumn("i", rank).where(F.col("i") <= k).select("dims", "ask", "x").toPandas()  # asks * k rows at most
+    coded = {d: out[d].of(x) for d, x in asked.items() if len(x)}
+
+    def ranks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            dims = pdf["v"].map(len).to_numpy()
+            for d in np.unique(dims):
+                if int(d) not in coded:
+                    continue
+                words, own = coded[int(d)], out[int(d)].of(_unit(pdf["v"][dims == d]))
+                counts = held.setdefault(int(d), np.zeros((len(words), bits + 1), np.int64))
+                for i, w in enumerate(words):
+                    counts[i] += np.bincount(np.bitwise_count(own ^ w).sum(1, dtype=np.int64), minlength=bits + 1)
+        for d, counts in held.items():
+            ask, distance = np.nonzero(counts)
+            yield pd.DataFrame({"dims": d, "ask": ask, "distance": distance, "n": counts[ask, distance]})
+
+    near_codes = rows.select("v").mapInPandas(ranks, "dims int, ask int, distance int, n long").groupBy("dims", "ask", "distance").agg(F.sum("n").alias("n")).toPandas()  # asks * (bits + 1) rows at most
     for d, part in found.groupby("dims"):
         code = out[int(d)]
+        mine = near_codes[near_codes["dims"] == d]
+        table = np.zeros((len(coded[int(d)]), bits + 1), np.int64)
+        table[mine["ask"], mine["distance"]] = mine["n"]
+        table = table.cumsum(1)
         all_, parts = apart(code.of(np.stack(part["x"].to_numpy())), code.of(asked[int(d)][part["ask"].to_numpy()]))
         code.reach, code.radius = (int(math.ceil(np.quantile(v, recall))) for v in (parts.min(1), all_))
+        code.pool = int(math.ceil(np.quantile(table[part["ask"].to_numpy(), all_], recall)))
     return out
 
 
@@ -183,7 +209,7 @@ def _search(index: DataFrame, probes: DataFrame, keys: list[str], width: int, po
 
 def nearest(
     rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-    bits: int = 256, recall: float = 0.98, pool: int = 256, block_rows: int = 16384,
+    bits: int = 256, recall: float = 0.98, least_pool: int = 256, block_rows: int = 16384,
 ) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest rows found for each query.
 
@@ -203,6 +229,7 @@ def nearest(
     questions = materialize(asked.groupBy("n1", "n2").agg(F.first("v").alias("v")).select(F.monotonically_increasing_id().alias("q"), "n1", "n2", "v", F.size("v").alias("dims")), "questions")
     codes = fit(entries, k, bits, recall=recall)
     shared = rows.sparkSession.sparkContext.broadcast(codes)  # a few matrices of dims x bits
+    pool = max([least_pool, *(c.pool for c in codes.values())])
     prefixes = min(12, max(0, math.ceil(math.log2(max(1, entries.count()) / block_rows))))
     width = PART - prefixes
 
