@@ -13,7 +13,7 @@ from quire.operators.slugs import free_slugs
 from quire.plans.registry import query, table
 from quire.plans.retrieval import WINDOWS
 from quire.shared import shared_dir
-from quire.sources import sections
+from quire.sources import files, sections
 from quire.streaming import increments
 
 
@@ -273,3 +273,18 @@ def vector_write_back(spark: SparkSession, sf_dir: str) -> DataFrame:
         vectors.write_back(rows.where(part), path)
     ints = F.transform("vector", lambda x: F.round(x * 1000).cast("long"))
     return vectors.read_vectors(spark, path).select("book", "id", F.md5(F.array_join(ints.cast("array<string>"), ",").cast("binary")).alias("digest"))
+
+
+@query(r"""
+WITH n AS (SELECT source, doc_id, text, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS number FROM documents)
+SELECT regexp_replace(lower(source), '[^a-z0-9]+', '-', 'g') || '/' || CASE WHEN number < 100 THEN lpad(number::VARCHAR, 3, '0') ELSE number::VARCHAR END || '-' || lang || '-' || doc_id || '.txt' AS file, doc_id, md5(text) AS digest FROM n""")
+def section_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sections written as a file each and read back by manifest."""
+    from quire.operators.numbering import numbered
+
+    path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}/sections"
+    docs = table(spark, sf_dir, "documents")
+    places = numbered(docs.select("doc_id", "source"), "source", "doc_id", "number").drop("source")
+    rows = docs.join(places, "doc_id").select(F.col("source").alias("book"), F.col("number").cast("int").alias("number"), F.concat_ws(" ", "lang", "doc_id").alias("title"), "text", "doc_id")
+    files.write_files(files.section_files(rows), path)
+    return files.read_files(spark, path).select("file", "doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
