@@ -56,7 +56,7 @@ def _prefix(low: str | None, high: str | None) -> int:
 
 
 def _coordinates(points: DataFrame) -> DataFrame:
-    """``points`` with coord_<dimension>: a whole number of COORD_BITS bits in the dimension's order, 0 for null.
+    """``points`` with coords: for each dimension a whole number of COORD_BITS bits in its order, 0 for null.
 
     Sizes count by their logarithm; of names the seven bytes behind what all begin with count.
     """
@@ -77,15 +77,12 @@ def _coordinates(points: DataFrame) -> DataFrame:
         width = (high - low) or 1.0
         return F.coalesce(1 + F.floor((F.col(f"raw_{c}") - F.lit(low)) / F.lit(width) * (most - 2)), F.lit(0)).cast("long")
 
-    return wide.select(*points.columns, *(scaled(c).alias(f"coord_{c}") for c in DIMENSIONS))
+    return wide.select(*points.columns, F.array(*map(scaled, DIMENSIONS)).alias("coords"))
 
 
 def _key(dimension: Column) -> Column:
     """The key of a point along a dimension given by its number."""
-    coord = F.lit(None).cast("long")
-    for i, c in reversed(list(enumerate(DIMENSIONS))):
-        coord = F.when(dimension == i, F.col(f"coord_{c}")).otherwise(coord)
-    return F.shiftleft(coord, TIE_BITS).bitwiseOR(F.col("tie"))
+    return F.shiftleft(F.element_at("coords", (dimension + 1).cast("int")), TIE_BITS).bitwiseOR(F.col("tie"))
 
 
 def _descend(points: DataFrame, level: list[tuple[int, int]]) -> DataFrame:
@@ -145,7 +142,7 @@ def grown(points: DataFrame, shards: int, total: int) -> DataFrame:
     now = points.withColumn("node", F.lit(0).cast("long"))
     over = (1 << (COORD_BITS + TIE_BITS)) - 1
     while max(counts) > 1:
-        spans = [F.max(f"coord_{c}") - F.min(f"coord_{c}") for c in DIMENSIONS]
+        spans = [F.max(F.col("coords")[i]) - F.min(F.col("coords")[i]) for i in range(len(DIMENSIONS))]
         boxes = now.groupBy("node").agg(F.sum("weight").alias("w"), *(s.alias(f"span_{c}") for s, c in zip(spans, DIMENSIONS, strict=True))).collect()
         want: dict[int, tuple[int, int]] = {}
         dims = [0] * len(counts)

@@ -62,8 +62,8 @@ def test_split_is_the_weighted_median_of_the_widest_dimension(spark):
     weight = rng.integers(1, 100, n)
     key = rng.integers(0, 1 << 31, n)
     tie = rng.integers(0, 1 << 32, n)
-    data = [(int(w), int(t), int(k), 5, 5, 5, 0) for w, t, k in zip(weight, tie, key, strict=True)]
-    points = spark.createDataFrame(data, "weight long, tie long, coord_size long, coord_doc_id long, coord_source long, coord_lang long, node long")
+    data = [(int(w), int(t), [int(k), 5, 5, 5], 0) for w, t, k in zip(weight, tie, key, strict=True)]
+    points = spark.createDataFrame(data, "weight long, tie long, coords array<long>, node long")
     want = int(weight.sum()) // 3
     cut = sharding._medians(points, {0: (0, want)}, [0], 0)[0]
     full = key.astype(np.int64) * (1 << 32) + tie
