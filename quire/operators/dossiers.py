@@ -37,6 +37,14 @@ def dossiers(facts: DataFrame, owner: str, chapter: int | None) -> DataFrame:
     ).withColumns({"as_of_chapter": F.lit(chapter).cast("int"), "contract_version": F.lit(VERSION)})
 
 
+def sheet_summary(facts: DataFrame, owner: str) -> DataFrame:
+    """owner, facts, by_field (map of a field to its facts), first and last chapter (null if none is known)."""
+    chapter = F.nullif(F.col("chapter"), F.lit(0))
+    fields = facts.groupBy(owner, "field").agg(F.count("*").alias("n"), F.min(chapter).alias("first"), F.max(chapter).alias("last"))
+    by_field = F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "n")))).alias("by_field")  # a field once, and there are few
+    return fields.groupBy(owner).agg(F.sum("n").alias("facts"), by_field, F.min("first").alias("first_chapter"), F.max("last").alias("last_chapter"))
+
+
 def problems(version: Column, name: Column, has_as_of: Column, fields: Column, kind: Column | None = None) -> Column:
     """What makes a dossier unusable, worst first; empty if nothing does. A null kind passes."""
     v = F.coalesce(version, F.lit(""))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quire.operators import dossiers as sheets
 from quire.operators.merging import ENTITY_KINDS, RULE_KINDS, TIERS, vocabulary_index
@@ -42,10 +43,16 @@ ORDERS = {
 
 
 def listed(rows: DataFrame, order: str, **equal: object) -> DataFrame:
-    """``rows`` whose columns equal the given values (None: any), in the order of a list."""
+    """``rows`` whose columns equal the given values (None: any), in the order of a list.
+
+    Citations count by their number, whether they come as that or as an array.
+    """
     for column, value in equal.items():
         if value is not None:
             rows = rows.where(F.col(column) == value)
+    if "citations" in rows.columns and isinstance(rows.schema["citations"].dataType, T.ArrayType):
+        counted = rows.withColumns({"__citations": F.col("citations"), "citations": F.size("citations")}).orderBy(*ORDERS[order](), F.col("id"))
+        return counted.withColumn("citations", F.col("__citations")).drop("__citations")
     return rows.orderBy(*ORDERS[order](), F.col("id"))
 
 

@@ -49,3 +49,10 @@ def pending(passages: DataFrame, path: str, model: str) -> DataFrame:
     """The passages (book, id) that have no vector of ``model`` yet."""
     stored = read_vectors(passages.sparkSession, path)
     return passages if stored is None else passages.join(stored.where(F.col("model") == model).select("book", "id"), ["book", "id"], "left_anti")
+
+
+def pending_counts(passages: DataFrame, stored: DataFrame, group: str = "book") -> DataFrame:
+    """group, total and pending: its passages (group, id), and those among them without a vector in ``stored`` (id)."""
+    have = stored.where("vector IS NOT NULL").select(F.col("id").alias("__id")).distinct()
+    joined = passages.join(have, F.col("id") == F.col("__id"), "left")
+    return joined.groupBy(group).agg(F.count("*").alias("total"), F.count_if(F.col("__id").isNull()).alias("pending"))

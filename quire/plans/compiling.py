@@ -288,3 +288,10 @@ def section_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs.join(places, "doc_id").select(F.col("source").alias("book"), F.col("number").cast("int").alias("number"), F.concat_ws(" ", "lang", "doc_id").alias("title"), "text", "doc_id")
     files.write_files(files.section_files(rows), path)
     return files.read_files(spark, path).select("file", "doc_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT source AS book, count(*)::BIGINT AS total, count(*) FILTER (doc_id NOT IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL))::BIGINT AS pending FROM documents GROUP BY source")
+def pending_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections of each book, and those that have no vector yet."""
+    stored = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return vectors.pending_counts(table(spark, sf_dir, "documents").select(F.col("source").alias("book"), F.col("doc_id").alias("id")), stored)

@@ -259,6 +259,14 @@ def facts_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("owner", "field", F.size("rows").cast("long").alias("facts"), F.md5(joined.cast("binary")).alias("digest"), "first_chapter", "last_chapter")
 
 
+@query(FACTS + """, n AS (SELECT owner, field, count(*) AS n, min(nullif(chapter, 0)) AS a, max(nullif(chapter, 0)) AS b FROM f GROUP BY owner, field)
+SELECT owner, sum(n)::BIGINT AS facts, string_agg(field || ':' || n, ',' ORDER BY field) AS by_field, min(a) AS first_chapter, max(b) AS last_chapter FROM n GROUP BY owner""")
+def sheet_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of each owner, in all and by field, and the chapters they span."""
+    found = sheets.sheet_summary(_facts(spark, sf_dir), "owner")
+    return found.withColumn("by_field", F.array_join(F.transform(F.map_entries("by_field"), lambda e: F.concat_ws(":", e["key"], e["value"])), ","))
+
+
 @query(FACTS + """ SELECT owner, count(*) FILTER (chapter <= 10)::BIGINT AS visible_facts, count(*) FILTER (chapter > 10)::BIGINT AS withheld_facts,
   coalesce(string_agg(DISTINCT field, ',' ORDER BY field) FILTER (chapter <= 10), '') AS fields, 10 AS as_of_chapter, '1.0' AS contract_version FROM f GROUP BY owner""")
 def dossier_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

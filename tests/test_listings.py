@@ -80,3 +80,11 @@ def test_series_entries_skip_and_order(spark):
         assert [(r.uid, r.comment, r["order"], len(r.content)) for r in got] == [(0, "location: Gate", 80, 7), (1, "odd: Thing", 50, 1200), (2, "character: Ann (primary)", 98, 5)]
         assert got[0].key == ["Gate", "The Gate"] and got[0].displayIndex == 0 and len(got[0]) == 31 and got[0].scanDepth is None
         assert [r.name for r in skipped.collect()] == ["Bob"]
+
+
+def test_citation_arrays_order_by_their_length(spark):
+    from quire.operators.listings import listed
+
+    rows = spark.createDataFrame([(1, "skill", "b", [1]), (2, "skill", "a", [1, 2, 3]), (3, "cap", "c", [1]), (4, "cap", "d", None)], "id int, kind string, name string, citations array<int>")
+    found = listed(rows, "rules")
+    assert [r.id for r in found.collect()] == [2, 3, 1, 4] and found.columns == rows.columns
