@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import names, text
+from quire.operators.dossiers import TIER_PASSAGES
 
 
 def harvest(sections: DataFrame, group: str = "source", section: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,3 +90,17 @@ def mention_windows(found: DataFrame, order: list[str], limit: int, width: int,
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("form").orderBy(*order, "at"))).where(F.col("rank") <= limit)
     begin = F.greatest(F.lit(0), F.col("at") - width // 2)
     return ranked.select("form", "rank", *order, "at", text.collapsed(F.substring(F.col(text_col), begin + 1, F.lit(width))).alias("snippet"))
+
+
+def chosen_passages(pairs: DataFrame, who: list[str], position: list[str]) -> DataFrame:
+    """The densest passages of each person, as many as the tier earns, numbered in reading order as ``place``.
+
+    ``pairs``: the columns of ``who`` and ``position``, tier, hits, n (characters). Density is hits
+    a thousand characters to four places; ties go to more hits, then to the earlier passage. Tiers
+    without a number of passages have none.
+    """
+    earned = F.coalesce(*(F.when(F.col("tier") == t, F.lit(n)) for t, n in TIER_PASSAGES.items()), F.lit(0))
+    dense = pairs.where("hits > 0 AND n > 0").withColumn("density", F.round(F.col("hits") * 1000.0 / F.col("n"), 4))
+    rank = F.row_number().over(Window.partitionBy(*who).orderBy(F.desc("density"), F.desc("hits"), *position))
+    kept = dense.withColumn("rank", rank).where(F.col("rank") <= earned)
+    return kept.withColumn("place", F.row_number().over(Window.partitionBy(*who).orderBy(*position)))

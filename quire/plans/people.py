@@ -134,18 +134,19 @@ def mention_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(WINDOWS + rf""", m AS (SELECT source, doc_id, number, text AS raw, {MASK} AS t FROM cut),
 forms AS (SELECT source, form FROM (SELECT source, unnest(regexp_extract_all(t, '\b([A-Z][a-z]+)\b', 1)) AS form FROM m) GROUP BY source, form
   QUALIFY row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, form) <= 5),
+tiers AS (SELECT source, form, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, form) <= 2 THEN 'primary' ELSE 'secondary' END AS tier FROM (SELECT source, unnest(regexp_extract_all(t, '\b([A-Z][a-z]+)\b', 1)) AS form FROM m) GROUP BY source, form),
 hits AS (SELECT m.source, form, doc_id, number, length(raw) AS n, len(regexp_extract_all(t, '\b' || form || '\b')) AS hits FROM m JOIN forms ON m.source = forms.source AND contains(t, form)),
 ranked AS (SELECT *, round(hits * 1000.0 / n, 4) AS density, row_number() OVER (PARTITION BY source, form ORDER BY round(hits * 1000.0 / n, 4) DESC, hits DESC, doc_id, number) AS rank FROM hits WHERE hits > 0)
-SELECT source, form, rank::INT AS rank, doc_id, number, hits::INT AS hits, density::DOUBLE AS density FROM ranked WHERE rank <= 4""")
+SELECT source, form, tier, rank::INT AS rank, (row_number() OVER (PARTITION BY source, form ORDER BY doc_id, number))::INT AS place, doc_id, number, hits::INT AS hits, density::DOUBLE AS density FROM ranked JOIN tiers USING (source, form) WHERE rank <= CASE tier WHEN 'primary' THEN 10 ELSE 4 END""")
 def density_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 4 passages densest in each of a book's 5 most frequent forms."""
+    """The passages densest in a book's 5 most frequent forms, 10 for the first two, 4 for the others, in reading order."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     found = passing.passages(docs).join(docs.select("doc_id", "source"), "doc_id")
     # forms are single words, so one count of the capitalised words of each passage serves for both steps
     word = F.explode(F.regexp_extract_all(F.col("text"), F.lit(r"(?U)(?<!\w)([A-Z][a-z]+)(?!\w)"), F.lit(1)))
     hits = found.select("source", "doc_id", "number", F.char_length("text").alias("n"), word.alias("form")).groupBy("source", "doc_id", "number", "n", "form").agg(F.count("*").cast("int").alias("hits"))
     counted = hits.groupBy("source", "form").agg(F.sum("hits").alias("count"))
-    top = counted.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("count"), "form"))).where("i <= 5").select("source", "form")
-    pairs = hits.join(top, ["source", "form"], "left_semi").withColumn("density", F.round(F.col("hits") * 1000.0 / F.col("n"), 4))
-    rank = F.row_number().over(Window.partitionBy("source", "form").orderBy(F.desc("density"), F.desc("hits"), "doc_id", "number"))
-    return pairs.withColumn("rank", rank).where("rank <= 4").select("source", "form", "rank", "doc_id", "number", "hits", "density")
+    top = counted.withColumn("i", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("count"), "form"))).where("i <= 5")
+    tiers = top.select("source", "form", F.when(F.col("i") <= 2, "primary").otherwise("secondary").alias("tier"))
+    chosen = harvesting.chosen_passages(hits.join(tiers, ["source", "form"]), ["source", "form"], ["doc_id", "number"])
+    return chosen.select("source", "form", "tier", "rank", "place", "doc_id", "number", "hits", "density")
