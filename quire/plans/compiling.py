@@ -237,12 +237,11 @@ def ranked_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("rank", rank).where("rank <= 10").select("event_type", "user_id", "event_id", "value", "rank")
 
 
-@query("SELECT d.doc_id, t.toxic::INT AS toxic FROM documents d JOIN labels t ON d.doc_id = t.doc_id WHERE t.quality = 1 AND d.doc_id NOT IN (SELECT item_id FROM benchmark)")
+@query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL)")
 def pending_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Curated sections that are not done yet (anti join with what is)."""
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1")
-    done = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"))
-    return docs.select("doc_id").join(labels, "doc_id").join(done, "doc_id", "left_anti").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    """Sections that have no vector yet (anti join with what is done)."""
+    done = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("doc_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", "source").join(done, "doc_id", "left_anti")
 
 
 @query(WINDOWS + "SELECT doc_id, number, char_start, char_end FROM cut")
