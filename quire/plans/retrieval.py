@@ -173,8 +173,9 @@ s AS (SELECT *, round({" + ".join(f"least({w} * {k}, {cap})" for k, (w, cap) in
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = signals.counts(F.col("text"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "source", *(h.alias(k) for k, h in hits.items()))
+    hits = signals.counts(F.col("masked"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", signals.masked(F.col("text")).alias("masked"))
+    rows = rows.select("doc_id", "source", *(h.alias(k) for k, h in hits.items()))
     named = {k: F.col(k) for k in hits}
     return rows.select("doc_id", "source", signals.score(named).alias("score"), signals.reasons(named).alias("reasons"))
 
@@ -208,4 +209,6 @@ def prefilter_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best sections with their beginnings."""
     best = _scored(spark, sf_dir).orderBy(F.desc("score"), "doc_id").limit(20)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.join(F.broadcast(best), "doc_id").select("doc_id", "score", "reasons", text.collapsed(F.col("text"), 240).alias("preview"))  # 20 rows
+    spaced = F.regexp_replace("text", r"[\t\n\f\r ]+", " ")
+    preview = F.substring(F.regexp_replace(F.regexp_replace(spaced, r"^\p{Zs}+|\p{Zs}+$", ""), "^ | $", ""), 1, 240)
+    return docs.join(F.broadcast(best), "doc_id").select("doc_id", "score", "reasons", preview.alias("preview"))  # 20 rows
