@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import text
 from quire.operators import codex, listings, merging
 from quire.operators.numbering import numbered_rows
+from quire.shared import materialize
 
 # The fields of an entry beside those compiled from a row, and what they start with.
 QUIET = {
@@ -82,6 +83,7 @@ def compiled_series(entities: DataFrame, quests: DataFrame, rules: DataFrame, pe
         all_ = made if all_ is None else all_.unionByName(made)
     skipped = all_.where("section = 'character' AND content = ''").select("name")
     kept = _policy(all_.where((F.size("keys") > 0) & ((F.col("section") != "character") | (F.col("content") != ""))).withColumn("__all", F.lit(0)))
+    kept = materialize(kept, "compiled")  # numbering reads its rows twice, and these are the outcome of all merges
     numbered = numbered_rows(kept, "__all", "__s", "__o0", "__o1", "__o2", "__key", name="uid")
     fields = {"key": F.col("keys"), "keysecondary": F.array().cast("array<string>"), "displayIndex": F.col("uid")} | {k: F.lit(v) if v is not None else F.lit(None).cast("boolean") for k, v in QUIET.items()}
     return numbered.select(*(fields.get(f, F.col(f)).alias(f) for f in FIELDS)), skipped

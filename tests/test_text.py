@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -108,3 +110,17 @@ def test_replies(spark, reply, want, error):
     df = spark.createDataFrame([(reply,)], "r string").select(replies.parsed(F.col("r"), "rules").alias("p"))
     got = df.first()["p"]
     assert (got["items"], got["error"]) == (want, error)
+
+
+def test_spellings_of_a_long_list_in_linear_time(spark):
+    start = time.monotonic()
+    items = F.transform(F.sequence(F.lit(0), F.lit(29_999)), lambda i: F.concat(F.when(i % 2 == 0, F.lit("N")).otherwise(F.lit("n")), F.floor(i / 2).cast("string")))
+    got = spark.range(1).select(text.first_spellings(items, F.lit("n7")).alias("x")).first().x
+    assert got == [f"N{i}" for i in range(15_000) if i != 7]
+    assert time.monotonic() - start < 30  # comparing each with all before it took minutes
+
+
+def test_spellings_without_blanks_and_nulls(spark):
+    df = spark.createDataFrame([(["b", "", "A", None, "a", "B", "c"], "C"), ([], "x"), (None, "x")], "x array<string>, o string")
+    assert [r[0] for r in df.select(text.first_spellings(F.col("x"), F.col("o"))).collect()] == [["b", "A"], [], None]
+    assert df.select(text.first_spellings(F.col("x"))).first()[0] == ["b", "A", "c"]
