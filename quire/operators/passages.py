@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SIZE, OVERLAP = 1600, 200
+#: Characters of text that are cut at a time, so that what a worker holds does not depend on its batches.
+HELD = 1 << 21
 _ENDS = (". ", "! ", "? ", ".\n", "\n")
 
 
@@ -45,14 +47,26 @@ def passages(sections: DataFrame, id_col: str | Sequence[str] = "doc_id", text_c
     if taken := {"number", "char_start", "char_end", "text"} & set(keys):
         raise ValueError(f"key columns named as outputs: {sorted(taken)}")
 
+    most = HELD
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+            at, *columns = (pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((),) * 5, [pa.int64()] * 4 + [pa.string()], strict=True))
+            return pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *columns], [*keys, "number", "char_start", "char_end", "text"])
+
         for batch in batches:
-            rows = []
-            for i, text in enumerate(batch.column("__text").to_pylist()):
-                pieces = [(a, b, piece) for a, b in windows(text, size, overlap) if (piece := text[a:b].strip())]
-                rows += [(i, n, a, b, piece) for n, (a, b, piece) in enumerate(pieces)]
-            at, *made = (pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ((),) * 5, [pa.int64()] * 4 + [pa.string()], strict=True))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in keys), *made], [*keys, "number", "char_start", "char_end", "text"])
+            rows: list[tuple] = []
+            held = 0
+            for i, value in enumerate(batch.column("__text")):
+                text, number = value.as_py(), 0
+                for a, b in windows(text, size, overlap):
+                    if piece := text[a:b].strip():
+                        rows.append((i, number, a, b, piece))
+                        number, held = number + 1, held + len(piece)
+                    if held >= most:
+                        yield made(batch, rows)
+                        rows, held = [], 0
+            yield made(batch, rows)
 
     trimmed = F.regexp_replace(F.coalesce(text_col, F.lit("")), r"(?U)^\s+|\s+$", "")
     rows = sections.select(*keys, trimmed.alias("__text")).where("__text <> ''")
