@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text
 from quire.operators import codex, listings, merging
-from quire.operators.numbering import numbered_rows
+from quire.operators.numbering import numbered_rows, parts_for
 from quire.shared import materialize
 
 # The fields of an entry beside those compiled from a row, and what they start with.
@@ -29,15 +29,18 @@ def wanted(rows: DataFrame, kept_only: bool = False) -> DataFrame:
     return rows.where(F.col("status").isin(["kept"] if kept_only else ["kept", "proposed"]))
 
 
-def united(rows: DataFrame, books: DataFrame, order: list[Column], kept_only: bool = False) -> DataFrame:
+def united(rows: DataFrame, books: DataFrame, order: list[Column], kept_only: bool = False, only: list[str] | None = None) -> DataFrame:
     """The wanted ``rows`` of all ``books`` (book, place), with ``ord`` from 0 by place, ``order`` and id.
 
     Every row of a book that was asked for is there, equal ones too; a book of no place is left out.
+    With ``only``, rows have those columns and ``ord``, and no others are sorted and written.
     """
     keyed = wanted(rows, kept_only).join(books, "book").withColumns({"__all": F.lit(0)} | {f"__o{i}": c for i, c in enumerate(order)})
     named = [f"__o{i}" for i in range(len(order))]
-    placed = numbered_rows(keyed, "__all", "place", *named, "id", name="ord")
-    return placed.drop("__all", "place", *named)
+    if only is not None:
+        keyed = keyed.select(*dict.fromkeys([*only, "id", "__all", "place", *named]))
+    placed = numbered_rows(keyed, "__all", "place", *named, "id", name="ord", parts=parts_for(keyed.count(), keyed)).drop("__all", "place", *named)
+    return placed if only is None else placed.select(*only, "ord")
 
 
 def _policy(rows: DataFrame) -> DataFrame:
@@ -84,7 +87,7 @@ def compiled_series(entities: DataFrame, quests: DataFrame, rules: DataFrame, pe
     skipped = all_.where("section = 'character' AND content = ''").select("name")
     kept = _policy(all_.where((F.size("keys") > 0) & ((F.col("section") != "character") | (F.col("content") != ""))).withColumn("__all", F.lit(0)))
     kept = materialize(kept, "compiled")  # numbering reads its rows twice, and these are the outcome of all merges
-    numbered = numbered_rows(kept, "__all", "__s", "__o0", "__o1", "__o2", "__key", name="uid")
+    numbered = numbered_rows(kept, "__all", "__s", "__o0", "__o1", "__o2", "__key", name="uid", parts=parts_for(kept.count(), kept))
     fields = {"key": F.col("keys"), "keysecondary": F.array().cast("array<string>"), "displayIndex": F.col("uid")} | {k: F.lit(v) if v is not None else F.lit(None).cast("boolean") for k, v in QUIET.items()}
     return numbered.select(*(fields.get(f, F.col(f)).alias(f) for f in FIELDS)), skipped
 

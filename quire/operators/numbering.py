@@ -50,15 +50,25 @@ def numbered(df: DataFrame, group: str, order: str, name: str = "position", star
     return running_before(df, group, order, F.lit(1), "__n").withColumn(name, F.col("__n") + start).drop("__n")
 
 
-def numbered_rows(rows: DataFrame, group: str, *order: str, name: str = "position") -> DataFrame:
+#: Rows that a task is to sort at most, where rows are counted first.
+SORTED = 250_000
+
+
+def parts_for(count: int, rows: DataFrame) -> int:
+    """Partitions for so many rows: the session's number, more where that would leave a task over SORTED."""
+    return max(_parts(rows), -(-count // SORTED))
+
+
+def numbered_rows(rows: DataFrame, group: str, *order: str, name: str = "position", parts: int | None = None) -> DataFrame:
     """``rows`` with numbers from 0 in the group by ``order``, whose columns may be of any type and tie.
 
     Meant for narrow rows: they are ranged by group and order, written once with their place in the
     partition, and the counts of a partition's groups are summed up, so a group may hold any share
     of the rows. Rows alike in all of ``order`` are dealt to several partitions and come in any order.
+    ``parts`` is the number of ranges, the session's shuffle partitions if not given.
     """
     keys = [group, *order, "__tie"]
-    placed = rows.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(_parts(rows), *keys).sortWithinPartitions(*keys)
+    placed = rows.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(parts or _parts(rows), *keys).sortWithinPartitions(*keys)
     placed = materialize(placed.drop("__tie").withColumn("__at", F.monotonically_increasing_id()), "numbered")
     placed = placed.withColumns({"__p": F.shiftright("__at", 33), "__i": F.col("__at").bitwiseAND((1 << 33) - 1)})
     parts = placed.groupBy(group, "__p").agg(F.count("*").alias("__n"), F.min("__i").alias("__first"))

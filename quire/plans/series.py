@@ -27,7 +27,7 @@ r AS (SELECT r0.*, kind || ':' || {_slug("name")} AS key, row_number() OVER (ORD
 c AS (SELECT c0.*, {_slug("name")} AS key, row_number() OVER (ORDER BY place, list_position(['primary', 'secondary', 'filler'], tier), -speech, -mentions, id) - 1 AS ord FROM c0 JOIN books USING (book) WHERE status <> 'discarded' AND tier <> 'filler')"""
 
 
-def _sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _sets(spark: SparkSession, sf_dir: str, only: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     part, orders, nation, customer = (table(spark, sf_dir, t) for t in ("part", "orders", "nation", "customer"))
     places = spark.createDataFrame([(2, 0), (0, 1), (1, 2)], "book int, place int")
     p, o, n, c = F.col("p_partkey"), F.col("o_orderkey"), F.col("n_nationkey").cast("long"), F.col("c_custkey")
@@ -37,7 +37,7 @@ def _sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 
     def keyed(rows: DataFrame, *order: Column, kinds: bool) -> DataFrame:
         key = text.slug(F.col("name"))
-        return books.united(rows.withColumn("key", F.concat("kind", F.lit(":"), key) if kinds else key), places, list(order))
+        return books.united(rows.withColumn("key", F.concat("kind", F.lit(":"), key) if kinds else key), places, list(order), only=only)
 
     entities = part.select(
         (F.col("p_size") % 3).alias("book"), p.alias("id"), F.when(F.col("p_size") > 25, "location").otherwise("term").alias("kind"), F.col("p_brand").alias("name"), F.array("p_type").alias("aliases"),
@@ -70,7 +70,7 @@ SELECT 'entity' AS section, ord, book, id, key FROM e UNION ALL SELECT 'quest',
 def multi_book_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The wanted rows of all four kinds from several books, in the order of the books and their lists."""
     out = None
-    for section, rows in zip(("entity", "quest", "rule", "character"), _sets(spark, sf_dir), strict=True):
+    for section, rows in zip(("entity", "quest", "rule", "character"), _sets(spark, sf_dir, ["book", "id", "key"]), strict=True):
         part = rows.select(F.lit(section).alias("section"), "ord", "book", "id", "key")
         out = part if out is None else out.unionByName(part)
     return out
