@@ -43,6 +43,21 @@ def test_pages_with_open_references(spark, tmp_path):
     assert sections.html_text("<p>&#65;&#x42; &eacute;&nosuch; &#65 &notit;</p>")[1] == "AB é&nosuch; &#65 &notit;"
 
 
+def test_page_texts_by_the_marks_of_their_sql(spark, tmp_path):
+    html = ["<h1>No. 555-</h1>555-<b>0123</b> a&nbsp;b &lt;c", "x\u00a0 y\t\tz\x0b", "<h1>zz</h1>", "<h1>aa</h1>longer text", "<script>open < 5 <h2\n>T<i>i</i> &amp;\n t</h3>", "p<script>q</style >r<!-- s", ""]
+    got = same(spark, tmp_path, "page_texts", pages={"page_id": [1, 2, 4, 4, 5, 6, 7], "html": html})
+    assert len(got) == 6 and set(got.title) == {"No. 555-", "", "zz", "Ti & t"}
+
+
+def test_page_texts_of_nulls(spark, tmp_path):
+    pq.write_table(pa.table({"page_id": pa.array([None, None, 1, 1, 2], pa.int64()), "html": ["<h2>a</h2>", "b-\nb", None, "c", None]}), f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet'")
+    want = {r[0]: r[1:] for r in con.sql(catalog.ORACLES["page_texts"]).fetchall()}
+    got = [tuple(r) for r in catalog.QUERIES["page_texts"](spark, str(tmp_path)).collect()]
+    assert len(got) == 3 and {r[0]: r[1:] for r in got} == want and want[2] == (None,) * 3
+
+
 def test_vectors_rounded_in_single_precision(spark, tmp_path):
     values = ((np.arange(640) - 320 + 0.5) / 1000).astype(np.float32).reshape(10, 64)
     same(spark, tmp_path, "vector_write_back", embeddings={"vec_id": pa.array(range(10), pa.int64()), "label": pa.array([0] * 10, pa.int32()), "embedding": pa.array(list(values), pa.list_(pa.float32()))})
